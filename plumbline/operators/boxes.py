@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
+from plumbline.operators.ranks import exact_quantiles
 from plumbline.session import broadcast_if_small
 
 
@@ -30,9 +31,9 @@ def convention_probe(pairs: DataFrame, keys: list[str], frame_ratio: Column) ->
     both = F.arrays_zip(F.array(*[F.col(f"big.{c}") for c in coords]).alias("big"),
                         F.array(*[F.col(f"small.{c}") for c in coords]).alias("small"))
     long = pairs.select(*keys, F.explode(both).alias("v")).select(*keys, F.col("v.big").alias("big"), F.col("v.small").alias("small"))
-    stats = (long.filter("big > 0").groupBy(*keys)
-             .agg(F.percentile(F.col("small") / F.col("big"), 0.5).alias("ratio"),
-                  F.max(F.greatest("big", "small")).alias("largest"), F.count("*").alias("n")))
+    usable = long.filter("big > 0")
+    largest = usable.groupBy(*keys).agg(F.max(F.greatest("big", "small")).alias("largest"))
+    stats = exact_quantiles(usable, keys, F.col("small") / F.col("big"), {"ratio": 0.5}).join(largest, keys)
     return stats.withColumn("convention", G.probe_convention(F.col("ratio"), frame_ratio, F.col("largest")))
 
 
@@ -63,9 +64,9 @@ def overlapping_pairs(df: DataFrame, image: str, iid: str, box: str, w: int, h:
 def prior_boxes(sizes: DataFrame, gts: DataFrame) -> DataFrame:
     """Centred prior boxes for every (w, h), from the medians of a set of ground-truth boxes."""
     b = F.col("box")
-    medians = gts.agg(
-        F.percentile(G.area(b) / (F.col("w") * F.col("h")).cast("double"), 0.5).alias("median_area"),
-        F.percentile(G.longer_side(b) / F.greatest("w", "h").cast("double"), 0.5).alias("median_side"))
+    by_area = exact_quantiles(gts, [], G.area(b) / (F.col("w") * F.col("h")).cast("double"), {"median_area": 0.5})
+    by_side = exact_quantiles(gts, [], G.longer_side(b) / F.greatest("w", "h").cast("double"), {"median_side": 0.5})
+    medians = by_area.drop("n").join(F.broadcast(by_side.drop("n")))
     # one row by construction, so a broadcast of fixed size
     return (sizes.join(F.broadcast(medians))
             .withColumn("area_prior", G.prior_box_from_area(F.col("w"), F.col("h"), F.col("median_area")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ("geometry", "text")
+SECTIONS = ("geometry", "text", "stats", "windows")
 
 
 def _load() -> None:

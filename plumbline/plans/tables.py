@@ -76,8 +76,8 @@ SELECT item_id, h[['raw:' || item_id]] % 12 AS form,
     WHEN 10 THEN '{"bbox_2d": [' || r2 || ', ' || r3 || ', ' || r0 || ', ' || r1 || ']}'
     ELSE '{"bbox_2d": oops} first 1 2 3 4 then ' || r0 || ' ' || r1 || ' ' || r2 || ' ' || r3 END AS answer
 FROM (SELECT item_id,
-        CAST(gx0 + (h[['dx:' || item_id]] % 40) - 10 AS BIGINT) AS r0, CAST(gy0 * 1.25e0 + (h[['dy:' || item_id]] % 30) AS BIGINT) AS r1,
-        CAST(gx1 + (h[['dx:' || item_id]] % 40) - 10 AS BIGINT) AS r2, CAST(gy1 * 1.25e0 + (h[['dy:' || item_id]] % 30) AS BIGINT) AS r3
+        CAST(gx0 + (h[['dx:' || item_id]] % 40) - 10 AS BIGINT) AS r0, CAST(floor(gy0 * 1.25e0) + (h[['dy:' || item_id]] % 30) AS BIGINT) AS r1,
+        CAST(gx1 + (h[['dx:' || item_id]] % 40) - 10 AS BIGINT) AS r2, CAST(floor(gy1 * 1.25e0) + (h[['dy:' || item_id]] % 30) AS BIGINT) AS r3
       FROM items) r""",
     # predictions per condition; the type is box, none or invalid
     "preds": """

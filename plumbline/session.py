@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +40,16 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``."""
+    """Reliable checkpoint in the folder the session names in ``spark.checkpoint.dir``.
+
+    Only a local-mode session without that setting gets a temporary folder of its own."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            raise ValueError("spark.checkpoint.dir is not set: name a shared folder for checkpoints")
-        spark.sparkContext.setCheckpointDir(folder)
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is not set: name a shared folder for checkpoints")
+            folder = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager)
