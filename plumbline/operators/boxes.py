@@ -99,3 +99,10 @@ def matching_quantities(cands: DataFrame, image: str, w, h) -> DataFrame:
     return (facts.filter(~F.col("is_referent")).join(broadcast_if_small(ref), image)
             .withColumn("ratio", G.area_ratio(F.col("a"), F.col("ref_a")))
             .withColumn("delta", F.col("d") - F.col("ref_d")))
+
+
+def image_profile(df: DataFrame, image: str, label: str, order: str, fields: list[str], extra: dict[str, Column]) -> DataFrame:
+    """Per image: sorted distinct labels, its boxes as an ordered array (the row of one image,
+    bounded by what an annotator draws), counts and further aggregates."""
+    boxes = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), *fields)))
+    return df.groupBy(image).agg(F.array_sort(F.collect_set(label)).alias("labels"), F.count("*").alias("n_boxes"), boxes.alias("boxes"), *[v.alias(k) for k, v in extra.items()])

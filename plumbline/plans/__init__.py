@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ("geometry", "text", "stats", "windows")
+SECTIONS = ("geometry", "text", "stats", "windows", "relations", "sampling", "reports")
 
 
 def _load() -> None:

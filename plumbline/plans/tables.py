@@ -91,6 +91,17 @@ FROM (SELECT item_id, condition, proto, gx0, gy0, gx1, gy1,
         h[['y:' || item_id || condition || proto]] % 20 AS dy
       FROM items JOIN (VALUES ('ORIGINAL'), ('REMOVE'), ('CONTROL_OBJ'), ('CONTROL_BG'), ('T_NULL'), ('T_HEAD'), ('T_ATTR')) c(condition) ON 1 = 1
       JOIN (VALUES ('primary'), ('secondary')) m(proto) ON 1 = 1) p""",
+    # one evaluation row per item
+    "evals": """
+SELECT item_id, dimension, CASE WHEN no_target THEN 0 ELSE 1 END AS n_gt, output_type, iou, hint_iou, p_null, parse_ok, status AS size_bin,
+  CASE WHEN no_target THEN output_type <> 'box' ELSE output_type = 'box' AND iou >= 0.5 END AS correct,
+  h[['base:' || item_id]] % 10 < 5 AS base_correct, CASE WHEN no_target THEN 'negative' ELSE 'positive' END AS kind, custkey AS grp,
+  CASE WHEN h[['fn:' || item_id]] % 4 > 0 THEN h[['fc:' || item_id]] % 3 END AS false_no, 5 AS n_cells, h[['cs:' || item_id]] % 8 > 0 AS consistent,
+  h[['or:' || item_id]] % 6 = 0 AS ordinal, CASE WHEN h[['co:' || item_id]] % 5 > 0 THEN (h[['cp:' || item_id]] % 1000) / 1000.0e0 END AS commit_no
+FROM (SELECT *, CASE WHEN h[['ot:' || item_id]] % 10 < 2 THEN 'none' WHEN h[['ot:' || item_id]] % 10 = 8 THEN 'refusal' WHEN h[['ot:' || item_id]] % 10 = 9 THEN 'invalid' ELSE 'box' END AS output_type,
+   h[['ot:' || item_id]] % 10 <> 9 AS parse_ok, CASE WHEN no_target THEN 0.0e0 ELSE (h[['iou:' || item_id]] % 101) / 100.0e0 END AS iou,
+   CASE WHEN no_target THEN NULL ELSE (h[['hi:' || item_id]] % 101) / 100.0e0 END AS hint_iou,
+   CASE WHEN h[['pn:' || item_id]] % 17 > 0 THEN (1 + h[['pv:' || item_id]] % 1000) / 100000.0e0 END AS p_null FROM items) z""",
     # clause verdicts in long form
     "verdicts": """
 SELECT image_id, iid, clause,
@@ -110,7 +121,7 @@ SELECT l_orderkey AS image_id, l_linenumber AS line, l_discount AS score, l_retu
 FROM lineitem""",
 }
 
-DEPENDS = {"inst": ("cand",), "answers": ("items",), "preds": ("items",), "verdicts": ("cand",)}
+DEPENDS = {"inst": ("cand",), "answers": ("items",), "preds": ("items",), "evals": ("items",), "verdicts": ("cand",)}
 
 _H = re.compile(r"h\[\[(.*?)\]\]", re.S)
 
