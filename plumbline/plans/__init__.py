@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ("geometry", "text", "stats", "windows", "relations", "sampling", "reports")
+SECTIONS = ("geometry", "text", "stats", "windows", "relations", "sampling", "reports", "joins")
 
 
 def _load() -> None:
