@@ -46,3 +46,350 @@ def usage_cost(df: DataFrame, order: str, prompt: str, output: str, cap_usd: flo
     cap = int(round(cap_usd * 1e9))
     return cum.agg(F.count("*").alias("calls"), F.sum(prompt).alias("prompt_tokens"), F.sum(output).alias("output_tokens"), (F.sum("_nano") / 1e9).alias("usd"),
                    F.min(F.when(F.col("cum__nano") > cap, F.col(order))).alias("stop_at"))
+
+
+# ---- label tables ---------------------------------------------------------------------------
+
+
+def label_rows(cells: DataFrame, items: DataFrame, key: str = "item") -> DataFrame:
+    """Long cells (item, iid, clause, verdict, flipped_verdict, area) with the rules of the item
+    applied: on a negative the flipped clause takes its own verdict and is false of the
+    described object; on a positive the answer row is true throughout; unknown is unclear."""
+    c = F.col
+    d = cells.join(items.select(key, "answer_iid", "first_iid", "flipped_idx"), key)
+    known = F.when(c("verdict").isin("yes", "no", "unclear"), c("verdict")).otherwise("unclear")
+    flipped = F.when(c("flipped_verdict").isin("yes", "no", "unclear"), c("flipped_verdict")).otherwise("unclear")
+    is_flip = F.coalesce(c("clause") == c("flipped_idx"), F.lit(False))
+    v = (F.when(c("answer_iid").isNotNull() & (c("iid") == c("answer_iid")), "yes").when(is_flip & (c("iid") == c("first_iid")), "no").when(is_flip, flipped).otherwise(known))
+    return d.withColumn("verdict", v).drop("flipped_verdict")
+
+
+def label_matrix(cells: DataFrame, items: DataFrame, max_rows: int = T.MAX_CANDIDATES, key: str = "item") -> DataFrame:
+    """(item, reason, n_rows, n_fit): can the labels carry a consistent trace? Rows beyond
+    ``max_rows`` go, answer row first and largest next."""
+    c = F.col
+    rows = (label_rows(cells, items, key).groupBy(key, "iid", "answer_iid").agg(F.max("area").alias("area"), F.count(F.when(c("verdict") == "no", 1)).alias("n_no"),
+                                                                             F.count(F.when(c("verdict") == "yes", 1)).alias("n_yes")))
+    w = Window.partitionBy(key).orderBy(F.when(F.coalesce(c("iid") == c("answer_iid"), F.lit(False)), 0).otherwise(1), c("area").desc(), c("iid"))
+    rows = rows.withColumn("_rn", F.row_number().over(w)).filter(c("_rn") <= max_rows)
+    fit = c("n_no") == 0
+    per = rows.groupBy(key).agg(F.count("*").alias("n_rows"), F.count(F.when(fit, 1)).alias("n_fit"), F.max(F.when(fit, c("n_yes"))).alias("_top"),
+                                F.max(F.when(fit & (c("iid") == c("answer_iid")), c("n_yes"))).alias("_ans"))
+    ties = rows.join(per.select(key, "_top"), key).filter(fit & (c("n_yes") == c("_top"))).groupBy(key).agg(F.count("*").alias("_ties"))
+    j = items.join(per, key, "left").join(ties, key, "left")
+    positive = c("answer_iid").isNotNull()
+    reason = (F.when(~positive & c("flipped_idx").isNull(), "no_flip").when(c("n_rows").isNull(), "no_clauses")
+              .when(positive & ~F.coalesce((c("_ans") == c("_top")) & (c("_ties") == 1), F.lit(False)), "positive_not_unique").when(~positive & (c("n_fit") > 0), "negative_has_satisfier").otherwise("ok"))
+    return j.select(key, reason.alias("reason"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_fit", F.lit(0)).alias("n_fit"))
+
+
+def export_items(rec: DataFrame, review: DataFrame, key: str = "image_id") -> DataFrame:
+    """Records with gates to positive / sibling / negative items under the reviewer's verdict
+    (ok, flip, bad, unsure or none)."""
+    c = F.col
+    d = rec.join(review.select(key, "verdict"), key, "left")
+    v = c("verdict")
+
+    def differs(a, b):
+        return F.lower(T.strip(F.coalesce(a, F.lit("")))) != F.lower(T.strip(F.coalesce(b, F.lit(""))))
+
+    def yes(x):
+        return F.coalesce(x, F.lit(False))
+
+    auto = yes(c("writer_target_all_yes")) & (yes(c("listener_unique_hit")) | yes(c("base_correct_on_target")))
+    live = v.isNull() | ~v.isin("bad", "unsure")
+    pos = live & (yes(v == "ok") | ((v.isNull() | yes(v == "flip")) & auto)) & (F.coalesce(c("e_t"), F.lit("")) != "")
+    sib = live & (F.coalesce(c("e_s"), F.lit("")) != "") & differs(c("e_s"), c("e_t")) & yes(c("sibling_unique_hit"))
+    neg = live & (yes(v == "ok") | (v.isNull() & yes(c("negative_usable_sentence")))) & (F.coalesce(c("e_neg"), F.lit("")) != "") & differs(c("e_neg"), c("e_t"))
+    none = F.lit(None).cast("int")
+    out = F.array(F.when(pos, F.struct(F.lit("positive").alias("kind"), c("e_t").alias("expression"), c("target_iid").cast("int").alias("target"))),
+                  F.when(sib, F.struct(F.lit("sibling_positive").alias("kind"), c("e_s").alias("expression"), c("sibling_iid").cast("int").alias("target"))),
+                  F.when(neg, F.struct(F.lit("negative").alias("kind"), c("e_neg").alias("expression"), none.alias("target"))))
+    return d.select(key, F.when(v.isNull(), "auto").otherwise("reviewed").alias("source"), F.explode(F.filter(out, lambda x: x.isNotNull())).alias("x")).select(key, "source", "x.*")
+
+
+def second_chance(rec: DataFrame, forced: DataFrame, cells: DataFrame, key: str = "image_id") -> DataFrame:
+    """(key, reason, chosen): failed scenes with their reason and the first replacement nobody
+    satisfies. ``cells`` holds per candidate value and instance: cand, iid, new_verdict,
+    others_open (every other detail yes or unclear)."""
+    c = F.col
+    d = rec.join(forced.select(key).withColumn("_f", F.lit(True)), key, "left")
+    reason = F.when(F.coalesce("_f", F.lit(False)) | ~F.coalesce("flip_identified", F.lit(False)), "flip_failed").when(~c("zero_satisfier_sentence"), "satisfied")
+    todo = d.select(key, reason.alias("reason")).filter("reason IS NOT NULL")
+    sat = cells.groupBy(key, "cand").agg(F.bool_or(c("new_verdict").isin("yes", "unclear") & c("others_open")).alias("_sat"))
+    first = sat.filter(~c("_sat")).groupBy(key).agg(F.min("cand").alias("chosen"))
+    return todo.join(first, key, "left")
+
+
+def describe_jobs(cells: DataFrame, targets: DataFrame, scene: str, min_facts: int = 4) -> DataFrame:
+    """(scene, iid, facts): one instance per scene of two or more, an original target first, that
+    has enough confirmed clauses."""
+    per = cells.groupBy(scene, "iid").agg(F.count(F.when(F.col("verdict") == "yes", 1)).alias("facts"))
+    many = per.groupBy(scene).agg(F.count("*").alias("_n")).filter("_n >= 2").select(scene)
+    d = per.filter(F.col("facts") >= min_facts).join(many, scene, "left_semi").join(targets.select(scene, "iid").withColumn("_t", F.lit(0)), [scene, "iid"], "left")
+    return d.groupBy(scene).agg(F.min_by(F.struct("iid", "facts"), F.struct(F.coalesce("_t", F.lit(1)).alias("t"), "iid")).alias("b")).select(scene, "b.*")
+
+
+def sibling_choice(inst: DataFrame, boxed: DataFrame, scene: str) -> DataFrame:
+    """(scene, iid, reason): the instance the model boxed when that was wrong, else the largest
+    other one (first on ties). ``inst``: iid, area, is_target; ``boxed``: boxed_iid."""
+    g = inst.groupBy(scene).agg(F.max(F.when(F.col("is_target"), F.col("iid"))).alias("_t"),
+                                F.max_by(F.col("iid"), F.when(~F.col("is_target"), F.struct(F.col("area").alias("a"), (-F.col("iid")).alias("o")))).alias("_big"), F.count("*").alias("_n"))
+    d = g.join(boxed.select(scene, "boxed_iid"), scene)
+    wrong = F.coalesce(F.col("boxed_iid") != F.col("_t"), F.lit(False))
+    big = F.when(F.col("_n") > 1, F.col("_big"))
+    return d.select(scene, F.when(wrong, F.col("boxed_iid")).otherwise(big).alias("iid"), F.when(wrong, "boxed").otherwise("largest").alias("reason"))
+
+
+def unique_clauses(cells: DataFrame, scene: str, per_scene: int = 2) -> DataFrame:
+    """(scene, c1, c2, iid): clauses true of exactly one candidate and refuted for all others;
+    where a scene has none, pairs of clauses with that property. First ``per_scene`` in order.
+
+    Pairs are built inside one instance's verdict array (the clauses of one expression)."""
+    c = F.col
+    v = c("verdict")
+    one = cells.groupBy(scene, "clause").agg(F.count("*").alias("n"), F.count(F.when(v == "yes", 1)).alias("y"), F.count(F.when(v == "no", 1)).alias("x"), F.max(F.when(v == "yes", c("iid"))).alias("iid"))
+    multi = c("n") >= 2
+    single = one.filter(multi & (c("y") == 1) & (c("x") == c("n") - 1)).select(scene, c("clause").alias("c1"), F.lit(None).cast("int").alias("c2"), "iid")
+    rows = cells.join(single.select(scene).distinct(), scene, "left_anti").groupBy(scene, "iid").agg(F.array_sort(F.collect_list(F.struct("clause", "verdict"))).alias("a"))
+    combos = F.flatten(F.transform("a", lambda p, i: F.transform(F.filter(c("a"), lambda q, j: j > i), lambda q: F.struct(
+        p["clause"].alias("c1"), q["clause"].alias("c2"), ((p["verdict"] == "yes") & (q["verdict"] == "yes")).alias("both"), ((p["verdict"] == "no") | (q["verdict"] == "no")).alias("out")))))
+    two = rows.select(scene, "iid", F.explode(combos).alias("q")).select(scene, "iid", "q.*").groupBy(scene, "c1", "c2").agg(
+        F.count("*").alias("n"), F.count(F.when(c("both"), 1)).alias("y"), F.count(F.when(~c("both") & c("out"), 1)).alias("x"), F.max(F.when(c("both"), c("iid"))).alias("iid"))
+    pair = two.filter(multi & (c("y") == 1) & (c("x") == c("n") - 1)).select(scene, "c1", "c2", "iid")
+    w = Window.partitionBy(scene).orderBy("c1", "c2")
+    return single.unionByName(pair).withColumn("_r", F.row_number().over(w)).filter(c("_r") <= per_scene).drop("_r")
+
+
+def clause_bank(cells: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, verdict): clause x instance verdicts pooled over items, the first one counts."""
+    return cells.groupBy(*keys).agg(F.min_by("verdict", order).alias("verdict"))
+
+
+def verified_flips(cells: DataFrame, scene: str, clause: str) -> DataFrame:
+    """Flipped clauses that every instance refutes."""
+    return cells.groupBy(scene, clause).agg(F.bool_and(F.col("verdict") == "no").alias("_z")).filter("_z").drop("_z")
+
+
+def recomposed(cells: DataFrame, scene: str, target: int, k: int, min_k: int, tries: int, seed) -> DataFrame:
+    """(scene, clauses, score): up to k mutually different clauses true of the target that jointly
+    exclude every other instance; of ``tries`` seeded sets the one whose clauses the others
+    satisfy most often one by one. ``cells``: iid, clause (text), verdict.
+
+    One scene's clauses and instances are one row; the tries are an array over it."""
+    c = F.col
+    row = cells.groupBy(scene, "clause").agg(F.max(F.when(c("iid") == target, c("verdict"))).alias("mine"),
+                                            F.filter(F.array_sort(F.collect_list(F.struct("iid", "verdict"))), lambda s: s["iid"] != target).alias("others"))
+    row = row.filter("mine = 'yes'")
+    g = row.groupBy(scene).agg(F.array_sort(F.collect_list(F.struct("clause", "others"))).alias("cs"))
+    g = g.filter((F.size("cs") >= min_k) & (F.size(F.get("cs", F.lit(0))["others"]) >= 1)).withColumn("k", F.least(F.lit(k), F.size("cs")))
+
+    def attempt(i):
+        keyed = F.array_sort(F.transform("cs", lambda x: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), c(scene).cast("string"), i.cast("string"), x["clause"])).alias("h"), x["clause"].alias("clause"), x["others"].alias("others"))))
+        start = F.slice(F.transform(keyed, lambda x: x), 1, 0)
+        pick = F.aggregate(keyed, start, lambda acc, x: F.when((F.size(acc) >= c("k")) | F.exists(acc, lambda a: T.paraphrase(a["clause"], x["clause"])), acc).otherwise(F.concat(acc, F.array(x))))
+
+        def judge(p):
+            n = F.sequence(F.lit(0), F.size(F.get(p, F.lit(0))["others"]) - 1)
+            out = F.forall(n, lambda o: F.exists(p, lambda x: F.get(x["others"], o)["verdict"] == "no"))
+            score = F.aggregate(p, F.lit(0), lambda a, x: a + F.size(F.filter(x["others"], lambda o: o["verdict"] == "yes")))
+            return F.struct(F.when(out & (F.size(p) == c("k")), score).otherwise(-1).alias("score"), F.transform(p, lambda x: x["clause"]).alias("clauses"))
+
+        return T.let(pick, judge)
+
+    best = T.first_best(F.transform(F.sequence(F.lit(1), F.lit(tries)), attempt), lambda x: x["score"])
+    return g.select(scene, best.alias("b")).filter("b.score >= 0").select(scene, "b.clauses", "b.score")
+
+
+def audit_rows(yes: DataFrame, nos: DataFrame, keys: list[str], k: int, two_error_frac: float, per_instance: int, seed) -> DataFrame:
+    """(keys, attempt, conds, errs): recomposed rows of an instance with one or two false clauses
+    that have a known counter-value and true clauses that do not touch the same attribute.
+
+    ``yes``: clause; ``nos``: clause, seen. Lists are those of one instance."""
+    from plumbline.functions.hashing import seeded_unit
+
+    c = F.col
+    y = yes.groupBy(*keys).agg(F.array_sort(F.collect_set("clause")).alias("ys")).filter(F.size("ys") >= 3)
+    n = nos.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("clause", "seen"))).alias("ns"))
+    d = y.join(n, keys).withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(per_instance))))
+    ident = F.concat_ws(":", F.lit(str(seed)), *[c(x).cast("string") for x in keys], c("attempt").cast("string"))
+    n_err = F.when((seeded_unit(seed, *[c(x) for x in keys], c("attempt")) < two_error_frac) & (F.size("ns") >= 2), 2).otherwise(1)
+    d = d.withColumn("n_err", n_err)
+    by_hash = lambda arr, f: F.array_sort(F.transform(arr, lambda x: F.struct(F.md5(F.concat(ident, F.lit(":"), f(x))).alias("h"), x.alias("v"))))
+    d = d.withColumn("errs", F.transform(F.slice(by_hash(c("ns"), lambda x: x["clause"]), 1, c("n_err")), lambda x: x["v"]))
+
+    def clash(cl):
+        w = T.content_words(cl)
+        return F.exists("errs", lambda e: T.paraphrase(cl, e["clause"]) | T.paraphrase(cl, e["seen"])
+                        | (F.size(F.array_except(F.array_intersect(w, F.array_union(T.content_words(e["clause"]), T.content_words(e["seen"]))), F.array(F.lit("wearing")))) > 0))
+
+    usable = F.filter(by_hash(c("ys"), lambda x: x), lambda x: ~clash(x["v"]))
+    pool = F.aggregate(usable, F.array().cast("array<string>"), lambda acc, x: F.when((F.size(acc) >= F.lit(k) - c("n_err")) | F.exists(acc, lambda a: T.paraphrase(a, x["v"])), acc)
+                       .otherwise(F.concat(acc, F.array(x["v"]))))
+    d = d.withColumn("pool", pool).filter(F.size("pool") >= F.greatest(F.lit(2), F.least(F.lit(k), F.size("ys")) - c("n_err")))
+    conds = F.transform(by_hash(F.concat("pool", F.transform("errs", lambda e: e["clause"])), lambda x: F.concat(F.lit("o"), x)), lambda x: x["v"])
+    return d.select(*keys, "attempt", conds.alias("conds"), "errs")
+
+
+def style_items(details: DataFrame, flips: DataFrame, scene: str, min_details: int, two_errors: bool = True) -> DataFrame:
+    """(scene, kind, f1, f2): a positive of the kept details when every other instance fails one,
+    a negative per falsification refuted on all instances whose detail was kept, and two-error
+    negatives of two such falsifications of different details.
+
+    ``details``: idx, iid, is_target, verdict; ``flips``: flip, idx, iid, verdict."""
+    c = F.col
+    keep = details.filter(c("is_target") & (c("verdict") == "yes")).select(scene, "idx")
+    enough = keep.groupBy(scene).agg(F.count("*").alias("_n")).filter(c("_n") >= min_details).select(scene)
+    keep = keep.join(enough, scene, "left_semi")
+    others = details.filter(~c("is_target")).join(keep, [scene, "idx"], "left_semi").groupBy(scene, "iid").agg(F.bool_or(c("verdict") == "no").alias("_out"))
+    bad = others.filter(~c("_out")).select(scene).distinct()
+    none = F.lit(None).cast("int")
+    pos = enough.join(bad, scene, "left_anti").select(scene, F.lit("positive").alias("kind"), none.alias("f1"), none.alias("f2"))
+    usable = flips.groupBy(scene, "flip", "idx").agg(F.bool_and(c("verdict") == "no").alias("_z")).filter("_z").join(keep, [scene, "idx"], "left_semi")
+    neg = usable.select(scene, F.lit("negative").alias("kind"), c("flip").alias("f1"), none.alias("f2"))
+    out = pos.unionByName(neg)
+    if two_errors:  # falsifications of one scene: a handful in one array
+        arr = usable.groupBy(scene).agg(F.array_sort(F.collect_list(F.struct("flip", "idx"))).alias("a"))
+        combos = F.flatten(F.transform("a", lambda p, i: F.transform(F.filter(c("a"), lambda q, j: (j > i) & (q["idx"] != p["idx"])), lambda q: F.struct(p["flip"].alias("f1"), q["flip"].alias("f2")))))
+        out = out.unionByName(arr.select(scene, F.explode(combos).alias("q")).select(scene, F.lit("two_error").alias("kind"), "q.f1", "q.f2"))
+    return out
+
+
+def spatial_pairs(conds: DataFrame, scene: str, seed) -> DataFrame:
+    """(scene, target, a, b, neg_of, neg_text): two conditions that only the target satisfies, and
+    one of them replaced so that nobody satisfies both.
+
+    ``conds``: cond, kind (ord / rel), axis, text, verdicts (by place), opp_text, opp_verdicts.
+    The conditions of one scene (a few candidates and references) are one array."""
+    c = F.col
+    packed = F.array_sort(F.collect_list(F.struct("cond", "kind", "axis", "text", "verdicts", "opp_text", "opp_verdicts")))
+    g = conds.groupBy(scene).agg(packed.alias("cs"))
+    pairs = F.flatten(F.transform("cs", lambda a, i: F.transform(F.filter(c("cs"), lambda b, j: (j > i) & ((a["kind"] == "rel") | (b["kind"] == "rel"))), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+
+    def both(x, y):
+        return F.transform(F.arrays_zip(x.alias("p"), y.alias("q")), lambda z: (z["p"] == "yes") & (z["q"] == "yes"))
+
+    def alone(x):
+        return F.size(F.filter(x, lambda v: v == "yes")) == 1
+
+    p = g.select(scene, "cs", F.explode(pairs).alias("p")).withColumn("sat", both(c("p.a.verdicts"), c("p.b.verdicts")))
+    p = p.filter((F.size(F.filter("sat", lambda s: s)) == 1) & ~(alone(c("p.a.verdicts")) & alone(c("p.b.verdicts")))).withColumn("target", F.array_position("sat", True).cast("int"))
+
+    def flips(which, keep, tag):
+        rel = F.when((which["kind"] == "rel") & which["opp_text"].isNotNull(), F.array(F.struct(F.lit(tag).alias("of"), which["opp_text"].alias("text"), which["opp_verdicts"].alias("v"))))
+        ordn = F.when(which["kind"] == "ord", F.transform(F.filter(c("cs"), lambda x: (x["kind"] == "ord") & (x["axis"] == which["axis"]) & (x["cond"] != which["cond"])),
+                                                          lambda x: F.struct(F.lit(tag).alias("of"), x["text"].alias("text"), x["verdicts"].alias("v"))))
+        opts = F.coalesce(rel, ordn, F.array().cast("array<struct<of:string,text:string,v:array<string>>>"))
+        return F.filter(opts, lambda o: ~F.exists(both(o["v"], keep["verdicts"]), lambda s: s))
+
+    p = p.withColumn("neg", F.concat(flips(c("p.a"), c("p.b"), "a"), flips(c("p.b"), c("p.a"), "b"))).filter(F.size("neg") > 0)
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), c(scene).cast("string"), c("p.a.cond").cast("string"), c("p.b.cond").cast("string")))
+    best = p.groupBy(scene).agg(F.min_by(F.struct("target", c("p.a.text").alias("a"), c("p.b.text").alias("b"), c("p.a.verdicts").alias("va"), c("p.b.verdicts").alias("vb"), F.get("neg", F.lit(0)).alias("n")),
+                                         F.struct(order.alias("o"), c("p.a.cond").alias("i"), c("p.b.cond").alias("j"))).alias("x"))
+    return best.select(scene, "x.target", "x.a", "x.b", "x.va", "x.vb", c("x.n.of").alias("neg_of"), c("x.n.text").alias("neg_text"), c("x.n.v").alias("neg_v"))
+
+
+def alternative_negatives(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys) of replacement values that are false of the target and complete the sentence for no
+    other instance. ``cells``: is_target, alt_verdict, n_others, others_not_no."""
+    c = F.col
+    sat = ~c("is_target") & (c("alt_verdict") != "no") & (c("n_others") > 0) & c("others_not_no")
+    g = cells.groupBy(*keys).agg(F.bool_or(c("is_target") & (c("alt_verdict") == "no")).alias("_t"), F.bool_or(sat).alias("_s"))
+    return g.filter(c("_t") & ~c("_s")).select(*keys)
+
+
+def cross_negatives(cells: DataFrame, pair: list[str]) -> DataFrame:
+    """(pair, n_satisfiers, usable): pairs no candidate of the other scene satisfies."""
+    inst = cells.groupBy(*pair, "iid").agg(F.bool_and(F.col("verdict") != "no").alias("_s"))
+    g = inst.groupBy(*pair).agg(F.count(F.when(F.col("_s"), 1)).alias("n_satisfiers"))
+    return g.withColumn("usable", F.col("n_satisfiers") == 0)
+
+
+def mosaic_rows(a: DataFrame, b: DataFrame, pair: list[str], scale: Column, shift: Column) -> DataFrame:
+    """Candidate rows of two scenes on one canvas: the second scene's boxes scaled and shifted,
+    its ids offset by 100; pairs whose second scene has a fitting row are left out."""
+    from plumbline.functions import geometry as G
+
+    fits = b.groupBy(*pair).agg(F.bool_or(~F.array_contains("verdicts", "no")).alias("_f")).filter(~F.col("_f")).select(*pair)
+    moved = b.join(fits, pair, "left_semi").withColumn("box", G.scale_box(F.col("box"), scale, scale, shift, 0.0)).withColumn("iid", F.col("iid") + 100)
+    return a.join(fits, pair, "left_semi").select(*pair, "iid", "box", "verdicts").unionByName(moved.select(*pair, "iid", "box", "verdicts"))
+
+
+def control_copies(items: DataFrame) -> DataFrame:
+    """Every item as it is, with a gray image, and with the null expression (one difference each)."""
+    d = items.withColumn("control", F.explode(F.array(F.lit("none"), F.lit("gray"), F.lit("null_expression"))))
+    return d.withColumn("gray", F.col("control") == "gray").withColumn("expr", F.when(F.col("control") == "null_expression", "the object").otherwise(F.col("expr")))
+
+
+def caption_sample(boxes: DataFrame, key: str, captions: str, source: str, n: int, seed, w: Column, h: Column) -> DataFrame:
+    """One hashed caption per box of n seeded boxes per source, degenerate boxes dropped."""
+    from plumbline.functions.hashing import seeded_hex, seeded_int
+
+    good = F.filter(captions, lambda x: T.has_text(x))
+    d = boxes.withColumn("_cs", good).filter((F.size("_cs") > 0) & (w > 1) & (h > 1))
+    win = Window.partitionBy(source).orderBy(seeded_hex(seed, F.col(key)), F.col(key))
+    d = d.withColumn("_r", F.row_number().over(win)).filter(F.col("_r") <= n)
+    return d.withColumn("caption", F.get("_cs", (seeded_int(seed, F.col(key), F.lit("cap")) % F.size("_cs")).cast("int"))).drop("_cs", "_r")
+
+
+def scoring_set(own: DataFrame, positives: DataFrame, twins: DataFrame, n: int, seed) -> DataFrame:
+    """(id, source, kind, half): own items, rule-flipped twins (round robin over source and edit
+    type) and human positives (those of chosen twins first), classes balanced over the whole.
+
+    ``own``: id, source, kind; ``positives``: id, source; ``twins``: id, source, edit, twin_of.
+    The two class sizes come from one small aggregate; both cuts are distributed top-n."""
+    from plumbline.functions.hashing import seeded_hex
+    from plumbline.operators.windows import round_robin
+
+    c = F.col
+    s = own.agg(F.count("*").alias("n"), F.count(F.when(c("kind") == "positive", 1)).alias("p"), F.count(F.when(c("kind") == "negative", 1)).alias("m")).first()
+    rest = max(0, n - s["n"])
+    n_pos = max(0, (rest + s["m"] - s["p"]) // 2)
+    chosen = round_robin(twins, ["source", "edit"], ["id"], max(0, rest - n_pos), seed)
+    need = chosen.select(c("twin_of").alias("id")).distinct().withColumn("_need", F.lit(0))
+    pos = positives.join(need, "id", "left").withColumn("_need", F.coalesce("_need", F.lit(1))).orderBy("_need", seeded_hex(seed, c("id")), "id").limit(n_pos)
+    u = (own.select("id", "source", "kind").withColumn("_need", F.lit(0)).unionByName(pos.select("id", "source", F.lit("positive").alias("kind"), "_need"))
+         .unionByName(chosen.select("id", "source", F.lit("negative").alias("kind")).withColumn("_need", F.lit(0))))
+    w = Window.partitionBy("source").orderBy("_need", seeded_hex(seed, c("id")), "id")
+    sizes = u.groupBy("source").agg(F.count("*").alias("_n"))
+    return u.withColumn("_r", F.row_number().over(w)).join(sizes, "source").select("id", "source", "kind", (c("_r") <= F.floor((c("_n") + 1) / 2)).alias("half"))
+
+
+def probe_items(sources: list[tuple[str, DataFrame]], key: str, n: int, seed) -> DataFrame:
+    """Several pools in one shape with a seeded sample of n per source flagged."""
+    from plumbline.operators.ranks import hash_rank
+
+    u = None
+    for name, df in sources:
+        d = df.withColumn("set", F.lit(name))
+        u = d if u is None else u.unionByName(d, allowMissingColumns=True)
+    return hash_rank(u, seed, [key], ["set"], "_r").withColumn("probe", F.col("_r") <= n).drop("_r")
+
+
+def expand_examples(items: DataFrame, n_rows: Column) -> DataFrame:
+    """Adds ``part``: 0 the turn example, 1..n one audit each, -1 the answer step."""
+    parts = F.concat(F.array(F.lit(0)), F.when(n_rows > 0, F.sequence(F.lit(1), n_rows.cast("int"))).otherwise(F.array().cast("array<int>")), F.array(F.lit(-1)))
+    return items.withColumn("part", F.explode(parts))
+
+
+def line_labels(lines: Column, spec: Column, false_word: Column, clauses: Column, verdicts: Column) -> Column:
+    """0 / 1 / null per line: all true, the one line that names the false word, or the verdict
+    of the closest labelled clause."""
+    hit = F.transform(lines, lambda x: F.regexp_count(x, F.concat(F.lit(r"(?iU)\b"), T.quoted(false_word), F.lit(r"\b"))) > 0)
+    blank = F.transform(lines, lambda x: F.lit(None).cast("int"))
+    by_word = T.let(hit, lambda hs: F.when(F.size(F.filter(hs, lambda b: b)) == 1, F.transform(hs, lambda b: b.cast("int"))).otherwise(blank))
+    by_clause = F.transform(lines, lambda x: T.let(T.align_clause(clauses, x), lambda j: F.when(F.get(verdicts, j - 1) == "yes", 0).when(F.get(verdicts, j - 1) == "no", 1)))
+    return F.when(spec == "all_true", F.transform(lines, lambda x: F.lit(0))).when(spec == "false_word", by_word).when(spec == "verdicts", by_clause).otherwise(blank)
+
+
+def base_answers(items: DataFrame, policy: DataFrame, group: str) -> DataFrame:
+    """Items with the base model's answer of the stage their kind refers to."""
+    which = (F.when(F.col("kind") == "positive", "target").when(F.col("kind") == "sibling_positive", "sibling")
+             .when((F.col("kind") == "negative") & F.coalesce("reflipped", F.lit(False)), "neg2").when(F.col("kind") == "negative", "neg"))
+    return items.withColumn("which", which).join(policy, [group, "which"], "left")
+
+
+def checker_agreement(a: DataFrame, b: DataFrame, keys: list[str], group: list[str]) -> DataFrame:
+    """(group, n, agree): equal verdicts of two checkers, unclear cells left out."""
+    j = a.select(*keys, F.col("verdict").alias("_a")).join(b.select(*keys, F.col("verdict").alias("_b")), keys).filter("_a <> 'unclear' AND _b <> 'unclear'")
+    return j.groupBy(*group).agg(F.count("*").alias("n"), F.avg((F.col("_a") == F.col("_b")).cast("int")).alias("agree"))
