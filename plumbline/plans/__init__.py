@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ("geometry", "text", "stats", "windows", "relations", "sampling", "reports", "joins", "constraints", "items", "masks", "sets", "decisions")
+SECTIONS = ("sources", "constraints", "items", "geometry", "masks", "joins", "relations", "reports", "windows", "sampling", "stats", "text", "sets", "decisions")
 
 
 def _load() -> None:

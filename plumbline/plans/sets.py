@@ -157,8 +157,12 @@ def spatial_pair_items(t):
         F.transform("cs", lambda x: F.when(x["k"] == col("c.k"), "yes").otherwise("no")).alias("verdicts"), F.lit(None).cast("string").alias("opp_text"), F.lit(None).cast("array<string>").alias("opp_verdicts"))
     opposite = {"left": "right", "right": "left", "above": "below", "below": "above"}
     wording = {"left": "is to the left of the lamp", "right": "is to the right of the lamp", "above": "is above the lamp", "below": "is below the lamp"}
-    sides = F.array(*[F.struct(F.lit(100 + i).cast("bigint").alias("cond"), F.lit(wording[s]).alias("text"), F.transform("cs", lambda x, s=s: G.side_verdict(x["b"], col("r"), s, 1000, 800)).alias("verdicts"),
-                               F.lit(wording[o]).alias("opp_text"), F.transform("cs", lambda x, o=o: G.side_verdict(x["b"], col("r"), o, 1000, 800)).alias("opp_verdicts")) for i, (s, o) in enumerate(opposite.items())])
+
+    def verdicts(side):
+        return F.transform("cs", lambda x: G.side_verdict(x["b"], col("r"), side, 1000, 800))
+
+    sides = F.array(*[F.struct(F.lit(100 + i).cast("bigint").alias("cond"), F.lit(wording[s]).alias("text"), verdicts(s).alias("verdicts"), F.lit(wording[o]).alias("opp_text"),
+                               verdicts(o).alias("opp_verdicts")) for i, (s, o) in enumerate(opposite.items())])
     rels = per.select("image_id", F.explode(sides).alias("s")).filter(F.forall("s.verdicts", lambda v: v.isNotNull())).select(
         "image_id", "s.cond", F.lit("rel").alias("kind"), F.lit("-").alias("axis"), "s.text", "s.verdicts", F.when(F.forall("s.opp_verdicts", lambda v: v.isNotNull()), col("s.opp_text")).alias("opp_text"), "s.opp_verdicts")
     p = SE.spatial_pairs(ords.unionByName(rels), "image_id", "sp")
