@@ -50,13 +50,18 @@ def poisson_thresholds(terms: int = 13) -> list[int]:
     return out
 
 
-def poisson_weight(seed, draw: Column, cluster: Column) -> Column:
-    """How often a cluster enters one resample: Poisson(1) from a hash.
+def with_poisson_weight(df: DataFrame, seed, draw: str, cluster: str, name: str = "_w") -> DataFrame:
+    """How often a cluster enters one resample: Poisson(1) from a hash; rows of weight 0 drop.
 
     Independent of the number of clusters, so the draw needs no numbering, no join and no
-    shuffle of clusters x draws; given its total it is the multinomial resample."""
-    u = seeded_int(seed, draw, cluster)
-    return sum((F.when(u >= t, 1).otherwise(0) for t in poisson_thresholds()[1:]), F.when(u >= poisson_thresholds()[0], 1).otherwise(0))
+    shuffle of clusters x draws; given its total it is the multinomial resample. The hash is
+    a column of its own, computed once per row, and is compared as fixed-width hex text."""
+    cuts = [f"{t:08x}" for t in poisson_thresholds() if t < 2**32]
+    hashed = df.withColumn("_u", F.substring(seeded_hex(seed, F.col(draw), F.col(cluster)), 1, 8)).filter(F.col("_u") >= cuts[0])
+    weight = F.lit(1)
+    for t in cuts[1:]:
+        weight = weight + F.when(F.col("_u") >= t, 1).otherwise(0)
+    return hashed.withColumn(name, weight).drop("_u")
 
 
 def draws(df: DataFrame, n_resamples: int, name: str = "draw") -> DataFrame:
@@ -76,8 +81,7 @@ def resample_sums(per_cluster: DataFrame, groups: list[str], cluster: str, sums:
 
     Draws are exploded next to the data and summed map-side: a task emits one row per (group,
     draw), whatever the number of clusters it read."""
-    w = poisson_weight(seed, F.col("draw"), F.col(cluster))
-    weighted = draws(per_cluster, n_resamples).withColumn("_w", w).filter("_w > 0")
+    weighted = with_poisson_weight(draws(per_cluster, n_resamples), seed, "draw", cluster)
     return weighted.groupBy(*groups, "draw").agg(*[F.sum(F.col("_w") * F.col(s)).alias(s) for s in sums])
 
 
@@ -141,8 +145,7 @@ def auroc_ci(df: DataFrame, groups: list[str], label: Column, score: Column, clu
     every draw re-weights those counts and is summed per score before ordering."""
     per = score_counts(df, [*groups, cluster], label, score)
     point = auroc_of_counts(per.groupBy(*groups, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), groups)
-    w = poisson_weight(seed, F.col("draw"), F.col(cluster))
-    weighted = (draws(per, n_resamples).withColumn("_w", w).filter("_w > 0").groupBy(*groups, "draw", "score")
+    weighted = (with_poisson_weight(draws(per, n_resamples), seed, "draw", cluster).groupBy(*groups, "draw", "score")
                 .agg(F.sum(F.col("_w") * F.col("pos")).alias("pos"), F.sum(F.col("_w") * F.col("neg")).alias("neg")))
     stats = auroc_of_counts(weighted, [*groups, "draw"])
     return _join(point, interval(stats, groups, "auroc", alpha), groups).drop("n_draws")

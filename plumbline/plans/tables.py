@@ -61,8 +61,8 @@ SELECT o_orderkey AS item_id, substr(o_orderpriority, 3) AS dimension, o_orderke
 FROM orders""",
     # raw model answers, one per item, covering every parser branch
     "answers": """
-SELECT item_id, h[['raw:' || item_id]] % 12 AS form,
-  CASE h[['raw:' || item_id]] % 12
+SELECT item_id, form,
+  CASE form
     WHEN 0 THEN '```json' || chr(10) || '{"bbox_2d": [' || r0 || ', ' || r1 || ', ' || r2 || ', ' || r3 || ']}' || chr(10) || '```'
     WHEN 1 THEN '{"bbox_2d": [' || r0 || ', ' || r1 || ', ' || r2 || ', ' || r3 || ']}'
     WHEN 2 THEN 'Sure. {"label": "it", "bbox_2d": [' || r0 || '.5, ' || r1 || ', ' || r2 || ', ' || r3 || '.25]} done'
@@ -75,22 +75,19 @@ SELECT item_id, h[['raw:' || item_id]] % 12 AS form,
     WHEN 9 THEN 'nonetheless nothing here'
     WHEN 10 THEN '{"bbox_2d": [' || r2 || ', ' || r3 || ', ' || r0 || ', ' || r1 || ']}'
     ELSE '{"bbox_2d": oops} first 1 2 3 4 then ' || r0 || ' ' || r1 || ' ' || r2 || ' ' || r3 END AS answer
-FROM (SELECT item_id,
-        CAST(gx0 + (h[['dx:' || item_id]] % 40) - 10 AS BIGINT) AS r0, CAST(floor(gy0 * 1.25e0) + (h[['dy:' || item_id]] % 30) AS BIGINT) AS r1,
-        CAST(gx1 + (h[['dx:' || item_id]] % 40) - 10 AS BIGINT) AS r2, CAST(floor(gy1 * 1.25e0) + (h[['dy:' || item_id]] % 30) AS BIGINT) AS r3
-      FROM items) r""",
+FROM (SELECT item_id, form, CAST(gx0 + dx AS BIGINT) AS r0, CAST(floor(gy0 * 1.25e0) + dy AS BIGINT) AS r1, CAST(gx1 + dx AS BIGINT) AS r2, CAST(floor(gy1 * 1.25e0) + dy AS BIGINT) AS r3
+      FROM (SELECT item_id, gx0, gy0, gx1, gy1, h[['raw:' || item_id]] % 12 AS form, h[['dx:' || item_id]] % 40 - 10 AS dx, h[['dy:' || item_id]] % 30 AS dy FROM items) q) r""",
     # predictions per condition; the type is box, none or invalid
     "preds": """
 SELECT item_id, condition, proto, ptype,
        CASE WHEN ptype = 'box' THEN gx0 + dx END AS x0, CASE WHEN ptype = 'box' THEN gy0 + dy END AS y0,
        CASE WHEN ptype = 'box' THEN gx1 + dx END AS x1, CASE WHEN ptype = 'box' THEN gy1 + dy END AS y1
 FROM (SELECT item_id, condition, proto, gx0, gy0, gx1, gy1,
-        CASE WHEN h[['t:' || item_id || condition || proto]] % 10 < (CASE WHEN condition = 'REMOVE' THEN 4 ELSE 1 END) THEN 'none'
-             WHEN h[['t:' || item_id || condition || proto]] % 10 = 9 THEN 'invalid' ELSE 'box' END AS ptype,
+        CASE WHEN ht < (CASE WHEN condition = 'REMOVE' THEN 4 ELSE 1 END) THEN 'none' WHEN ht = 9 THEN 'invalid' ELSE 'box' END AS ptype,
         CASE WHEN condition = 'REMOVE' THEN h[['x:' || item_id || proto]] % 120 ELSE h[['x:' || item_id || condition || proto]] % 25 END AS dx,
         h[['y:' || item_id || condition || proto]] % 20 AS dy
-      FROM items JOIN (VALUES ('ORIGINAL'), ('REMOVE'), ('CONTROL_OBJ'), ('CONTROL_BG'), ('T_NULL'), ('T_HEAD'), ('T_ATTR')) c(condition) ON 1 = 1
-      JOIN (VALUES ('primary'), ('secondary')) m(proto) ON 1 = 1) p""",
+      FROM (SELECT item_id, gx0, gy0, gx1, gy1, condition, proto, h[['t:' || item_id || condition || proto]] % 10 AS ht FROM items JOIN (VALUES ('ORIGINAL'), ('REMOVE'), ('CONTROL_OBJ'), ('CONTROL_BG'), ('T_NULL'), ('T_HEAD'), ('T_ATTR')) c(condition) ON 1 = 1
+      JOIN (VALUES ('primary'), ('secondary')) m(proto) ON 1 = 1) q) p""",
     # one evaluation row per item
     "evals": """
 SELECT item_id, dimension, CASE WHEN no_target THEN 0 ELSE 1 END AS n_gt, output_type, iou, hint_iou, p_null, parse_ok, status AS size_bin,
@@ -98,17 +95,15 @@ SELECT item_id, dimension, CASE WHEN no_target THEN 0 ELSE 1 END AS n_gt, output
   h[['base:' || item_id]] % 10 < 5 AS base_correct, CASE WHEN no_target THEN 'negative' ELSE 'positive' END AS kind, custkey AS grp,
   CASE WHEN h[['fn:' || item_id]] % 4 > 0 THEN h[['fc:' || item_id]] % 3 END AS false_no, 5 AS n_cells, h[['cs:' || item_id]] % 8 > 0 AS consistent,
   h[['or:' || item_id]] % 6 = 0 AS ordinal, CASE WHEN h[['co:' || item_id]] % 5 > 0 THEN (h[['cp:' || item_id]] % 1000) / 1000.0e0 END AS commit_no
-FROM (SELECT *, CASE WHEN h[['ot:' || item_id]] % 10 < 2 THEN 'none' WHEN h[['ot:' || item_id]] % 10 = 8 THEN 'refusal' WHEN h[['ot:' || item_id]] % 10 = 9 THEN 'invalid' ELSE 'box' END AS output_type,
-   h[['ot:' || item_id]] % 10 <> 9 AS parse_ok, CASE WHEN no_target THEN 0.0e0 ELSE (h[['iou:' || item_id]] % 101) / 100.0e0 END AS iou,
+FROM (SELECT *, CASE WHEN ot < 2 THEN 'none' WHEN ot = 8 THEN 'refusal' WHEN ot = 9 THEN 'invalid' ELSE 'box' END AS output_type, ot <> 9 AS parse_ok, CASE WHEN no_target THEN 0.0e0 ELSE (h[['iou:' || item_id]] % 101) / 100.0e0 END AS iou,
    CASE WHEN no_target THEN NULL ELSE (h[['hi:' || item_id]] % 101) / 100.0e0 END AS hint_iou,
-   CASE WHEN h[['pn:' || item_id]] % 17 > 0 THEN (1 + h[['pv:' || item_id]] % 1000) / 100000.0e0 END AS p_null FROM items) z""",
+   CASE WHEN h[['pn:' || item_id]] % 17 > 0 THEN (1 + h[['pv:' || item_id]] % 1000) / 100000.0e0 END AS p_null FROM (SELECT *, h[['ot:' || item_id]] % 10 AS ot FROM items) q) z""",
     # clause verdicts in long form
     "verdicts": """
 SELECT image_id, iid, clause,
        CASE WHEN iid = 1 AND h[['u:' || image_id]] % 3 > 0 THEN 'yes'
-            WHEN h[['v:' || image_id || ':' || iid || ':' || clause]] % 10 < 5 THEN 'yes'
-            WHEN h[['v:' || image_id || ':' || iid || ':' || clause]] % 10 < 9 THEN 'no' ELSE 'unclear' END AS verdict
-FROM cand JOIN (VALUES (1), (2), (3), (4), (5)) k(clause) ON 1 = 1""",
+            WHEN hv < 5 THEN 'yes' WHEN hv < 9 THEN 'no' ELSE 'unclear' END AS verdict
+FROM (SELECT image_id, iid, clause, h[['v:' || image_id || ':' || iid || ':' || clause]] % 10 AS hv FROM cand JOIN (VALUES (1), (2), (3), (4), (5)) k(clause) ON 1 = 1) z""",
     # two raters and a third, derived from the given labels
     "raters": """
 SELECT doc_id, 'r1' AS rater, CAST(quality AS VARCHAR(3)) AS label FROM labels

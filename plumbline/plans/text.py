@@ -179,7 +179,8 @@ def scene_rows(t):
     return TR.order_rows(TR.cap_rows(rows, "image_id", first, G.area(col("box")), "iid"), "image_id", first, "iid", "iid")
 
 
-CONDS = F.array(*[F.lit(s) for s in ("is red", "has a handle", "is left of it", "reads 7", "is open")])
+def conds():
+    return F.array(*[F.lit(s) for s in ("is red", "has a handle", "is left of it", "reads 7", "is open")])
 
 
 def scene_traces(t, style="yn"):
@@ -188,7 +189,7 @@ def scene_traces(t, style="yn"):
     rows = TR.collect_rows(scene_rows(t), "image_id", [G.relative_1000(col("box"), 1000, 800).alias("rel"), cells.alias("cells")],
                            [F.max(F.when(col("iid") == 1, G.relative_1000(col("box"), 1000, 800))).alias("rel1"),
                             F.max(F.when((col("iid") == 1) & ~F.array_contains("verdicts", "no"), 1).otherwise(0)).alias("target_fits")])
-    return rows.select("image_id", T.render_trace(CONDS, col("rows"), F.when(col("target_fits") == 1, col("rel1")), style).alias("text"))
+    return rows.select("image_id", T.render_trace(conds(), col("rows"), F.when(col("target_fits") == 1, col("rel1")), style).alias("text"))
 
 
 SQL_SCENE = """
