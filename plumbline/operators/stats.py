@@ -65,6 +65,9 @@ def with_poisson_weight(df: DataFrame, seed, draw: str, cluster: str, name: str
 
 
 def draws(df: DataFrame, n_resamples: int, name: str = "draw") -> DataFrame:
+    """Every row once per resample. The pre-aggregated rows are few and the work per row is
+    not, so they are first dealt out to all cores (a small shuffle adaptive execution keeps)."""
+    df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     return df.withColumn(name, F.explode(F.sequence(F.lit(1), F.lit(n_resamples))))
 
 

@@ -44,13 +44,13 @@ def scan_parquet_shards(t):
 
 @query("scan_pruned_columns", "SELECT doc_id, lang, source FROM documents")
 def scan_pruned_columns(t):
-    return R.key_columns(t.documents, ["doc_id", "lang", "source"])
+    return R.key_columns(t.scan("documents"), ["doc_id", "lang", "source"])
 
 
 @query("scan_scenes_by_key", """
 SELECT l_orderkey AS image_id, count(*) AS n, sum(l_partkey) AS parts FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1""")
 def scan_scenes_by_key(t):
-    d = t.lineitem.select(col("l_orderkey").alias("image_id"), "l_partkey", "l_returnflag", F.col("_metadata.file_path").alias("file"))
+    d = t.scan("lineitem").select(col("l_orderkey").alias("image_id"), "l_partkey", "l_returnflag", F.col("_metadata.file_path").alias("file"))
     rows = R.scene_rows(d, "image_id", "file", col("l_returnflag") == "R")
     return rows.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("l_partkey").alias("parts"))
 

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.session import spread
+
 FRAME_W, FRAME_H = 1000, 800
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -161,13 +163,17 @@ class Tables:
             raise AttributeError(name)
         if name not in self._cache:
             if name in BASE:
-                self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._cache[name] = spread(self.scan(name))
             elif name in DERIVED:
                 self._cache[name] = self.sql(DERIVED[name])
             else:
                 raise AttributeError(name)
         return self._cache[name]
 
+    def scan(self, name: str) -> DataFrame:
+        """The bare file scan of a base table."""
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over base and derived names, without registering views."""
         text = spell(text, "spark").replace("{", "{{").replace("}", "}}")

@@ -40,6 +40,13 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for an input with fewer splits than cores (one small file); an input with
+    enough splits, i.e. any large one, is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``; only a local-mode session
     without that setting gets a temporary folder of its own."""
