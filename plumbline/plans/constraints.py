@@ -85,7 +85,7 @@ def _bits(a, b):
 
 @query("near_duplicate_disjoint", with_tables("", f"""
 WITH p AS ({HASHES}), d AS (SELECT * FROM p WHERE part = 'dev'), e AS (SELECT DISTINCT ph FROM p WHERE part = 'eval'),
-m AS (SELECT doc_id, {_bits('d.ph', 'e.ph')} AS d FROM d, e) SELECT doc_id, count(*) AS n_hashes, min(d) AS min_d FROM m WHERE d <= 4 GROUP BY 1"""))
+m AS (SELECT doc_id, {_bits('d.ph', 'e.ph')} AS d FROM d, e) SELECT doc_id, count(*) AS n_hashes, CAST(min(d) AS INT) AS min_d FROM m WHERE d <= 4 GROUP BY 1"""))
 def near_duplicate_disjoint(t):
     p = t.sql(HASHES.replace("doc_id // 4", "doc_id div 4").replace("VARCHAR(20)", "STRING"))
     return C.disjoint_violations(p.filter("part = 'dev'"), p.filter("part = 'eval'"), "doc_id", "ph")

@@ -36,7 +36,7 @@ def scan_metadata_csv(t):
     return d.select(col("ImageID").cast("bigint").alias("image_id"), col("License").alias("licence"), F.coalesce("n_boxes", F.lit(0)).alias("n_boxes"), "sum_x", F.coalesce("n_classes", F.lit(0)).alias("n_classes"))
 
 
-@query("scan_parquet_shards", "SELECT l_returnflag, count(*) AS n, sum(l_orderkey) AS keys FROM lineitem GROUP BY 1")
+@query("scan_parquet_shards", "SELECT l_returnflag, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM lineitem GROUP BY 1")
 def scan_parquet_shards(t):
     d = R.parquet_shards(t.spark, t.sf_dir, t.lineitem.schema, "lineitem*.parquet")
     return d.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
@@ -48,7 +48,7 @@ def scan_pruned_columns(t):
 
 
 @query("scan_scenes_by_key", """
-SELECT l_orderkey AS image_id, count(*) AS n, sum(l_partkey) AS parts FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1""")
+SELECT l_orderkey AS image_id, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1""")
 def scan_scenes_by_key(t):
     d = t.scan("lineitem").select(col("l_orderkey").alias("image_id"), "l_partkey", "l_returnflag", F.col("_metadata.file_path").alias("file"))
     rows = R.scene_rows(d, "image_id", "file", col("l_returnflag") == "R")

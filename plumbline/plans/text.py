@@ -220,7 +220,7 @@ FROM (SELECT doc_id, replace(replace(text, chr(10), ' '), '|', ' ') AS text_line
 
 
 @query("audit_lines_parse", with_tables("", rf"""
-SELECT doc_id, 2 AS n_lines, 'color' AS type1, NULL AS type2, regexp_replace(replace(replace(text, chr(10), ' '), '|', ' '), '^\s+|\s+$', '', 'g') AS seen1,
+SELECT doc_id, 2 AS n_lines, 'color' AS type1, CAST(NULL AS VARCHAR) AS type2, regexp_replace(replace(replace(text, chr(10), ' '), '|', ' '), '^\s+|\s+$', '', 'g') AS seen1,
   lower({_pick('a1', 'doc_id', ['match', 'Mismatch', 'unsure'])}) AS verdict1, 'has ' || doc_id || ' legs' AS claimed2, '' AS seen2, 'fits' AS verdict, true AS format_ok FROM documents"""))
 def audit_lines_parse(t):
     p = t.sql(AUDITS).select("doc_id", T.audit_lines(col("a")).alias("p"))
