@@ -48,13 +48,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``; only a local-mode session
-    without that setting gets a temporary folder of its own."""
+    """The folder the session names in ``spark.checkpoint.dir``. Only a session on one machine that names none
+    (tests) is given one, once, and it is entered in the session's own settings."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: name a shared folder for checkpoints")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="plumbline-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 

@@ -7,13 +7,14 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from plumbline.plans import all_oracles
 from tests.oracle_check import compare, duck
 
 SF = "/root/testdata/sf0.001"
 PICK = ["box_iou", "crop_window_box", "boxes_overlap", "parse_box_answer", "numbered_verdict_lines", "align_span", "gate_pass_table", "condition_pivot_relations", "stop_rules", "auroc", "rate_ci",
         "fleiss_kappa", "scene_batches", "greedy_keep", "stratified_draw", "union_first_wins", "near_duplicate_disjoint", "snapshot_diff", "cross_group_pairs", "label_matrix", "mask_dilate_translate",
         "control_sampling", "trace_reward", "cached_scoring", "running_training_metrics"]
-NAMES = list(E.oracle_sql()) if os.environ.get("PLUMBLINE_ALL") else PICK
+NAMES = list(all_oracles()) if os.environ.get("PLUMBLINE_ALL") else PICK
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
@@ -36,5 +37,7 @@ def test_entry_runs(spark):
 
 
 def test_inventory_is_registered():
-    assert len(E.queries()) >= 229
-    assert set(E.queries()) - set(E.oracle_sql()) == {"audit_row_items", "spatial_pair_items"}
+    from plumbline.plans import all_queries
+
+    assert len(all_queries()) >= 229 and set(all_queries()) <= set(E.queries())
+    assert set(all_queries()) - set(all_oracles()) == {"audit_row_items", "spatial_pair_items"}
