@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from plumbline.llm import exact_dedup as exact
 from plumbline.llm import line_dedup as lines
 from plumbline.llm import mixing
-from plumbline.llm.common import table
+from plumbline.llm import toxicity
+from plumbline.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +40,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", in_fold("doc_id", toxicity.LEARN_FOLDS).alias("held_out"), "score", "predicted", "passages", "passage_start", "passage_end")
+
+
 @query("op7_mixing", mixing.ORACLE)
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_by_document(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
