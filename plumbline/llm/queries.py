@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm import decontamination
 from plumbline.llm import exact_dedup as exact
 from plumbline.llm import line_dedup as lines
 from plumbline.llm import mixing
@@ -57,3 +58,8 @@ WITH g AS (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS g
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(g.t) AS text_sha256 FROM documents JOIN g ON coalesce(text, '') = g.t""")
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))

@@ -96,7 +96,7 @@ def evidence(scores: list[float], m: int) -> tuple[float, int]:
 
 def _evidence_of(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per text: evidence, number of significant passages, first and last byte of the best passage (-1: none)."""
-    w = Words(column, MARKS)
+    w = Words(column, MARKS, lower=True)
     n = len(column)
     x, many = np.zeros(n), np.zeros(n, np.int64)
     lo, hi = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
@@ -123,7 +123,7 @@ def _probability(model: Model, x: np.ndarray) -> np.ndarray:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in blocks(batch, 0, 1 << 23):
-            w = Words(b.column(0), MARKS)
+            w = Words(b.column(0), MARKS, lower=True)
             label = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             key, group = np.unique(w.hash, return_inverse=True)
             k = len(key)

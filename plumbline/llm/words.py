@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once.
 BLOCK = 1 << 21
@@ -85,9 +86,10 @@ def blocks(batch: pa.RecordBatch, text: int, size: int = BLOCK) -> Iterator[pa.R
 
 class Words:
     """The words of some texts: ``hash`` per word, ``doc`` (position of its text), ``first`` (per text, the
-    number of words before it; one more entry than texts), ``start`` and ``end`` (byte positions)."""
+    number of words before it; one more entry than texts), ``start`` and ``end`` (byte positions). ``fold``:
+    hash A-Z as a-z. ``lower``: hash all letters as lower-case ones (this never adds or removes a word)."""
 
-    def __init__(self, column: pa.Array, separators: bytes = SPACES, fold: bool = True, seed: int = 1):
+    def __init__(self, column: pa.Array, separators: bytes = SPACES, fold: bool = True, seed: int = 1, lower: bool = False):
         data, at = text_bytes(column)
         n, docs = len(data), len(at) - 1
         if n == 0:
@@ -113,6 +115,8 @@ class Words:
         self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start])
         self.first = np.searchsorted(self.start, at)
         self.doc = np.repeat(np.arange(docs), np.diff(self.first))
+        if lower and (data >= 128).any():
+            self.hash = Words(pc.utf8_lower(column), separators, True, seed).hash
 
     def grams(self, n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of n words of one text and the position of each one's first word."""
