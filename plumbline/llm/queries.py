@@ -11,6 +11,7 @@ from plumbline.llm import decontamination
 from plumbline.llm import exact_dedup as exact
 from plumbline.llm import line_dedup as lines
 from plumbline.llm import mixing
+from plumbline.llm import substring_dedup as substrings
 from plumbline.llm import toxicity
 from plumbline.llm.common import in_fold, table
 
@@ -41,6 +42,22 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op3_substring_dedup", r"""
+WITH w AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos, len(t) AS n
+           FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS t FROM documents)),
+g AS (SELECT doc_id, pos, n, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)) AS h FROM w),
+m AS (SELECT h, min(doc_id) AS least FROM g WHERE pos <= n - 12 GROUP BY h),
+r AS (SELECT g.doc_id, g.pos FROM g JOIN m USING (h) WHERE g.pos <= g.n - 12 AND m.least < g.doc_id),
+c AS (SELECT w.doc_id, w.pos, w.word, r.pos IS NOT NULL AS hit FROM w LEFT JOIN r USING (doc_id, pos)),
+k AS (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM c),
+s AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN s USING (doc_id)""")
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op4_toxicity")
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
