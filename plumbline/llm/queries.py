@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import decontamination
 from plumbline.llm import exact_dedup as exact
+from plumbline.llm import jaccard_join as jaccard
 from plumbline.llm import line_dedup as lines
 from plumbline.llm import mixing
 from plumbline.llm import substring_dedup as substrings
@@ -44,7 +45,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_substring_dedup", r"""
 WITH w AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos, len(t) AS n
-           FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS t FROM documents)),
+           FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS t FROM documents)),
 g AS (SELECT doc_id, pos, n, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)) AS h FROM w),
 m AS (SELECT h, min(doc_id) AS least FROM g WHERE pos <= n - 12 GROUP BY h),
 r AS (SELECT g.doc_id, g.pos FROM g JOIN m USING (h) WHERE g.pos <= g.n - 12 AND m.least < g.doc_id),
@@ -65,6 +67,20 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", in_fold("doc_id", toxicity.LEARN_FOLDS).alias("held_out"), "score", "predicted", "passages", "passage_start", "passage_end")
 
 
+@query("op6_jaccard_join", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
+        ELSE list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)""")
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query("op7_mixing", mixing.ORACLE)
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_by_document(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
