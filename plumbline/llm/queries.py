@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import decontamination
 from plumbline.llm import exact_dedup as exact
 from plumbline.llm import jaccard_join as jaccard
+from plumbline.llm import language_model as lm
 from plumbline.llm import line_dedup as lines
 from plumbline.llm import mixing
 from plumbline.llm import substring_dedup as substrings
@@ -93,6 +94,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op9_lm_scoring")
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 @query("op10_decontamination")
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
