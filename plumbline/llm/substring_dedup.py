@@ -7,6 +7,9 @@ Extend: an anchor found in several documents is extended to both sides into each
 Equal windows are joined on a digest of all their words; a window that also starts in a document with a smaller id
 is repeated, and neighbouring repeated windows run together into maximal repeats, which are removed.
 
+Whole copies of a text with a smaller id are found first, by digest: all their windows are repeated, and what they
+could tell others the first copy tells as well, so they are not extended.
+
 Every join is one shuffle on the digest followed by a pass over the sorted rows. Before a shuffle each block of
 texts keeps one row per digest and settles the others, so that a passage found in a large part of all documents
 brings one row per block and not one per document.
@@ -15,13 +18,14 @@ brings one row per block and not one per document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import NO_ID, key_id, whole
+from plumbline.llm.common import NO_ID, key_id, whole, written
 from plumbline.llm.words import Words, blocks, constants, id_column, int64, mix, text_bytes
 
 WINDOW = 13
@@ -106,6 +110,27 @@ def _anchors(window: int, anchor: int):
     return run
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per text, keyed by its digest."""
+    for batch in batches:
+        for b in blocks(batch, 1):
+            data, at = text_bytes(b.column(1))
+            raw = b"".join(blake2b(data[lo:hi], digest_size=16).digest() for lo, hi in zip(at[:-1], at[1:]))
+            h = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+            ids, version = id_column(b.column(0)), _versions(b.column(1))
+            key, place = int64(h[:, 0].copy()), int64((h[:, 1] >> np.uint64(40)) << np.uint64(40)) | (version << 32) | np.arange(len(ids))
+            yield from _in_text_order(*_first_settled(key, ids, place))
+
+
+def _first_settled(key: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows in order of (key, more, id); settled: a smaller id of this block has the same key."""
+    more = place >> 40
+    order = np.lexsort((ids, more, key))
+    key, ids, place, more = key[order], ids[order], place[order], more[order]
+    first = np.append(True, (key[1:] != key[:-1]) | (more[1:] != more[:-1]))
+    return order, key, ids, place, ids > ids[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (key, id): those whose key has several ids, and settled ones. Rows of the open key wait
     only while all are of one document."""
@@ -148,7 +173,9 @@ def _candidates(window: int, anchor: int):
                 many = np.diff(lists.offsets.to_numpy())
                 doc = np.repeat(np.arange(len(lists)), many)
                 place = lists.flatten().to_numpy(zero_copy_only=False)
-                own = (place >> 32) == x.version[doc]
+                copy = np.zeros(len(lists), bool)
+                copy[doc[place == -1 - x.version[doc]]] = True
+                own = ((place >> 32) == x.version[doc]) & ~copy[doc]
                 chosen = np.zeros(len(x.words.hash) + 1, bool)
                 chosen[x.words.first[doc[own]] + (place[own] & np.int64(0xFFFFFFFF))] = True
                 at = x.at[chosen[x.selected]]
@@ -162,12 +189,7 @@ def _candidates(window: int, anchor: int):
                     h.append(mix(total))
                 ids = id_column(b.column(0))[x.words.doc[at]]
                 key, place = int64(h[0]), int64((h[1] >> np.uint64(40)) << np.uint64(40)) | x.place(at)
-                more = place >> 40
-                order = np.lexsort((ids, more, key))
-                key, ids, place, more = key[order], ids[order], place[order], more[order]
-                first = np.append(True, (key[1:] != key[:-1]) | (more[1:] != more[:-1]))
-                least = ids[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-                yield from _in_text_order(order, key, ids, place, ids > least)
+                yield from _in_text_order(*_first_settled(key, ids, place))
 
     return run
 
@@ -201,8 +223,10 @@ def _cut(window: int):
                 for t, s, v in zip(texts, starts, version):
                     words = t.encode().split()
                     spans = []
-                    if s:
-                        at = np.unique(np.array([p & 0xFFFFFFFF for p in s if p >> 32 == v], np.int64))
+                    if s and -1 - v in s:
+                        spans = [(0, len(words))] if len(words) >= window else []
+                    elif s:
+                        at = np.unique(np.array([p & 0xFFFFFFFF for p in s if p >= 0 and p >> 32 == v], np.int64))
                         if len(at):
                             cut = np.flatnonzero(np.diff(at) > window)
                             lo, hi = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + window
@@ -232,10 +256,12 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     src = docs.select(key_id(doc_id).alias("id"), whole(text).alias("text"))
     anchors = src.mapInArrow(_anchors(window, anchor), _ROWS)
     seeds = anchors.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "id long, place long")
-    seeds = seeds.groupBy("id").agg(F.collect_list("place").alias("places"))
+    copies = src.mapInArrow(_texts, _ROWS).repartition("key").sortWithinPartitions("key", F.shiftright("place", 40), "id").mapInArrow(_repeated, "id long, place long")
+    copies = written(copies.select("id", (-1 - F.shiftright("place", 32)).alias("place")).distinct(), "copies")
+    seeds = seeds.unionByName(copies).groupBy("id").agg(F.collect_list("place").alias("places"))
     found = src.join(seeds, "id", "left").select("id", "text", "places").mapInArrow(_candidates(window, anchor), _ROWS)
     found = found.repartition("key").sortWithinPartitions("key", F.shiftright("place", 40), "id").mapInArrow(_repeated, "id long, place long")
-    found = found.groupBy("id").agg(F.collect_list("place").alias("places"))
+    found = found.unionByName(copies).groupBy("id").agg(F.collect_list("place").alias("places"))
     out = src.join(found, "id", "left").select("id", "text", "places")
     out = out.mapInArrow(_cut(window), "id long, text string, n_words long, n_removed long, removed array<struct<start:long,end:long>>")
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "text", "n_words", "n_removed", "removed")
