@@ -13,6 +13,7 @@ from plumbline.llm import jaccard_join as jaccard
 from plumbline.llm import language_model as lm
 from plumbline.llm import line_dedup as lines
 from plumbline.llm import mixing
+from plumbline.llm import privacy
 from plumbline.llm import substring_dedup as substrings
 from plumbline.llm import toxicity
 from plumbline.llm.common import in_fold, table
@@ -44,6 +45,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op2_pii")
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op3_substring_dedup", r"""
 WITH w AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos, len(t) AS n
            FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
