@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from plumbline.llm import decontamination
 from plumbline.llm import exact_dedup as exact
 from plumbline.llm import jaccard_join as jaccard
 from plumbline.llm import language_model as lm
 from plumbline.llm import line_dedup as lines
 from plumbline.llm import mixing
-from plumbline.llm import privacy
+from plumbline.llm import privacy, quality
 from plumbline.llm import substring_dedup as substrings
 from plumbline.llm import toxicity
 from plumbline.llm.common import in_fold, table
@@ -74,6 +75,21 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", in_fold("doc_id", toxicity.LEARN_FOLDS).alias("held_out"), "score", "predicted", "passages", "passage_start", "passage_end")
 
 
+#: A page's address: host, first part of the path, and the number of the document it shows.
+_PAGE = r"^[a-z]+://([^/?#]+)/([^/?#]+)/([0-9]{1,18})(?:[.?#]|$)"
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", _PAGE, 3).try_cast("long").alias("doc_id"), F.regexp_extract("url", _PAGE, 1).alias("site"), F.regexp_extract("url", _PAGE, 2).alias("path"))
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    # Documents that no page shows come from their source.
+    by_source = docs.select("doc_id", F.concat(F.lit("~"), F.coalesce("source", F.lit(""))).alias("site"), F.coalesce("lang", F.lit("")).alias("path"))
+    out = quality.quality_scores(docs, pages.where(F.col("doc_id").isNotNull()).unionByName(by_source), model)
+    return out.select("doc_id", in_fold("doc_id", quality.FOLDS).alias("held_out"), "site", "path", "evidence", "site_rate", "path_rate", "score", "kept")
+
+
 @query("op6_jaccard_join", r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
@@ -108,3 +124,8 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontamination")
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

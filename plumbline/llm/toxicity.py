@@ -213,3 +213,15 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, *added])
 
     return src.mapInArrow(run, schema)
+
+
+def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with their own columns only; cases as in ``score``."""
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch, place):
+                yield b.filter(pa.array(_probability(model, _evidence_of(model, b.column(place))[0]) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
