@@ -141,7 +141,8 @@ def gather(train: DataFrame) -> tuple[Counts, dict[int, int]]:
     rows = written(train.mapInArrow(_unigrams, "key long, n long, kind int").groupBy("kind", "key").agg(F.sum("n").alias("n")), "unigrams")
     words = rows.where("kind = 0")
     total, distinct = (x or 0 for x in words.agg(F.sum("n"), F.count(F.lit(1))).first())
-    top = words.where(F.col("n") * FREQUENT > total).select("key", "n").toPandas()  # at most FREQUENT rows
+    end = int(int64(np.array([END]))[0])
+    top = words.where((F.col("n") * FREQUENT > total) | (F.col("key") == end)).select("key", "n").toPandas()  # at most FREQUENT + 1 rows
     keys, uses = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(keys)
     keys, uses = keys[order], uses[order]
@@ -269,7 +270,7 @@ def _direct(c: Counts, lam: np.ndarray):
                 p = w[:, 0] * c2 / np.maximum(ch, 1) + w[:, 1] * cw / max(c.total, 1) + w[:, 2] / (c.distinct + 1)
                 n = len(t.size)
                 doc = t.doc[at]
-                cols = [id_column(b.column(0)), t.size, np.bincount(doc, minlength=n), np.bincount(doc, np.log10(cw + 0.1) - base_floor, n), np.bincount(doc, np.log10(p), n)]
+                cols = [id_column(b.column(0)), t.size, np.bincount(doc, minlength=n), np.bincount(doc, np.log10(cw + 0.1) - base_floor, n).astype(np.float64), np.bincount(doc, np.log10(p), n).astype(np.float64)]
                 yield pa.record_batch([pa.array(x) for x in cols], names=["id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
