@@ -140,41 +140,42 @@ def verifiable(source: Column) -> Column:
     return ~F.coalesce(source, F.lit(UNVERIFIABLE[0])).isin(*UNVERIFIABLE)
 
 
-def paired_contrast(index: DataFrame, hole_type: str, positive: str, negative: str, fields: list[str]) -> DataFrame:
+def paired_contrast(index: DataFrame, hole_type: str, positive: str, negative: str, fields: list[str], order: str = "sample_id") -> DataFrame:
     """(image_id, label, operator, fields): a positive and a negative row of every image that
-    carries both operators. One aggregation per image, no self-join."""
+    carries both operators; of several rows the last in ``order`` counts. One aggregation per image, no self-join."""
     prefix = "" if hole_type == "mask" else "RECT_"
     row = F.struct(F.col("operator"), *fields)
 
     def pick(op):
-        return F.max(F.when(F.col("operator") == prefix + op, row))
+        return F.max_by(row, F.when(F.col("operator") == prefix + op, F.col(order)))
 
     both = index.filter(F.col("hole_type") == hole_type).groupBy("image_id").agg(pick(positive).alias("p"), pick(negative).alias("n")).filter("p IS NOT NULL AND n IS NOT NULL")
     sides = F.array(F.struct(F.lit(1).alias("label"), F.col("p").alias("r")), F.struct(F.lit(0).alias("label"), F.col("n").alias("r")))
     return both.select("image_id", F.explode(sides).alias("s")).select("image_id", "s.label", "s.r.*")
 
 
-def ladder(index: DataFrame, hole_type: str, arm: str, qualities: list[int], reference: int, fields: list[str]) -> DataFrame:
+def ladder(index: DataFrame, hole_type: str, arm: str, qualities: list[int], reference: int, fields: list[str], order: str = "sample_id") -> DataFrame:
     """Two controls of one image per quality: one damaged (label 1), one at the reference."""
-    base = paired_contrast(index, hole_type, "CONTROL_OBJ", "CONTROL_OBJ_2", fields)
+    base = paired_contrast(index, hole_type, "CONTROL_OBJ", "CONTROL_OBJ_2", fields, order)
     d = base.withColumn("quality", F.explode(F.array(*[F.lit(q) for q in qualities])))
     damage = F.when(F.col("label") == 1, F.col("quality")).otherwise(reference)
     suffix = F.when(F.col("label") == 1, F.concat(F.lit("_q"), F.col("quality").cast("string"))).otherwise(F.lit(f"_ref{reference}"))
     return d.withColumn("arm", F.lit(arm)).withColumn("damage", damage).withColumn("sample_id", F.concat(F.col("image_id").cast("string"), F.lit("_"), F.col("operator"), suffix))
 
 
-def verified_pairs(verified: DataFrame, scores: DataFrame) -> DataFrame:
+def verified_pairs(verified: DataFrame, scores: DataFrame, order: str = "sample_id") -> DataFrame:
     """Long rows (source, label, score) of pairs whose both sides were verified removed, whose
-    control can be verified and whose both sides have scores."""
+    control can be verified and whose both sides have scores. Of several rows of a side the last in
+    ``order`` counts; a control without a source is filed under ``unknown``."""
     row = F.struct("sample_id", "removed", "control_source")
 
     def side(op):
-        return F.max_by(row, F.when(F.col("operator") == op, F.col("sample_id")))
+        return F.max_by(row, F.when(F.col("operator") == op, F.col(order)))
 
     pairs = verified.groupBy("image_id", "hole_type").agg(side("REMOVE").alias("r"), side("CONTROL_OBJ").alias("c")).filter("r.removed AND c.removed")
-    pairs = pairs.filter(verifiable(F.col("c.control_source")))
+    pairs = pairs.withColumn("source", F.coalesce(F.col("c.control_source"), F.lit("unknown"))).filter(verifiable(F.col("source")))
     s1, s2 = scores.select(F.col("sample_id").alias("_r"), F.col("score").alias("sr")), scores.select(F.col("sample_id").alias("_c"), F.col("score").alias("sc"))
-    d = pairs.select(F.col("c.control_source").alias("source"), F.col("r.sample_id").alias("_r"), F.col("c.sample_id").alias("_c")).join(s1, "_r").join(s2, "_c")
+    d = pairs.select("source", F.col("r.sample_id").alias("_r"), F.col("c.sample_id").alias("_c")).join(s1, "_r").join(s2, "_c")
     sides = F.array(F.struct(F.lit(True).alias("label"), F.col("sr").alias("score")), F.struct(F.lit(False).alias("label"), F.col("sc").alias("score")))
     return d.select("source", F.explode(sides).alias("x")).select("source", "x.*")
 

@@ -148,7 +148,7 @@ def veto_choice(cands: Column, rule: str) -> Column:
     keep1 = F.when(c1["fits"], c1)
     if rule == "c1_only":
         return keep1
-    rest = F.filter(F.slice(cands, 2, 1 << 20), lambda c: c["fits"])
+    rest = F.filter(cands, lambda c, i: (i >= 1) & c["fits"])
     best = F.array_max(F.transform(rest, lambda c: F.struct(c["n_match"].alias("m"), (-c["pos"]).alias("o"))))
     return F.coalesce(keep1, F.try_element_at(F.filter(rest, lambda c: -c["pos"] == best["o"]), F.lit(1)))
 

@@ -21,12 +21,12 @@ SELECT item_id AS image_id, CASE WHEN h[['pr:' || item_id]] % 7 > 0 THEN gx0 END
 
 
 @query("assign_box_to_instance", with_tables("cand items", f"""
-WITH p AS (SELECT image_id, iid AS pid, x0 + 12 AS px0, y0 + 8 AS py0, x1 + 20 AS px1, y1 AS py1 FROM cand WHERE iid = 2),
-v AS (SELECT p.image_id, c.iid, coalesce({sql_iou('p.p', 'c.')}, 0) AS v FROM p JOIN cand c USING (image_id)), r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY v DESC, iid) AS rn FROM v)
-SELECT image_id, CASE WHEN v >= 0.5 THEN iid END AS iid, v AS iou FROM r WHERE rn = 1"""))
+WITH p AS (SELECT image_id, iid AS pid, x0 + 12 AS px0, y0 + 8 AS py0, x1 + 20 AS px1, y1 AS py1 FROM cand),
+v AS (SELECT p.image_id, pid, c.iid, coalesce({sql_iou('p.p', 'c.')}, 0) AS v FROM p JOIN cand c USING (image_id)), r AS (SELECT *, row_number() OVER (PARTITION BY image_id, pid ORDER BY v DESC, iid) AS rn FROM v)
+SELECT image_id, pid, CASE WHEN v >= 0.5 THEN iid END AS iid, v AS iou FROM r WHERE rn = 1"""))
 def assign_box_to_instance(t):
-    p = t.cand.filter("iid = 2").select("image_id", G.box(col("x0") + 12, col("y0") + 8, col("x1") + 20, col("y1")).alias("pred"))
-    return J.assign_boxes(p, t.cand.select("image_id", "iid", gt().alias("box")), "image_id", ["image_id"], "pred", "iid", "box")
+    p = t.cand.select("image_id", col("iid").alias("pid"), G.box(col("x0") + 12, col("y0") + 8, col("x1") + 20, col("y1")).alias("pred"))
+    return J.assign_boxes(p, t.cand.select("image_id", "iid", gt().alias("box")), "image_id", ["image_id", "pid"], "pred", "iid", "box")
 
 
 # ---- records ----

@@ -186,10 +186,10 @@ def alternative_negatives(t):
 
 
 @query("cross_scene_negatives", with_tables("verdicts", """
-WITH c AS (SELECT image_id, image_id % 7 AS src, iid, verdict FROM verdicts WHERE clause >= 2), i AS (SELECT image_id, src, iid, bool_and(verdict <> 'no') AS s FROM c GROUP BY 1, 2, 3)
+WITH c AS (SELECT image_id, image_id % 7 AS src, iid, verdict FROM verdicts), i AS (SELECT image_id, src, iid, bool_and(verdict <> 'no') AS s FROM c GROUP BY 1, 2, 3)
 SELECT image_id, src, count(*) FILTER (s) AS n_satisfiers, count(*) FILTER (s) = 0 AS usable FROM i GROUP BY 1, 2"""))
 def cross_scene_negatives(t):
-    return SE.cross_negatives(t.verdicts.filter("clause >= 2").withColumn("src", col("image_id") % 7), ["image_id", "src"])
+    return SE.cross_negatives(t.verdicts.withColumn("src", col("image_id") % 7), ["image_id", "src"])
 
 
 @query("mosaic_label_rows", with_tables("verdicts", """

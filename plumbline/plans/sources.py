@@ -108,18 +108,21 @@ def file_facts(t):
 
 @query("coco_json_explode", with_tables("boxes", """
 WITH l AS (SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, l_quantity FROM lineitem)
-SELECT l_orderkey AS image_id, l_partkey AS ann_id, k, 'img' || l_orderkey || '.jpg' AS file_name, CAST(l_partkey + l_linenumber * 10 AS DOUBLE) AS x1, CASE k WHEN 0 THEN 'the part ' || l_partkey ELSE 'no ' || l_suppkey END AS expr
+SELECT o_custkey AS document, l_orderkey - 7 * o_custkey AS image_id, l_partkey AS ann_id, k, 'img' || l_orderkey || '.jpg' AS file_name, CAST(l_partkey + l_linenumber * 10 AS DOUBLE) AS x1, CASE k WHEN 0 THEN 'the part ' || l_partkey ELSE 'no ' || l_suppkey END AS expr
 FROM l JOIN orders ON o_orderkey = l_orderkey, range(0, 2) r(k)"""))
 def coco_json_explode(t):
-    # one COCO document per customer, as annotation files are cut in practice
-    img = t.orders.groupBy("o_custkey").agg(F.collect_list(F.struct(col("o_orderkey").alias("id"), F.concat(F.lit("img"), col("o_orderkey").cast("string"), F.lit(".jpg")).alias("file_name"), F.lit(1000).alias("width"),
+    # one COCO document per customer, as annotation files are cut in practice; each numbers its images on its own
+    def local(order):
+        return col(order) - 7 * col("o_custkey")
+
+    img = t.orders.groupBy("o_custkey").agg(F.collect_list(F.struct(local("o_orderkey").alias("id"), F.concat(F.lit("img"), col("o_orderkey").cast("string"), F.lit(".jpg")).alias("file_name"), F.lit(1000).alias("width"),
                                                                    F.lit(800).alias("height"))).alias("images"))
     p = col("l_partkey")
     ann = t.lineitem.join(t.orders.select(col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").groupBy("o_custkey").agg(F.collect_list(F.struct(
-        p.alias("id"), col("l_orderkey").alias("image_id"), F.array(p.cast("double"), F.lit(2.0), (col("l_linenumber") * 10).cast("double"), F.lit(4.0)).alias("bbox"),
+        p.alias("id"), local("l_orderkey").alias("image_id"), F.array(p.cast("double"), F.lit(2.0), (col("l_linenumber") * 10).cast("double"), F.lit(4.0)).alias("bbox"),
         F.array(F.concat(F.lit("the part "), p.cast("string")), F.concat(F.lit("no "), col("l_suppkey").cast("string"))).alias("sentences"))).alias("annotations"))
-    d = A.coco_items(img.join(ann, "o_custkey"))
-    return d.select("image_id", "ann_id", "k", "file_name", col("box.x1").alias("x1"), "expr")
+    d = A.coco_items(img.join(ann, "o_custkey").withColumnRenamed("o_custkey", "document"), "document")
+    return d.select("document", "image_id", "ann_id", "k", "file_name", col("box.x1").alias("x1"), "expr")
 
 
 @query("csv_sidecar_sink", "SELECT doc_id, 'task ' || doc_id AS task, quality, toxic FROM labels")

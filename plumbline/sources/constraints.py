@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from plumbline.session import scratch_path
 from pyspark.sql import types as T
 
 from plumbline.functions.hashing import hash64_halves
@@ -74,10 +76,14 @@ def output_rules() -> dict[str, Column]:
 
 
 def require(problems: DataFrame, what: str) -> None:
-    """Raise with the first problems when there are any (a bounded ``take``)."""
-    rows = problems.take(20)
-    if rows:
-        raise ConstraintError(f"{what}: " + "; ".join(str(r.asDict()) for r in rows))
+    """Raise when there are problems: all of them go to a table in the shared folder, whose path and number of
+    rows the error gives with the first few."""
+    first = problems.take(20)
+    if first:
+        path = scratch_path(problems.sparkSession, "problems")
+        problems.write.json(path)
+        n = problems.sparkSession.read.text(path).count()
+        raise ConstraintError(f"{what}: {n} problems, listed in {path}: " + "; ".join(str(r.asDict()) for r in first))
 
 
 def validate(df: DataFrame, kind: str) -> DataFrame:

@@ -163,3 +163,33 @@ def test_recomposed_skips_paraphrases(spark):
         cells += [(1, 1, clause, mine), (1, 2, clause, other)]
     r = SE.recomposed(spark.createDataFrame(cells, "s int, iid int, clause string, verdict string"), "s", 1, 2, 2, 20, "z").first()
     assert r.score == 1 and "is very tall" in r.clauses and len(r.clauses) == 2
+
+
+def test_coco_ids_count_within_one_document(spark):
+    from plumbline.sources.adapters import coco_items
+
+    rows = [(d, [(1, f"{d}.jpg", 10, 10)], [(7, 1, [0.0, 0.0, 4.0, 4.0], ["a lamp"])]) for d in ("a", "b")]
+    df = spark.createDataFrame(rows, "document string, images array<struct<id:long,file_name:string,width:int,height:int>>, annotations array<struct<id:long,image_id:long,bbox:array<double>,sentences:array<string>>>")
+    assert sorted((r.document, r.ann_id, r.file_name) for r in coco_items(df, "document").collect()) == [("a", 7, "a.jpg"), ("b", 7, "b.jpg")]
+
+
+def test_last_row_wins_in_pairs(spark):
+    from plumbline.operators import joins as J
+
+    rows = [(1, "mask", "REMOVE", "s1", "z-first", True, None), (1, "mask", "REMOVE", "s2", "a-last", True, None), (1, "mask", "CONTROL_OBJ", "s3", "c", True, None), (2, "mask", "REMOVE", "s4", "x", True, None)]
+    df = spark.createDataFrame(rows, "image_id int, hole_type string, operator string, sample_id string, field string, removed boolean, control_source string")
+    got = J.paired_contrast(df, "mask", "REMOVE", "CONTROL_OBJ", ["field"]).collect()
+    assert sorted((r.image_id, r.label, r.field) for r in got) == [(1, 0, "c"), (1, 1, "a-last")]
+    scores = spark.createDataFrame([(f"s{i}", i / 10) for i in range(1, 5)], "sample_id string, score double")
+    assert sorted((r.source, r.label, r.score) for r in J.verified_pairs(df, scores).collect()) == [("unknown", False, 0.3), ("unknown", True, 0.2)]
+
+
+def test_all_problems_are_listed(spark):
+    import re
+
+    from plumbline.sources.constraints import ConstraintError, require
+
+    with pytest.raises(ConstraintError) as e:
+        require(spark.range(50).withColumnRenamed("id", "row"), "rows")
+    path = re.search(r"listed in (\S+):", str(e.value)).group(1)
+    assert "50 problems" in str(e.value) and spark.read.json(path).count() == 50
