@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
 from plumbline.operators.stats import rate_ci
+from plumbline.sources.schemas import OUTPUT_TYPES
 
 # Thresholds of the relations and of the decision rules.
 SAME_IOU, SAME_REGION_IOU, SHIFT_IOU, CORRECT_IOU = 0.5, 0.3, 0.5, 0.5
@@ -15,6 +16,7 @@ NONE_ON_REMOVE_MAX, BOX_ON_REMOVE_MAX, ABSTAIN_MAX, SHIFT_MAX = 0.60, 0.80, 0.30
 SHIFT_EXCESS, SAME_BOX_MIN, KAPPA_MIN, FRONTIER_SAME_BOX = 0.10, 0.20, 0.60, 0.05
 CONDITIONS = ("ORIGINAL", "REMOVE", "CONTROL_OBJ", "CONTROL_BG", "T_NULL", "T_HEAD", "T_ATTR")
 LOCALIZED = ("box", "point", "set")
+TYPES = OUTPUT_TYPES
 RATES = (("none_on_remove", "clean"), ("box_on_remove", "clean"), ("same_box_50", "frame"), ("same_box_r30", "frame"),
          ("shift_on_control_obj", "correct"), ("shift_on_control_bg", "correct"), ("abstain_on_control_obj", "all"), ("t_null_pass", "all"),
          ("t_null_prior_pass", "all"), ("t_head_pass", "all"), ("unresolved", "all"), ("redundant", "all"), ("undetermined", "all"))
@@ -25,11 +27,22 @@ def unknown() -> Column:
 
 
 def pivot_conditions(preds: DataFrame, keys: list[str], condition: str = "condition") -> DataFrame:
-    """One row per key with a struct per condition. ``preds`` carries type, box, px, py.
-
-    A fixed condition list makes this one aggregation; nothing is collected."""
-    p = F.struct(F.col("type").alias("type"), F.col("box").alias("box"), F.col("px").alias("px"), F.col("py").alias("py"))
-    return preds.groupBy(*keys).agg(*[F.first(F.when(F.col(condition) == c, p), ignorenulls=True).alias(c) for c in CONDITIONS])
+    """One row per key with a struct per condition. ``preds`` carries type, box, px, py; a key has
+    one row per condition (the largest values count otherwise).
+
+    A fixed condition list makes this one aggregation of numbers: no sort, nothing is collected.
+    The structs are put together after it."""
+    numbers = {"t": F.coalesce(F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type")), F.lit(0)), **{c: F.col(f"box.{c}") for c in ("x0", "y0", "x1", "y1")}, "px": F.col("px"), "py": F.col("py")}
+    flat = preds.select(*keys, condition, *[v.alias(f"_{k}") for k, v in numbers.items()])
+    wide = flat.groupBy(*keys).agg(*[F.max(F.when(F.col(condition) == c, F.col(f"_{k}"))).alias(f"{c}_{k}") for c in CONDITIONS for k in numbers])
+
+    def part(c):
+        n = {k: F.col(f"{c}_{k}") for k in numbers}
+        box = F.when(n["x0"].isNotNull(), G.box(n["x0"], n["y0"], n["x1"], n["y1"]))
+        kind = F.when(n["t"] > 0, F.element_at(F.array(*[F.lit(t) for t in TYPES]), n["t"].cast("int")))
+        return F.when(n["t"].isNotNull(), F.struct(kind.alias("type"), box.alias("box"), n["px"].alias("px"), n["py"].alias("py"))).alias(c)
+
+    return wide.select(*keys, *[part(c) for c in CONDITIONS])
 
 
 def moved_from(pred: Column, reference: Column, threshold: float = SHIFT_IOU) -> Column:

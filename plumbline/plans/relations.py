@@ -57,14 +57,18 @@ def condition_pivot_relations(t):
 
 
 @query("moved_from", with_tables("preds", f"""
-WITH o AS (SELECT item_id, proto, x0 AS ox0, y0 AS oy0, x1 AS ox1, y1 AS oy1 FROM preds WHERE condition = 'ORIGINAL'),
-m AS (SELECT p.item_id, p.proto, condition, ptype AS pt, x0 AS px0, y0 AS py0, x1 AS px1, y1 AS py1, o.* EXCLUDE (item_id, proto) FROM preds p JOIN o ON p.item_id = o.item_id AND p.proto = o.proto WHERE condition <> 'ORIGINAL')
-SELECT item_id, proto, condition, {_moved('p', 'o')} AS moved FROM m"""))
+WITH w AS (SELECT *, ptype AS pt, x0 AS px0, y0 AS py0, x1 AS px1, y1 AS py1, {", ".join(f"max(CASE WHEN condition = 'ORIGINAL' THEN {c} END) OVER (PARTITION BY item_id, proto) AS o{c}" for c in ("x0", "y0", "x1", "y1"))},
+  bool_or(condition = 'ORIGINAL') OVER (PARTITION BY item_id, proto) AS has FROM preds)
+SELECT item_id, proto, condition, {_moved('p', 'o')} AS moved FROM w WHERE has AND condition <> 'ORIGINAL'"""))
 def moved_from(t):
+    # pivot and take apart again: one shuffle, where a join with the ORIGINAL rows takes two
     box = F.when(col("ptype") == "box", G.box(col("x0"), col("y0"), col("x1"), col("y1")))
-    p = t.preds.select("item_id", "proto", "condition", F.struct(col("ptype").alias("type"), box.alias("box")).alias("pred"))
-    o = p.filter("condition = 'ORIGINAL'").select("item_id", "proto", col("pred.box").alias("ref"))
-    return p.filter("condition <> 'ORIGINAL'").join(o, ["item_id", "proto"]).select("item_id", "proto", "condition", RL.moved_from(col("pred"), col("ref")).alias("moved"))
+    none = F.lit(None).cast("double")
+    p = t.preds.select("item_id", "proto", "condition", col("ptype").alias("type"), box.alias("box"), none.alias("px"), none.alias("py"))
+    wide = RL.pivot_conditions(p, ["item_id", "proto"]).filter("ORIGINAL IS NOT NULL")
+    rest = F.array(*[F.struct(F.lit(c).alias("condition"), col(c).alias("pred")) for c in RL.CONDITIONS if c != "ORIGINAL"])
+    d = wide.select("item_id", "proto", col("ORIGINAL.box").alias("ref"), F.explode(rest).alias("c")).filter("c.pred IS NOT NULL")
+    return d.select("item_id", "proto", "c.condition", RL.moved_from(col("c.pred"), col("ref")).alias("moved"))
 
 
 DEN = {"all": "true", "clean": "coalesce(remove_clean_verifier, false)", "correct": "orig_correct", "frame": "coalesce(remove_clean_verifier, false) AND orig_correct AND NOT coalesce(unresolved, false)"}
