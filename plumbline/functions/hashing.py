@@ -20,16 +20,16 @@ def seeded_hex(seed, *keys) -> Column:
     return F.md5(F.concat_ws(":", _text(seed), *[_text(k) for k in keys]))
 
 
-def hash32(text: Column) -> Column:
-    """First 32 bits of md5(text) as a non-negative bigint."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-
-
 def seeded_int(seed, *keys) -> Column:
     """Uniform integer in [0, 2^32) for (seed, keys)."""
     return F.conv(F.substring(seeded_hex(seed, *keys), 1, 8), 16, 10).cast("bigint")
 
 
+def seeded_pick(seed, *keys) -> Column:
+    """Uniform integer in [0, 2^60) for (seed, keys): for picks out of any number of rows."""
+    return F.conv(F.substring(seeded_hex(seed, *keys), 1, 15), 16, 10).cast("bigint")
+
+
 def seeded_unit(seed, *keys) -> Column:
     """Uniform double in [0, 1) for (seed, keys)."""
     return seeded_int(seed, *keys) / F.lit(4294967296.0)

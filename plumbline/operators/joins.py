@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
 from plumbline.functions import text as T
-from plumbline.functions.hashing import seeded_int
+from plumbline.functions.hashing import seeded_pick
 from plumbline.operators.boxes import grid_join
 from plumbline.operators.ranks import hash_rank
 from plumbline.session import cut_lineage
@@ -222,7 +222,7 @@ def cross_group_pairs(items: DataFrame, scenes: DataFrame, category: str, group:
     size = scenes.groupBy(category).agg(F.count("*").alias("_m"))
     own = items.join(ring.join(size, category), [category, group])
     m = F.col("_m")
-    start = seeded_int(seed, F.col(item)) % F.greatest(m - 1, F.lit(1))
+    start = seeded_pick(seed, F.col(item)) % F.greatest(m - 1, F.lit(1))
     j = own.filter(m > 1).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(k).cast("bigint"), m - 1) - 1)))
     j = j.withColumn("_rk", (F.col("_rk") - 1 + 1 + (start + F.col("_j")) % (m - 1)) % m + 1).withColumnRenamed(group, f"src_{group}")
     return j.join(ring, [category, "_rk"]).drop("_rk", "_m", "_j")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.hashing import seeded_hex, seeded_int
+from plumbline.functions.hashing import seeded_hex, seeded_pick
 from plumbline.operators.ranks import _join, hash_rank, running_totals
 
 RESAMPLES = 2000
@@ -97,7 +97,7 @@ def resample_fixed(per_cluster: DataFrame, cluster: str, seed, n_resamples: int)
     numbered = hash_rank(per_cluster, seed, [cluster], name="_no")
     total = per_cluster.agg(F.count("*").alias("_n"))
     picks = (draws(numbered.select(F.col("_no").alias("_k")).join(F.broadcast(total)), n_resamples)
-             .withColumn("_no", seeded_int(seed, F.col("draw"), F.col("_k")) % F.col("_n") + 1)
+             .withColumn("_no", seeded_pick(seed, F.col("draw"), F.col("_k")) % F.col("_n") + 1)
              .groupBy("draw", "_no").agg(F.count("*").alias("times")))
     return picks.join(numbered, "_no").drop("_no")
 

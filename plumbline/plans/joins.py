@@ -210,7 +210,7 @@ def review_pool(t):
 WITH it AS (SELECT o_orderkey AS item, o_custkey AS grp, c_nationkey AS cat FROM orders JOIN customer ON o_custkey = c_custkey),
 ring AS (SELECT c_custkey AS grp, c_nationkey AS cat, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('x:' || c_custkey), c_custkey) AS rk, count(*) OVER (PARTITION BY c_nationkey) AS m FROM customer),
 j AS (SELECT item, it.grp, it.cat, rk, m, k FROM it JOIN ring r ON r.cat = it.cat AND r.grp = it.grp, range(0, 3) z(k) WHERE m > 1 AND k < least(3, m - 1))
-SELECT item, j.grp AS src_grp, j.cat, r.grp FROM j JOIN ring r ON r.cat = j.cat AND r.rk = (j.rk + (h[['x:' || item]] % greatest(j.m - 1, 1) + k) % (j.m - 1)) % j.m + 1"""))
+SELECT item, j.grp AS src_grp, j.cat, r.grp FROM j JOIN ring r ON r.cat = j.cat AND r.rk = (j.rk + (hl[['x:' || item]] % greatest(j.m - 1, 1) + k) % (j.m - 1)) % j.m + 1"""))
 def cross_group_pairs(t):
     scenes = t.customer.select(col("c_custkey").alias("grp"), col("c_nationkey").alias("cat"))
     items = t.orders.select(col("o_orderkey").alias("item"), col("o_custkey").alias("grp")).join(scenes, "grp")

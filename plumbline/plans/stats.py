@@ -29,7 +29,7 @@ POIS = " + ".join(f"CASE WHEN u >= {x} THEN 1 ELSE 0 END" for x in S.poisson_thr
 @query("clustered_bootstrap", with_tables("", f"""
 WITH per AS (SELECT o_custkey AS k, count(*) FILTER (o_orderstatus = 'F') AS s, count(*) AS n FROM orders GROUP BY 1),
 num AS (SELECT *, row_number() OVER (ORDER BY md5('boot:' || k), k) AS no, count(*) OVER () AS m FROM per),
-pick AS (SELECT b, h[['boot:' || b || ':' || no]] % m + 1 AS no FROM num, range(1, {B + 1}) r(b)),
+pick AS (SELECT b, hl[['boot:' || b || ':' || no]] % m + 1 AS no FROM num, range(1, {B + 1}) r(b)),
 st AS (SELECT b, sum(s) / CAST(sum(n) AS DOUBLE) AS stat FROM pick JOIN num USING (no) GROUP BY b)
 SELECT (SELECT sum(s) / CAST(sum(n) AS DOUBLE) FROM per) AS point, round(quantile_cont(stat, 0.025), 9) AS lo, round(quantile_cont(stat, 0.975), 9) AS hi FROM st"""))
 def clustered_bootstrap(t):
@@ -172,7 +172,7 @@ def median_log10(t):
 @query("user_statistic", with_tables("", f"""
 WITH per AS (SELECT o_custkey AS k, max(o_totalprice) AS top, count(*) AS n FROM orders GROUP BY 1),
 num AS (SELECT *, row_number() OVER (ORDER BY md5('user:' || k), k) AS no, count(*) OVER () AS m FROM per),
-pick AS (SELECT b, h[['user:' || b || ':' || no]] % m + 1 AS no FROM num, range(1, {B + 1}) r(b)),
+pick AS (SELECT b, hl[['user:' || b || ':' || no]] % m + 1 AS no FROM num, range(1, {B + 1}) r(b)),
 st AS (SELECT b, max(top) - min(top) AS stat FROM pick JOIN num USING (no) GROUP BY b)
 SELECT (SELECT round(max(top) - min(top), 6) FROM per) AS point, round(quantile_cont(stat, 0.025), 6) AS lo, round(quantile_cont(stat, 0.975), 6) AS hi FROM st"""))
 def user_statistic(t):

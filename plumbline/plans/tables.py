@@ -120,13 +120,16 @@ FROM lineitem""",
 
 DEPENDS = {"inst": ("cand",), "answers": ("items",), "preds": ("items",), "evals": ("items",), "verdicts": ("cand",)}
 
-_H = re.compile(r"h\[\[(.*?)\]\]", re.S)
+_H = re.compile(r"\b(hl?)\[\[(.*?)\]\]", re.S)
 
 
 def spell(sql: str, engine: str) -> str:
-    """Fill in the hash macro for ``spark`` or ``duck``."""
-    form = (r"CAST(conv(substr(md5(\1), 1, 8), 16, 10) AS BIGINT)" if engine == "spark"
-            else r"CAST('0x' || substr(md5(\1), 1, 8) AS BIGINT)")
+    """Fill in the hash macros for ``spark`` or ``duck``: ``h`` has 32 bits, ``hl`` 60."""
+
+    def form(m):
+        digits = f"substr(md5({m[2]}), 1, {15 if m[1] == 'hl' else 8})"
+        return f"CAST(conv({digits}, 16, 10) AS BIGINT)" if engine == "spark" else f"CAST('0x' || {digits} AS BIGINT)"
+
     return _H.sub(form, sql)
 
 
