@@ -10,7 +10,7 @@ from plumbline.plans.registry import query
 from plumbline.plans.tables import with_tables
 
 col = F.col
-B = 200  # resamples of the registered queries; the library default is 2,000
+B = 2000  # resamples, the library default
 
 SQL_AUROC = """
 WITH c AS (SELECT grp, score, sum(label) AS pos, count(*) - sum(label) AS neg FROM scored GROUP BY 1, 2),
