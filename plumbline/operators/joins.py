@@ -15,6 +15,7 @@ from plumbline.operators.boxes import grid_join
 from plumbline.operators.ranks import hash_rank
 from plumbline.session import cut_lineage
 
+# Thresholds and class names of the rules.
 ASSIGN_IOU, SIBLING_IOU, REFERENCE_IOU = 0.5, 0.3, 0.3
 REFERENCE_AREA = (0.005, 0.5)
 CLASSES = ("REMOVE", "CONTROL_OBJ")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import geometry as G
 from plumbline.functions.hashing import seeded_hex, seeded_int
 from plumbline.operators.ranks import first_by_hash, hash_rank
+from plumbline.session import broadcast_if_small
 
 HINT_IOU = 0.5
 
@@ -28,7 +29,7 @@ def top_boxes(df: DataFrame, item: str, first: Column, area: Column, iid: str, b
 def hold_out_groups(df: DataFrame, group: str, n: int, seed, name: str = "held_out") -> DataFrame:
     """Flags the rows of the first n groups in seeded order; a group is never divided."""
     chosen = first_by_hash(df.select(group).distinct(), n, seed, [group]).withColumn(name, F.lit(True))
-    return df.join(F.broadcast(chosen), group, "left").withColumn(name, F.coalesce(name, F.lit(False)))  # n rows
+    return df.join(broadcast_if_small(chosen), group, "left").withColumn(name, F.coalesce(name, F.lit(False)))  # n rows
 
 
 def split_by_fraction(df: DataFrame, group: str, fraction: float, seed, name: str = "train") -> DataFrame:
@@ -43,7 +44,7 @@ def split_by_fraction(df: DataFrame, group: str, fraction: float, seed, name: st
 def reserve_slice(df: DataFrame, key: str, n: int, seed, slice_name: str) -> DataFrame:
     """Names a slice of n seeded rows and takes them out of scope."""
     chosen = first_by_hash(df.select(key), n, seed, [key]).withColumn("_in", F.lit(True))
-    d = df.join(F.broadcast(chosen), key, "left")  # n rows
+    d = df.join(broadcast_if_small(chosen), key, "left")
     return (d.withColumn("dev_slice", F.when(F.col("_in"), slice_name)).withColumn("in_scope", F.col("in_scope") & F.col("_in").isNull()).drop("_in"))
 
 

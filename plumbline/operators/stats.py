@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.hashing import seeded_hex, seeded_pick
 from plumbline.operators.ranks import _join, hash_rank, running_totals
 
+# Fixed value: number of resamples.
 RESAMPLES = 2000
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.hashing import seeded_hex
 from plumbline.operators.ranks import first_by_hash, hash_rank, running_totals, with_group_stats
 
+# Gap and wording of ordinals.
 MIN_GAP = 0.05
 ORDINALS = ("first", "second", "third", "fourth", "fifth")
 

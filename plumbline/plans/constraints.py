@@ -117,6 +117,12 @@ def snapshot_diff(t):
     return C.snapshot_diff(a, b, "doc_id", "v")
 
 
+@query("set_digest", "WITH l AS (SELECT sha256(concat_ws('=', CAST(doc_id AS VARCHAR), coalesce(lang, chr(0)))) AS h FROM documents) SELECT sha256(concat_ws('|', CAST(count(*) AS VARCHAR), "
+       + ", ".join(f"CAST(sum(CAST(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT) AS HUGEINT)) AS VARCHAR)" for i in range(8)) + ")) AS digest FROM l")
+def set_digest(t):
+    return C.set_digest(t.documents, "doc_id", "lang")
+
+
 @query("request_budget", """
 WITH s AS (SELECT 300 + (c_custkey * 37) % 7400 AS w, 200 + (c_custkey * 53) % 4900 AS h FROM customer),
 c AS (SELECT w, h, CASE WHEN w * h > 2457600 THEN greatest(1, CAST(round_even(w * sqrt(2457600.0e0 / CAST(w * h AS DOUBLE)), 0) AS INT)) ELSE w END AS cw,

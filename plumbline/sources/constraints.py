@@ -164,13 +164,14 @@ def snapshot_diff(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame
     return j.select(key, status.alias("status")).filter("status IS NOT NULL")
 
 
-def set_digest(df: DataFrame, key: str, value: str, seed_digits: int = 3) -> DataFrame:
-    """Order-independent digest of a keyed set: a digest per hash bucket of keys, then one over
-    the at most 16**3 bucket digests (no task sees the whole set)."""
+def set_digest(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Order-independent digest of a keyed set: number of rows and the sums of the eight 32-bit parts of each
+    row's sha-256, digested once more. Sums combine before the shuffle; nothing is collected."""
     line = F.concat_ws("=", F.col(key).cast("string"), F.coalesce(F.col(value).cast("string"), F.lit("\u0000")))
     d = df.select(F.sha2(line, 256).alias("_h"))
-    per = d.groupBy(F.substring("_h", 1, seed_digits).alias("_b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ","), 256).alias("_d"))
-    return per.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_d"))), lambda s: s["_d"]), ","), 256).alias("digest"))
+    parts = [F.sum(F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"_s{i}") for i in range(8)]
+    sums = d.agg(F.count("*").cast("string").alias("_n"), *parts)
+    return sums.select(F.sha2(F.concat_ws("|", "_n", *[F.coalesce(f"_s{i}", F.lit("0")) for i in range(8)]), 256).alias("digest"))
 
 
 def inadmissible_runs(table: DataFrame, runs: DataFrame, run: str, flag: str) -> DataFrame:
