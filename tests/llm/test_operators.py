@@ -470,6 +470,38 @@ def test_language_model_counts_and_mixture(spark, edge, empty, monkeypatch):
     assert language_model.lm_scores(empty).count() == 0
 
 
+def test_language_model_keeps_every_context(spark, edge, monkeypatch):
+    r = random.Random(8)
+    rows = [x for x in edge[0] if x[0] not in (4, 5, None)] + [(300 + i, " ".join(f"{r.choice('abc')}{int(r.paretovariate(0.4)) % 500}" for _ in range(r.randrange(40))), "a") for i in range(80)]
+    rows = list({x[0]: x for x in rows}.values())
+    kept = {}
+    weights = language_model._weights
+    monkeypatch.setattr(language_model, "_weights", lambda *a: kept.setdefault("lam", weights(*a)))
+    docs = {i: (t or "").encode().lower().split() + [None] for i, t, _ in rows}
+    train = [i for i in docs if zlib.crc32(str(i).encode()) % 10]
+    one, two = Counter(), Counter()
+    for i in train:
+        one.update(docs[i])
+        two.update(zip([0, *docs[i]], docs[i]))
+    n, v = sum(one.values()), len(one)
+    assert sum(c == 1 for c in one.values()) > 100
+    before = {w: c for w, c in one.items() if w is not None} | {0: len(train)}
+    b = lambda c: int(language_model.bucket(np.array([c]))[0])
+    for frequent in (64, 1 << 18):
+        monkeypatch.setattr(language_model, "FREQUENT", frequent)
+        kept.clear()
+        got = {x.doc_id: x for x in language_model.lm_scores(table(spark, rows).repartition(4)).collect()}
+        lam = kept["lam"]
+        for i, w in docs.items():
+            score = 0.0
+            for h, x in zip([0, *w], w):
+                ch = before.get(h, 0)
+                q = lam[b(ch)]
+                score += math.log10(q[0] * (two[(h, x)] / ch if ch else 0) + q[1] * one[x] / n + q[2] / (v + 1))
+            assert (got[i].n_tokens, got[i].n_known) == (len(w), sum(one[x] > 0 for x in w))
+            assert math.isclose(got[i].score, score, rel_tol=1e-9)
+
+
 def test_language_model_rows_with_one_id(spark):
     got = language_model.lm_scores(table(spark, [(1, "a b", "s"), (1, "a b", "s"), (None, None, "s"), (2, "a", None)])).collect()
     assert Counter((x.doc_id, x.n_tokens) for x in got) == Counter([(1, 6), (2, 2), (None, 1)])
