@@ -1,10 +1,12 @@
 """Personal data under format-preserving pseudonyms, with built-in expressions only.
 
 Found values keep their format: digits are permuted by a keyed Feistel network over numbers of the same length,
-card numbers get a new check digit, dates are permuted within the days of the calendar and written as they were,
-addresses keep the number of their parts, credentials their
-alphabet and length. The key decides the pseudonym, so equal values stay equal in
-all documents, and whoever holds the key can undo it. Numbers count as found when they are valid (check digit,
+card numbers and IBANs get new check digits, dates are permuted within the days of the calendar and written as they
+were, social security numbers within the numbers that can be given out. E-mail addresses are one as lower and
+upper case; their letters and digits are permuted place by place (the local part by host), and ``.invalid`` is
+added. The key decides the pseudonym, so equal values stay equal in all documents, unequal ones unequal, and whoever
+holds the key can undo it. Only credentials are hashed: they keep prefix and length, become hexadecimal, cannot be
+undone, and short passwords may meet. Numbers count as found when they are valid (check digits,
 calendar, ranges); the rest of the text is untouched. A document is handled as one row: it is split at the finds,
 these are replaced one by one, and the pieces are joined again, so nothing is shuffled.
 """
@@ -58,6 +60,41 @@ def feistel(digits: str, key: str = KEY) -> str:
     return f"aggregate({steps}, {start}, (s, k) -> {body}, s -> {end})"
 
 
+def _permuted(x: str, key: str, tweak: str) -> str:
+    """SQL of a keyed permutation of strings: letters stay letters of their case, digits digits, all else stays. Feistel
+    with halves of characters: each round moves one half's within their kinds by a keyed amount made of the other half."""
+    bits = f"sha2(concat('{key}|', s.i, '|', length(s.l), '|', length(s.r), '|', {tweak}, '|', if(s.i % 2 = 0, s.r, s.l)), 512)"
+    amount = "cast(conv(substr(bits, 4 * (j % 32) + 1, 4), 16, 10) as int)"
+    kind = lambda first, n: f"char({ord(first)} + (ascii(c) - {ord(first)} + {amount}) % {n})"
+    moved = f"case when c between '0' and '9' then {kind('0', 10)} when c between 'a' and 'z' then {kind('a', 26)} when c between 'A' and 'Z' then {kind('A', 26)} else c end"
+    move = f"element_at(transform(array({bits}), bits -> array_join(transform(split(if(s.i % 2 = 0, s.l, s.r), ''), (c, j) -> {moved}), '')), 1)"
+    body = f"element_at(transform(array({move}), m -> named_struct('i', s.i + 1, 'l', if(s.i % 2 = 0, m, s.l), 'r', if(s.i % 2 = 0, s.r, m))), 1)"
+    start = f"named_struct('i', 0, 'l', substr({x}, 1, length({x}) div 2), 'r', substr({x}, length({x}) div 2 + 1))"
+    return f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, k) -> {body}, s -> concat(s.l, s.r))"
+
+
+def _mod97(x: str) -> str:
+    """An IBAN's remainder: letters count as 10 to 35, the first four characters last; 1 for valid ones."""
+    return f"aggregate(split(concat(substr({x}, 5), substr({x}, 1, 4)), ''), 0, (t, c) -> case when c = '' then t when c between '0' and '9' then (t * 10 + cast(c as int)) % 97 else (t * 100 + ascii(c) - 55) % 97 end)"
+
+
+def _iban(x: str, key: str) -> str:
+    """The find with its longest valid beginning (words in capitals may follow) replaced, spaces kept."""
+    prefix = f"replace(substr({x}, 1, p), ' ', '')"
+    cut = f"array_max(filter(sequence(1, length({x})), p -> p > 14 and substr({x}, p + 1, 1) in ('', ' ') and {_mod97(prefix)} = 1))"
+    compact = f"replace(substr({x}, 1, n), ' ', '')"
+    body = f"element_at(transform(array(substr({compact}, 5)), b -> {_permuted('b', key + '|iban', f'substr({x}, 1, 2)')}), 1)"
+    unchecked = f"concat(substr({x}, 1, 2), '00', b)"
+    whole = f"concat(substr({x}, 1, 2), lpad(cast(98 - {_mod97(unchecked)} as string), 2, '0'), b)"
+    spaced = f"array_join(transform(sequence(1, n), p -> if(substr({x}, p, 1) = ' ', ' ', substr(w, length(replace(substr({x}, 1, p), ' ', '')), 1))), '')"
+    new = f"element_at(transform(transform(array({body}), b -> {whole}), w -> {spaced}), 1)"
+    return f"element_at(transform(array({cut}), n -> if(n is null, {x}, concat({new}, substr({x}, n + 1)))), 1)"
+
+
+def _ssn_valid(d: str) -> str:
+    return f"(substr({d}, 1, 3) not in ('000', '666') and substr({d}, 1, 1) <> '9' and substr({d}, 4, 2) <> '00' and substr({d}, 6) <> '0000')"
+
+
 def _in_format(x: str, digits: str) -> str:
     """The digits of x replaced in order by other digits, everything else kept."""
     return f"array_join(transform(sequence(1, length({x})), p -> if(substr({x}, p, 1) between '0' and '9', substr({digits}, length({_digits(f'substr({x}, 1, p)')}), 1), substr({x}, p, 1))), '')"
@@ -93,19 +130,21 @@ def pseudonym(x: str, key: str = KEY) -> str:
     date = f"coalesce(if({number} between 0 and {_DAYS - 1}, date_format(date_add(date'{_FIRST_DAY}', {_day_permuted(number, key)}), {form}), null), {x})"
     octets = (f"array_join(transform(split({x}, '[.]'), (o, i) -> cast((cast(o as int) + cast(conv(substr(sha2(concat('{key}|ip|', i, '|', array_join(slice(split({x}, '[.]'), 1, i), '.')), 256), 1, 8), 16, 10) as bigint)) % 256 as string)), '.')")
     secret = f"sha2(concat('{key}|secret|', regexp_replace({x}, '^[a-zA-Z]+[=:]', '')), 256)"
-    letters = f"sha2(concat('{key}|mail|', lower({x})), 256)"
-    user = f"translate(substr(repeat({letters}, 1 + length({x}) div 64), 1, instr({x}, '@') - 1), '0123456789', 'ghijklmnop')"
-    mail = f"concat({user}, '@', translate(substr(sha2(concat('{key}|host|', lower(substr({x}, instr({x}, '@') + 1))), 256), 1, 8), '0123456789', 'qrstuvwxyz'), '.invalid')"
-    iban = f"concat(substr({x}, 1, 2), element_at(transform(array(substr({x}, 3)), y -> {_in_format('y', feistel(_digits('y'), key))}), 1))"
+    parts = f"named_struct('user', lower(substring_index({x}, '@', 1)), 'host', lower(regexp_replace(substring_index({x}, '@', -1), '[.][^.]*$', '')), 'top', lower(substring_index({x}, '.', -1)))"
+    mail = f"element_at(transform(array({parts}), m -> concat({_permuted('m.user', key + '|mail', 'm.host')}, '@', {_permuted('m.host', key + '|host', 'm.top')}, '.', m.top, '.invalid')), 1)"
+    # Again while the result cannot be given out (cycle walking; 20 steps leave one in 10^19).
+    ssn = f"aggregate(sequence(1, 20), named_struct('v', {d}, 'n', 0), (w, k) -> if(w.n > 0 and {_ssn_valid('w.v')}, w, named_struct('v', {feistel('w.v', key + '|ssn')}, 'n', w.n + 1)), w -> w.v)"
+    ssn = f"if({_ssn_valid(d)}, element_at(transform(array({ssn}), v -> concat(substr(v, 1, 3), '-', substr(v, 4, 2), '-', substr(v, 6))), 1), {x})"
     plain = f"element_at(transform(array({x}), y -> {_in_format('y', feistel(_digits('y'), key))}), 1)"
     return f"""case
-        when {x} like '%@%' then {mail}
+        when {x} rlike '^{_EMAIL.replace(chr(92), chr(92) * 2)}$' then {mail}
         when {x} rlike '^{_KEY_ID}$' then concat('AKIA', upper(substr({secret}, 1, 16)))
         when {x} rlike '^{_HEX}$' then substr(concat({secret}, sha2({secret}, 256)), 1, length({x}))
         when {x} rlike '^[a-zA-Z]+[=:]' then concat(regexp_substr({x}, '^[a-zA-Z]+[=:]'), substr(repeat({secret}, 1 + length({x}) div 64), 1, length({x}) - length(regexp_substr({x}, '^[a-zA-Z]+[=:]'))))
         when {x} rlike '^{_DATE}$' then {date}
         when {x} rlike '^{_IP}$' then if(forall(split({x}, '[.]'), o -> cast(o as int) < 256), {octets}, {x})
-        when {x} rlike '^[A-Z][A-Z][0-9]' then {iban}
+        when {x} rlike '^[A-Z][A-Z][0-9]' then {_iban(x, key)}
+        when {x} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then {ssn}
         when length({d}) between 13 and 19 and {x} rlike '^[0-9]' and {luhn_sum(d)} % 10 = 0 then {_in_format(x, card)}
         when length({d}) between 13 and 19 and {x} rlike '^[0-9]' then {x}
         when length({d}) between 7 and 15 then {plain}

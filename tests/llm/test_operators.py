@@ -346,6 +346,42 @@ def test_pseudonyms_keep_the_format_and_link_values(spark):
     assert all(int(o) < 256 for o in new[7].split("."))
 
 
+def replaced(spark, values):
+    df = spark.createDataFrame([(i, f"x {v}") for i, v in enumerate(values)], "doc_id long, text string")
+    return [r.text[2:] for r in sorted(privacy.pseudonymised(df).collect())]
+
+
+def mod97(iban):
+    x = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+
+def test_mail_pseudonyms_are_one_to_one(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    values = [f"{c}@mail.example.com" for c in letters] + [f"{a}{b}@example.org" for a in letters for b in letters] + [f"a{i}@x{i}.io" for i in range(100)]
+    values += ["a.b-c@example.com", "ab-.c@example.com", "a" * 80 + "@example.com", "a" * 79 + "b@example.com", "a@b.co", "a@c.co", "a@b.com"]
+    new = replaced(spark, values)
+    assert len(set(new)) == len(values) and all(x.endswith(".invalid") for x in new)
+    assert [re.sub("[a-z]", "a", re.sub("[0-9]", "9", x.split("@")[0])) for x in new] == [re.sub("[a-z]", "a", re.sub("[0-9]", "9", x.split("@")[0])) for x in values]
+    assert len(set(replaced(spark, ["A.b@Example.com", "a.b@example.com"]))) == 1
+    assert re.fullmatch("password=[0-9a-f]{8}", replaced(spark, ["password=p@ss.com"])[0])
+
+
+def test_only_valid_ibans_and_social_security_numbers_are_replaced(spark):
+    good = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "BE68539007547034", "FR1420041010050500013M02606"]
+    new = replaced(spark, good)
+    assert all(mod97(x) == 1 for x in new) and new[1].replace(" ", "") == new[0] and len(set(new)) == 5
+    for a, b in zip(good, new):
+        assert a != b and a[:2] == b[:2] and re.sub("[A-Z]", "A", re.sub("[0-9]", "9", a)) == re.sub("[A-Z]", "A", re.sub("[0-9]", "9", b))
+    assert replaced(spark, [good[3] + " THEN MORE"]) == [new[3] + " THEN MORE"]
+    bad = ["DE88370400440532013000", "AB12 CDEF GHIJ KLMN", "000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "123-45-0000"]
+    assert replaced(spark, bad) == bad
+    numbers = [f"{a:03d}-{g:02d}-{n:04d}" for a in (1, 665, 667, 899) for g in (1, 99) for n in range(1, 120)]
+    new = replaced(spark, numbers)
+    assert len(set(new)) == len(numbers)
+    assert all(x[:3] not in ("000", "666") and x[0] != "9" and x[4:6] != "00" and x[7:] != "0000" for x in new)
+
+
 def test_pseudonyms_leave_other_text(spark, edge, empty):
     rows, df = edge
     plain = ["4804071098067954", "2024-02-30", "300.1.1.1", "version 2.0.1", "1999", "a@b", "price 12,345.67"]
