@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontamination, jaccard_join, line_dedup, mixing, toxicity
-from plumbline.llm.common import table, written
+from plumbline.llm.common import NO_ID, table, whole, written
 from plumbline.session import broadcast_if_small
 
 
@@ -34,9 +34,17 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id, and all documents without links."""
-    found = jaccard_join.jaccard_components(docs)
-    gone = written(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
+    """Of each group of linked documents the one with the smallest id, and all documents without links or id.
+
+    Rows without an id are nodes of their own by their text (63 bits of its hash under the sign bit), so that they
+    link what they are like and nothing else."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(whole()).bitwiseOR(F.lit(NO_ID)))
+    no_id = broadcast_if_small(written(docs.where(F.col("doc_id").cast("long").isNull()).select(own.alias("doc_id")).distinct(), "without-id"))
+    found = written(jaccard_join.jaccard_components(docs.select(own.alias("doc_id"), "text")), "linked").join(no_id, "doc_id", "left_anti")
+    # Where a row without an id is the smallest of its group, the smallest known id takes its place.
+    heads = found.join(no_id.withColumnRenamed("doc_id", "component_id"), "component_id", "left_semi").groupBy("component_id").agg(F.min("doc_id").alias("head"))
+    found = found.join(broadcast_if_small(written(heads, "heads")), "component_id", "left")
+    gone = written(found.where(F.col("doc_id") != F.coalesce("head", "component_id")).select("doc_id").distinct(), "near-copies")
     return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -246,6 +246,17 @@ def test_large_groups_are_closed_in_blocks(spark, monkeypatch):
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == brute_jaccard(rows)
 
 
+def test_near_copies_with_a_missing_id(spark):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    a, b, c = (prose(r, 60) for _ in range(3))
+    rows = [(None, a, "a"), (5, a, "a"), (9, a + " more", "a"), (9, a + " more", "a"), (None, b, "a"), (-7, b, "a"), (8, b, "a"), (2, c, "a"), (None, c + " x", "a"), (3, None, "a"), (None, None, "a"), (4, "", "a")]
+    got = corpus_pipeline.without_near_copies(spark, table(spark, rows), SF).collect()
+    want = [(None, a), (5, a), (None, b), (-7, b), (2, c), (None, c + " x"), (3, None), (None, None), (4, "")]
+    assert Counter((x.doc_id, x.text) for x in got) == Counter(want)
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)]
