@@ -3,7 +3,8 @@
 Document evidence is a logistic fit on how a text is written (letters, digits, symbols, case, repetition), learned
 on a bounded sample of labelled rows. Where a document comes from is evidence too: each site has a rate of good
 documents, estimated from the evidence of all its documents and shrunk towards the rate of all sites, and each
-path of a site has one shrunk towards its site. How strongly follows from how much sites and paths really differ
+path of a site has one shrunk towards its site. A document found in several places has the evidence of each: of
+every site against the prior, and of every path against its site. How strongly follows from how much sites and paths really differ
 (moments of a beta-binomial), so sparse ones stay near the prior. A document's own evidence is left out of the
 rates it is judged by. Rates are sums by group, combined before the shuffle; texts are never shuffled.
 """
@@ -121,8 +122,9 @@ def quality_scores(docs: DataFrame, places: DataFrame, evidence: Evidence, text:
     ``site_rate`` and ``path_rate`` (shrunk rates without the document itself), ``score`` (probability of being good)
     and ``kept`` (score of a half or more).
 
-    ``places`` has ``doc_id``, ``site`` and ``path``; of several places of an id the first in order counts, and
-    documents without one share one place with a missing site. Missing and empty texts are judged like empty ones;
+    ``places`` has ``doc_id``, ``site`` and ``path``; a document counts once in each of its places and sites, its rates
+    combine those of all of them (log-odds against the prior, and against the site, are added), and ``site`` and
+    ``path`` name the first in order. Documents without a place share one with a missing site. Missing and empty texts are judged like empty ones;
     repeated rows are rows of their own. An empty table gives an empty result; other columns are left out."""
     model = evidence
 
@@ -133,23 +135,33 @@ def quality_scores(docs: DataFrame, places: DataFrame, evidence: Evidence, text:
                 yield pa.record_batch([b.column(0), pa.array(np.clip(x, -30, 30))], names=["id", "evidence"])
 
     src = docs.select(key_id(doc_id).alias("id"), whole(text).alias("text")).mapInArrow(run, "id long, evidence double")
-    of = places.groupBy(key_id("doc_id").alias("id")).agg(F.min(F.struct("site", "path")).alias("at")).select("id", F.col("at.site").alias("site"), F.col("at.path").alias("path"))
+    of = places.select(key_id("doc_id").alias("id"), F.struct("site", "path").alias("at")).groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("at"))
     rows = src.join(of, "id", "left").withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
-    rows = written(rows.withColumns({"s": F.coalesce("site", F.lit("")), "t": F.coalesce("path", F.lit(""))}), "evidence")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "evidence")
+    # A row per place; of the paths of one site each has a share of what the site says.
+    every = rows.select("row", "id", "evidence", "p", F.explode_outer("at").alias("a"), F.col("at").alias("all"))
+    paths_here = F.greatest(F.size(F.filter("all", lambda x: x["site"].eqNullSafe(F.col("a.site")))), F.lit(1))
+    every = every.select("row", "id", "evidence", "p", F.col("a.site").alias("site"), F.col("a.path").alias("path"), F.coalesce("a.site", F.lit("")).alias("s"), F.coalesce("a.path", F.lit("")).alias("t"), (1 / paths_here).alias("share"))
 
     total = rows.agg(F.avg("p")).first()[0]
     base = float(np.clip(total if total is not None else model.prior, 1e-3, 1 - 1e-3))
-    paths = written(rows.groupBy("s", "t").agg(F.sum("p").alias("good"), F.count(F.lit(1)).alias("n")), "paths")
-    sites = written(paths.groupBy("s").agg(F.sum("good").alias("site_good"), F.sum("n").alias("site_n")), "sites")
+    paths = written(every.groupBy("s", "t").agg(F.sum("p").alias("good"), F.count(F.lit(1)).alias("n"), F.sum(F.col("p") * F.col("share")).alias("once"), F.sum("share").alias("n_once")), "paths")
+    sites = written(paths.groupBy("s").agg(F.sum("once").alias("site_good"), F.sum("n_once").alias("site_n")), "sites")
     k = _shrinkage(sites.select(F.col("site_good").alias("good"), F.col("site_n").alias("n"), F.lit(base).alias("base")), "base")
-    both = written(paths.join(sites, "s").withColumn("site_rate", (F.col("site_good") + k * base) / (F.col("site_n") + k)), "rates")
+    both = written(paths.drop("once", "n_once").join(sites, "s").withColumn("site_rate", (F.col("site_good") + k * base) / (F.col("site_n") + k)), "rates")
     k2 = _shrinkage(both, "site_rate")
 
-    r = rows.join(broadcast_if_small(both.drop("site_rate")), ["s", "t"])
-    site = (F.col("site_good") - F.col("p") + k * base) / (F.col("site_n") - 1 + k)
-    r = r.withColumn("site_rate", F.least(F.greatest(site, F.lit(1e-3)), F.lit(1 - 1e-3)))
-    path = (F.col("good") - F.col("p") + k2 * F.col("site_rate")) / (F.col("n") - 1 + k2)
-    r = r.withColumn("path_rate", F.least(F.greatest(path, F.lit(1e-3)), F.lit(1 - 1e-3)))
-    odds = F.col("evidence") - float(_logit(base)) + F.log(F.col("path_rate") / (1 - F.col("path_rate")))
+    held = lambda rate: F.least(F.greatest(rate, F.lit(1e-3)), F.lit(1 - 1e-3))
+    odds_of = lambda rate: F.log(rate / (1 - rate))
+    r = every.join(broadcast_if_small(both.drop("site_rate")), ["s", "t"])
+    r = r.withColumn("site_rate", held((F.col("site_good") - F.col("p") + k * base) / (F.greatest(F.col("site_n"), F.lit(1.0)) - 1 + k)))
+    r = r.withColumn("path_rate", held((F.col("good") - F.col("p") + k2 * F.col("site_rate")) / (F.col("n") - 1 + k2)))
+    prior = float(_logit(base))
+    r = r.groupBy("row", "id", "evidence").agg(
+        F.min(F.struct("site", "path")).alias("at"),
+        F.sum((odds_of(F.col("site_rate")) - prior) * F.col("share")).alias("by_site"), F.sum(odds_of(F.col("path_rate")) - odds_of(F.col("site_rate"))).alias("by_path"))
+    rate_of = lambda odds: 1 / (1 + F.exp(-odds))
+    r = r.select("id", "evidence", "at.site", "at.path", rate_of(prior + F.col("by_site")).alias("site_rate"), rate_of(prior + F.col("by_site") + F.col("by_path")).alias("path_rate"), (F.col("evidence") + F.col("by_site") + F.col("by_path")).alias("odds"))
+    odds = F.col("odds")
     r = r.withColumn("score", 1 / (1 + F.exp(-odds)))
     return r.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "site", "path", "evidence", "site_rate", "path_rate", "score", (F.col("score") >= 0.5).alias("kept"))

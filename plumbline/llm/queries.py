@@ -18,6 +18,7 @@ from plumbline.llm import privacy, quality
 from plumbline.llm import substring_dedup as substrings
 from plumbline.llm import toxicity
 from plumbline.llm.common import in_fold, table
+from plumbline.session import broadcast_if_small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,18 +76,25 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", in_fold("doc_id", toxicity.LEARN_FOLDS).alias("held_out"), "score", "predicted", "passages", "passage_start", "passage_end")
 
 
-#: A page's address: host, first part of the path, and the number of the document it shows.
-_PAGE = r"^[a-z]+://([^/?#]+)/([^/?#]+)/([0-9]{1,18})(?:[.?#]|$)"
+#: A page's address: host, the path before its last numeric part, and that part: the number of the document it shows.
+_PAGE = r"^(?i:[a-z][a-z0-9+.-]*)://([^/?#]+)(?:/+((?:[^?#]*[^/?#])?))??/+([0-9]{1,18})(?:\.[^/?#]*)?(?:/(?![^?#]*(?<=/)[0-9]{1,18}(?:[./?#]|$))[^?#]*)?(?:[?#]|$)"
+
+
+def places_of_pages(pages: DataFrame) -> DataFrame:
+    """``doc_id``, ``site`` and ``path`` of the pages whose address has a document number."""
+    part = lambda i: F.regexp_extract("url", _PAGE, i)
+    return pages.select(part(3).try_cast("long").alias("doc_id"), part(1).alias("site"), part(2).alias("path")).where(F.col("doc_id").isNotNull())
 
 
 @query("op5_quality")
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", _PAGE, 3).try_cast("long").alias("doc_id"), F.regexp_extract("url", _PAGE, 1).alias("site"), F.regexp_extract("url", _PAGE, 2).alias("path"))
+    pages = places_of_pages(table(spark, sf_dir, "pages"))
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     # Documents that no page shows come from their source.
     by_source = docs.select("doc_id", F.concat(F.lit("~"), F.coalesce("source", F.lit(""))).alias("site"), F.coalesce("lang", F.lit("")).alias("path"))
-    out = quality.quality_scores(docs, pages.where(F.col("doc_id").isNotNull()).unionByName(by_source), model)
+    by_source = by_source.join(broadcast_if_small(pages.select("doc_id").distinct()), "doc_id", "left_anti")
+    out = quality.quality_scores(docs, pages.unionByName(by_source), model)
     return out.select("doc_id", in_fold("doc_id", quality.FOLDS).alias("held_out"), "site", "path", "evidence", "site_rate", "path_rate", "score", "kept")
 
 

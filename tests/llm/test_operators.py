@@ -471,6 +471,32 @@ def test_quality_on_held_out_rows(spark, edge, empty):
     assert quality.quality_scores(docs, places, quality.fit(docs, labels.limit(0))).count() == 500
 
 
+def test_addresses_of_any_depth_name_their_document(spark):
+    urls = {"http://a.example.com/en/7": ("a.example.com", "en", 7), "https://a.example.com/en/7/": ("a.example.com", "en", 7), "https://b.org/x/y/12.html?page=3#top": ("b.org", "x/y", 12),
+            "http://c.net/9?x=1/2": ("c.net", "", 9), "http://c.net/p/3/view#t": ("c.net", "p", 3), "http://c.net/2024/05/88/": ("c.net", "2024/05", 88), "http://c.net/about": None, "http://c.net/?id=4": None, "x": None}
+    got = queries.places_of_pages(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
+    assert Counter((x.site, x.path, x.doc_id) for x in got) == Counter(x for x in urls.values() if x)
+
+
+def test_quality_combines_all_places(spark):
+    docs, labels, _ = labelled(spark, 300)
+    model = quality.Evidence(np.zeros(quality.FEATURES), np.ones(quality.FEATURES), np.zeros(quality.FEATURES), 0.0, 0.5)
+    model.weights[5], model.shift = 3.0, 0.0
+    model.mean[5] = 3.9
+    got = quality.quality_scores(docs, spark.createDataFrame([], "doc_id long, site string, path string"), model).collect()
+    assert all(x.site is None and x.path is None for x in got)
+    first = {x.doc_id: x.evidence for x in got}
+    order = sorted(first, key=first.get)
+    place = [(i, "bad.org", "p") for i in order[:100]] + [(i, "good.org", "p") for i in order[200:]]
+    one, two = order[140], order[160]
+    df = lambda extra: spark.createDataFrame(place + extra, "doc_id long, site string, path string")
+    at = lambda extra, i: next(x for x in quality.quality_scores(docs, df(extra), model).collect() if x.doc_id == i)
+    alone = at([(one, "bad.org", "p")], one)
+    both = at([(one, "bad.org", "p"), (one, "good.org", "p"), (one, "good.org", "p")], one)
+    assert alone.path_rate < 0.3 < both.path_rate and both.site == "bad.org"
+    assert len(quality.quality_scores(docs, df([(two, "bad.org", "p"), (two, "good.org", "q")]), model).collect()) == 300
+
+
 def test_sparse_sites_stay_near_the_prior(spark):
     r = random.Random(2)
     rows = [(i, prose(r, 50) if (i % 10 < 8 if i < 400 else i % 10 < 1 if i < 800 else 0) else " ".join(["ZZ!!"] * 30), "a") for i in range(801)]
