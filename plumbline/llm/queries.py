@@ -15,8 +15,11 @@ from plumbline.llm import language_model as lm
 from plumbline.llm import line_dedup as lines
 from plumbline.llm import mixing
 from plumbline.llm import privacy, quality
+from plumbline.llm import sentence_pieces as pieces
+from plumbline.llm import spelling_variants as spelling
 from plumbline.llm import substring_dedup as substrings
 from plumbline.llm import toxicity
+from plumbline.llm import vector_codes as codes
 from plumbline.llm.common import in_fold, table
 from plumbline.session import broadcast_if_small
 
@@ -134,6 +137,40 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op11_spelling_variants", r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS crc),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+g AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS k, run, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY doc_id, run),
+h AS (SELECT run, n, xor(list_reduce(flatten(list_transform(string_split(k, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + unicode(x)::BIGINT // 64, 128 + unicode(x)::BIGINT % 64] END)),
+      lambda c, b: xor(c // 256, crc[xor(c, b) % 256 + 1]), 4294967295), 4294967295) AS h FROM g, t),
+o AS (SELECT CASE WHEN h % 199 = 0 THEN run[:(h % length(run))::INT] || run[(h % length(run))::INT + 2:] ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM o WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+c AS (SELECT word, n, p, word[:p - 1] AS a, word[p + 1:] AS b FROM w, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS p)),
+e AS (SELECT x.word, y.word AS near, y.n AS near_n FROM c x JOIN c y USING (p, a, b) WHERE x.word <> y.word
+      UNION SELECT x.word, y.word, y.n FROM c x JOIN w y ON x.a || x.b = y.word
+      UNION SELECT y.word, x.word, x.n FROM c x JOIN w y ON x.a || x.b = y.word),
+f AS (SELECT w.word, any_value(w.n) AS n, count(e.near) AS n_near, min((-e.near_n, e.near)) FILTER (e.near_n >= 5 * w.n) AS best FROM w LEFT JOIN e USING (word) GROUP BY w.word),
+l AS (SELECT word, n, n_near, best[2] AS form, -best[1] AS form_n FROM f),
+z AS (SELECT word, word AS root FROM l UNION SELECT z.word, l.form FROM z JOIN l ON z.root = l.word WHERE l.form IS NOT NULL)
+SELECT l.word, l.form, z.root, l.n, l.n_near, l.form_n FROM l JOIN z USING (word) WHERE z.root NOT IN (SELECT word FROM l WHERE form IS NOT NULL)""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op12_vector_codes", codes.oracle())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_sentence_pieces")
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    out = pieces.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.read_model(path("piece_bpe_32k.model")))
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "as_library")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
