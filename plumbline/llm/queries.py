@@ -168,7 +168,7 @@ def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = pieces.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.read_model(path("piece_bpe_32k.model")))
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "as_library")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES["pipeline"] = corpus_pipeline.run

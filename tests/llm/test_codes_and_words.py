@@ -232,6 +232,25 @@ def test_what_is_remembered_is_bounded_and_changes_nothing(piece_model, monkeypa
         assert own.encode(text) == library.encode(text, add_eos=True)
 
 
+def test_a_difference_from_the_library_is_an_error(piece_model):
+    own, library = sentence_pieces.Codec(piece_model), sentencepiece.SentencePieceProcessor(model_proto=piece_model)
+    own.encode("this is right, even the long wo" + "r" * 100 + "d")
+    assert len(own.fresh) > 5
+    own.check(library)
+    assert own.fresh == []
+    own.rank["th"], own.rank["is"] = own.rank["is"], own.rank["th"]
+    own.rank.pop("ow")
+    own.encode("now")
+    with pytest.raises(ValueError):
+        own.check(library)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="thearing▁1,.", min_size=2, max_size=60))
+def test_both_kinds_of_agenda_merge_alike(codec, text):
+    assert codec[0].merged(text) == codec[0]._merged_by_heap(text)
+
+
 def test_other_kinds_of_vocabularies_are_refused():
     with pytest.raises(ValueError):
         sentence_pieces.Codec(b"\x0a\x05\x0a\x03abc\x12\x02\x18\x01")
@@ -245,6 +264,6 @@ def test_encode_and_decode(spark, piece_model, codec):
     want = []
     for i, t in rows:
         ids = library.encode(t or "", add_eos=True)
-        want.append((i, tuple(ids), library.decode(ids), True))
-    assert Counter((r.doc_id, tuple(r.ids), r.decoded, r.as_library) for r in got) == Counter(want)
+        want.append((i, tuple(ids), library.decode(ids)))
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in got) == Counter(want)
     assert sentence_pieces.encode_and_decode(documents(spark, []), piece_model).count() == 0
