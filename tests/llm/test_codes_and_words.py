@@ -238,8 +238,7 @@ def test_a_difference_from_the_library_is_an_error(piece_model):
     assert len(own.fresh) > 5
     own.check(library)
     assert own.fresh == []
-    own.rank["th"], own.rank["is"] = own.rank["is"], own.rank["th"]
-    own.rank.pop("ow")
+    own.rank.clear()
     own.encode("now")
     with pytest.raises(ValueError):
         own.check(library)
