@@ -3,11 +3,11 @@ the rates built on them, and the decision rules built on the rates."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
-from plumbline.operators.stats import rate_ci
+from plumbline.operators import resampling
 from plumbline.sources.schemas import OUTPUT_TYPES
 
 # Thresholds of the relations and of the decision rules.
@@ -108,11 +108,14 @@ def conditional_rates(rel: DataFrame, groups: list[str], clean: str = "remove_cl
 
 
 def conditional_rate_cis(rel: DataFrame, groups: list[str], cluster: str, clean: str = "remove_clean_verifier", **kw) -> DataFrame:
-    """The same rates with intervals that resample whole images."""
+    """Long table (groups, rate, n_pairs, point, lo, hi, n): the same rates with intervals that resample whole images.
+
+    All rates share one scan and one set of draws; an unmeasured rate has no point, no interval and n = 0."""
     den = denominators(clean)
-    entries = F.array(*[F.struct(F.lit(n).alias("rate"), F.when(den[f], F.col(n)).alias("v")) for n, f in RATES])
-    long = rel.select(*groups, cluster, F.explode(entries).alias("e")).select(*groups, cluster, "e.rate", "e.v").filter("v IS NOT NULL")
-    return rate_ci(long, [*groups, "rate"], F.col("v"), cluster, **kw)
+    named = {"n_pairs": F.lit(1.0)} | {name: F.when(den[frame], F.col(name).cast("int")) for name, frame in RATES}
+    out = resampling.means(rel, groups, cluster, named, **kw)
+    pairs = F.max(F.when(F.col("measure") == "n_pairs", F.col("n"))).over(Window.partitionBy(*groups))
+    return out.withColumn("n_pairs", pairs).where("measure <> 'n_pairs'").select(*groups, F.col("measure").alias("rate"), "n_pairs", "point", "lo", "hi", "n")
 
 
 def stop_rules(rates: DataFrame, protocol: str, model: str) -> DataFrame:

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import seeded_hex, seeded_pick
+from plumbline.functions.text import let
+from plumbline.operators import resampling
 from plumbline.operators.ranks import _join, hash_rank, running_totals
+from plumbline.operators.resampling import poisson_thresholds
 
 # Fixed value: number of resamples.
 RESAMPLES = 2000
@@ -42,15 +45,6 @@ def auroc(df: DataFrame, groups: list[str], label: Column, score: Column) -> Dat
 # ---- resampling -----------------------------------------------------------------------------
 
 
-def poisson_thresholds(terms: int = 13) -> list[int]:
-    """Cumulative Poisson(1) probabilities scaled to 32 bits."""
-    out, total = [], 0.0
-    for k in range(terms):
-        total += math.exp(-1) / math.factorial(k)
-        out.append(int(total * 2**32))
-    return out
-
-
 def with_poisson_weight(df: DataFrame, seed, draw: str, cluster: str, name: str = "_w") -> DataFrame:
     """How often a cluster enters one resample: Poisson(1) from a hash; rows of weight 0 drop.
 
@@ -80,21 +74,12 @@ def interval(values: DataFrame, groups: list[str], value: str = "stat", alpha: f
     return out.select(*groups, F.col("_ci")[0].alias("lo"), F.col("_ci")[1].alias("hi"), "n_draws")
 
 
-def resample_sums(per_cluster: DataFrame, groups: list[str], cluster: str, sums: list[str], seed, n_resamples: int) -> DataFrame:
-    """(groups, draw, sums): weighted totals of every resample.
-
-    Draws are exploded next to the data and summed map-side: a task emits one row per (group,
-    draw), whatever the number of clusters it read."""
-    weighted = with_poisson_weight(draws(per_cluster, n_resamples), seed, "draw", cluster)
-    return weighted.groupBy(*groups, "draw").agg(*[F.sum(F.col("_w") * F.col(s)).alias(s) for s in sums])
-
-
 def resample_fixed(per_cluster: DataFrame, cluster: str, seed, n_resamples: int) -> DataFrame:
     """Resamples of exactly as many clusters as there are: (draw, the cluster's columns, times).
 
     Draw k of resample b takes cluster number ``hash(b:k) % n``; equal picks are counted before
     they meet the clusters. Costs n x draws hashes and an equi-join; meant for cluster tables
-    that fit that budget, ``resample_sums`` for anything larger."""
+    that fit that budget, ``resampling.bootstrap`` for anything larger."""
     numbered = hash_rank(per_cluster, seed, [cluster], name="_no")
     total = per_cluster.agg(F.count("*").alias("_n"))
     picks = (draws(numbered.select(F.col("_no").alias("_k")).join(F.broadcast(total)), n_resamples)
@@ -125,15 +110,9 @@ def ratio_statistic(num: str, den: str):
 
 
 def mean_ci(df: DataFrame, groups: list[str], value: Column, cluster: str, seed="0", n_resamples: int = RESAMPLES, alpha: float = 0.05) -> DataFrame:
-    """(groups, point, lo, hi, n): mean of a value with a cluster-resampled interval.
-
-    Rows collapse to (sum, n) per cluster before any resampling."""
-    v = df.select(*groups, cluster, value.cast("double").alias("_v")).filter("_v IS NOT NULL")
-    per = v.groupBy(*groups, cluster).agg(F.sum("_v").alias("_s"), F.count("*").alias("_n"))
-    point = per.groupBy(*groups).agg((F.sum("_s") / F.sum("_n")).alias("point"), F.sum("_n").alias("n"))
-    sums = resample_sums(per, groups, cluster, ["_s", "_n"], seed, n_resamples)
-    ci = interval(sums.withColumn("stat", F.col("_s") / F.col("_n")), groups, "stat", alpha)
-    return _join(point, ci, groups).drop("n_draws")
+    """(groups, point, lo, hi, n): mean of a value with a cluster-resampled interval."""
+    out = resampling.means(df, groups, cluster, {"mean": value}, seed=seed, n_resamples=n_resamples, alpha=alpha)
+    return out.where("n > 0").select(*groups, "point", "lo", "hi", "n")
 
 
 def rate_ci(df: DataFrame, groups: list[str], success: Column, cluster: str, **kw) -> DataFrame:
@@ -223,32 +202,64 @@ def agreement_report(labels: DataFrame, item: str, rater: str, label: str, order
 
 # ---- tests ----------------------------------------------------------------------------------
 
-_LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
-            12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+# The series of ln(n!) less Stirling's formula.
+_STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360)
+
+
+def _stirling_rest(n: Column) -> Column:
+    """ln(n!) less Stirling's formula: a table below 16, where the series is too coarse."""
+    table = F.array(*[F.lit(math.lgamma(i + 1) - ((i + 0.5) * math.log(i) - i + 0.5 * math.log(2 * math.pi)) if i else 0.0) for i in range(16)])
+    x = n.cast("double")
+    series = sum((F.lit(c) / F.pow(x, F.lit(2.0 * i + 1)) for i, c in enumerate(_STIRLING)), F.lit(0.0))
+    return F.when(n < 16, F.get(table, F.least(n, F.lit(15)).cast("int"))).otherwise(series)
+
+
+def _deviance(k: Column, mean: Column) -> Column:
+    """k ln(k / mean) - (k - mean), without cancellation near the mean."""
+    v = (k - mean) / (k + mean)
+    d = k - mean
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(24)), F.struct((d * v).alias("s"), (2 * k * v).alias("e")),
+                         lambda a, j: F.struct((a["s"] + a["e"] * v * v / (2 * j + 1)).alias("s"), (a["e"] * v * v).alias("e")))["s"]
+    return F.when(k == 0, mean).when(F.abs(d) < 0.1 * (k + mean), series).otherwise(k * F.log(k / mean) - d)
 
 
-def lgamma(x: Column) -> Column:
-    """ln(gamma(x)) for x >= 1 (Lanczos series); Spark has no such function."""
-    z = x.cast("double") - 1.0
-    a = F.lit(_LANCZOS[0])
-    for i, c in enumerate(_LANCZOS[1:], 1):
-        a = a + F.lit(c) / (z + float(i))
-    t = z + 7.5
-    return F.lit(0.5 * math.log(2 * math.pi)) + (z + 0.5) * F.log(t) - t + F.log(a)
+def binomial_half_pmf(k: Column, n: Column) -> Column:
+    """Chance of k heads in n fair tosses, by deviances from the mean: as exact for a million as for ten."""
+    m, half = (n - k).cast("double"), n.cast("double") / 2
+    rest = _stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k) - _deviance(k.cast("double"), half) - _deviance(m, half)
+    inner = F.exp(rest) * F.sqrt(n / (F.lit(2 * math.pi) * k * m))
+    return F.when((k == 0) | (k == n), F.exp(-n * math.log(2.0))).otherwise(inner)
 
 
 def mcnemar_exact(df: DataFrame, keys: list[str], b: str, c: str) -> DataFrame:
     """Adds ``p``: exact two-sided binomial p of b against c discordant pairs.
 
-    The tail is summed over exploded terms. Terms more than ~20 standard deviations below the
-    largest one are smaller than the rounding of the sum and are not generated, so the number
-    of terms grows with sqrt(n)."""
-    d = df.withColumn("_n", F.col(b) + F.col(c)).withColumn("_k", F.least(b, c))
-    reach = (F.ceil(F.sqrt("_n") * 10) + 50).cast("bigint")
-    terms = d.withColumn("_i", F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), F.col("_k") - reach), F.col("_k").cast("bigint"))))
-    log_p = lgamma(F.col("_n") + 1) - lgamma(F.col("_i") + 1) - lgamma(F.col("_n") - F.col("_i") + 1) - F.col("_n") * math.log(2.0)
-    tail = terms.withColumn("_t", F.exp(log_p)).groupBy(*keys, b, c).agg(F.sum("_t").alias("_s"))
-    return tail.select(*keys, b, c, F.when(F.col(b) + F.col(c) == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.col("_s"))).alias("p"))
+    The tail is the regularised incomplete beta function at one half: the chance of exactly min(b, c) times a
+    continued fraction, folded in place. It is worked out from the inside for as many steps as it takes to settle,
+    which grows with the root of b + c; a finite fraction ends by itself."""
+    n, k = (F.col(b) + F.col(c)).cast("bigint"), F.least(b, c).cast("bigint")
+    p, q = (n - k).cast("double"), (k + 1).cast("double")  # tail = I_1/2(p, q)
+    tiny = 1e-300
+
+    def nonzero(x):
+        return F.when(F.abs(x) < tiny, tiny).otherwise(x)
+
+    def fraction(s, coefficient):
+        d, e = nonzero(1 + coefficient * s["d"]), nonzero(1 + coefficient / s["e"])
+        return F.struct((1 / d).alias("d"), e.alias("e"), (s["h"] * e / d).alias("h"))
+
+    def step(s, j):
+        j = j.cast("double")
+        even = j * (q - j) / 2 / ((p + 2 * j - 1) * (p + 2 * j))
+        odd = -(p + j) * (p + q + j) / 2 / ((p + 2 * j) * (p + 2 * j + 1))
+        return let(fraction(s, even), lambda t: fraction(t, odd))
+
+    first = 1 / nonzero(1 - (p + q) / 2 / (p + 1))
+    steps = F.sequence(F.lit(1).cast("bigint"), F.ceil(F.sqrt(n) * 3) + 40)
+    beta = F.aggregate(steps, F.struct(first.alias("d"), F.lit(1.0).alias("e"), first.alias("h")), step)["h"]
+    # x^p (1 - x)^q / (p B(p, q)) at one half is half the chance of exactly k; two tails make it whole
+    value = F.when(2 * k >= n, 1.0).otherwise(F.least(F.lit(1.0), binomial_half_pmf(k, F.greatest(n, F.lit(1))) * beta))
+    return df.select(*keys, b, c, value.alias("p"))
 
 
 def discordant_counts(a: DataFrame, b: DataFrame, key: list[str], groups: list[Column], correct: str = "correct") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
 from plumbline.operators import relations as RL
+from plumbline.operators.resampling import sql_weights
 from plumbline.plans.geometry import sql_iou
 from plumbline.plans.registry import query
 from plumbline.plans.tables import with_tables
@@ -76,9 +77,18 @@ SQL_RATES = " UNION ALL ".join(f"SELECT proto, custkey % 3 AS model, '{n}' AS ra
                                for n, f in RL.RATES)
 
 
-@query("conditional_rates", with_tables("preds", "WITH " + SQL_REL + " SELECT * FROM (" + SQL_RATES + ") z"))
+_PARTS = ", ".join(f"sum(CASE WHEN {DEN[f]} THEN CAST({n} AS INT) END) AS s_{n}, count(CASE WHEN {DEN[f]} THEN {n} END) AS n_{n}" for n, f in RL.RATES)
+_DRAWS = ", ".join(f"sum(wt * s_{n}) / CAST(nullif(sum(wt * n_{n}), 0) AS DOUBLE) AS r_{n}, sum(n_{n}) AS n_{n}" for n, _ in RL.RATES)
+SQL_RATE_CIS = ", per AS (SELECT proto, custkey % 3 AS model, custkey, count(*) AS pairs, " + _PARTS + " FROM rel GROUP BY ALL), st AS (SELECT proto, model, b, sum(pairs) AS pairs, " + _DRAWS + " FROM (" + sql_weights("per", "custkey", "rates", 2000) + ") GROUP BY ALL) " + " UNION ALL ".join(
+    f"SELECT proto, model, '{n}' AS rate, CAST(max(pairs) AS BIGINT) AS n_pairs, round(max(r_{n}) FILTER (b = 0), 9) AS point, round(quantile_cont(r_{n}, 0.025) FILTER (b > 0), 9) AS lo, round(quantile_cont(r_{n}, 0.975) FILTER (b > 0), 9) AS hi, CAST(max(n_{n}) AS BIGINT) AS n FROM st GROUP BY 1, 2"
+    for n, _ in RL.RATES)
+
+
+@query("conditional_rates", with_tables("preds", "WITH " + SQL_REL + SQL_RATE_CIS))
 def conditional_rates(t):
-    return RL.conditional_rates(relations(t).withColumn("model", col("custkey") % 3), ["proto", "model"])
+    """Every rate with its interval, by protocol and model; items of one customer are resampled together."""
+    out = RL.conditional_rate_cis(relations(t).withColumn("model", col("custkey") % 3), ["proto", "model"], "custkey", seed="rates")
+    return out.select("proto", "model", "rate", "n_pairs", "n", *[F.round(c, 9).alias(c) for c in ("point", "lo", "hi")])
 
 
 @query("stop_rules", with_tables("preds", "WITH " + SQL_REL + ", ra AS (" + SQL_RATES + """),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import ranks as R
 from plumbline.operators import stats as S
+from plumbline.operators.resampling import Spread, bootstrap, sql_weights
 from plumbline.plans.registry import query
 from plumbline.plans.tables import with_tables
 
@@ -40,11 +41,10 @@ def clustered_bootstrap(t):
 
 def _sql_mean_ci(table: str, group: str, value: str, cluster: str, seed: str, n: int = B) -> str:
     return f"""
-WITH per AS (SELECT {group} AS g, {cluster} AS k, sum({value}) AS s, count({value}) AS n FROM {table} WHERE {value} IS NOT NULL GROUP BY 1, 2),
-dr AS (SELECT g, b, s, n, h[['{seed}:' || b || ':' || k]] AS u FROM per, range(1, {n + 1}) r(b)),
-w AS (SELECT g, b, sum(({POIS}) * s) / CAST(sum(({POIS}) * n) AS DOUBLE) AS stat FROM dr GROUP BY 1, 2),
-ci AS (SELECT g, round(quantile_cont(stat, 0.025), 9) AS lo, round(quantile_cont(stat, 0.975), 9) AS hi FROM w WHERE NOT isnan(stat) GROUP BY 1)
-SELECT p.g AS grp, round(sum(s) / CAST(sum(n) AS DOUBLE), 9) AS point, CAST(sum(n) AS BIGINT) AS n, lo, hi FROM per p JOIN ci ON p.g = ci.g GROUP BY p.g, lo, hi"""
+WITH per AS (SELECT {group} AS g, {cluster} AS k, sum({value}) AS s, count({value}) AS n FROM {table} GROUP BY 1, 2),
+dr AS ({sql_weights('per', 'k', seed, n)}),
+w AS (SELECT g, b, sum(wt * s) / CAST(nullif(sum(wt * n), 0) AS DOUBLE) AS stat, sum(n) AS n FROM dr GROUP BY 1, 2)
+SELECT g AS grp, round(max(stat) FILTER (b = 0), 9) AS point, CAST(max(n) AS BIGINT) AS n, round(quantile_cont(stat, 0.025) FILTER (b > 0), 9) AS lo, round(quantile_cont(stat, 0.975) FILTER (b > 0), 9) AS hi FROM w GROUP BY g"""
 
 
 def _rounded(df):
@@ -170,14 +170,11 @@ def median_log10(t):
 
 
 @query("user_statistic", with_tables("", f"""
-WITH per AS (SELECT o_custkey AS k, max(o_totalprice) AS top, count(*) AS n FROM orders GROUP BY 1),
-num AS (SELECT *, row_number() OVER (ORDER BY md5('user:' || k), k) AS no, count(*) OVER () AS m FROM per),
-pick AS (SELECT b, hl[['user:' || b || ':' || no]] % m + 1 AS no FROM num, range(1, {B + 1}) r(b)),
-st AS (SELECT b, max(top) - min(top) AS stat FROM pick JOIN num USING (no) GROUP BY b)
-SELECT (SELECT round(max(top) - min(top), 6) FROM per) AS point, round(quantile_cont(stat, 0.025), 6) AS lo, round(quantile_cont(stat, 0.975), 6) AS hi FROM st"""))
+WITH per AS (SELECT o_orderpriority AS g, o_custkey AS k, max(o_totalprice) AS top FROM orders GROUP BY 1, 2),
+st AS (SELECT g, b, max(top) FILTER (wt > 0) - min(top) FILTER (wt > 0) AS stat, count(*) AS n FROM ({sql_weights('per', 'k', 'user', B)}) GROUP BY 1, 2)
+SELECT g AS grp, round(max(stat) FILTER (b = 0), 6) AS point, CAST(max(n) AS BIGINT) AS n, round(quantile_cont(stat, 0.025) FILTER (b > 0), 6) AS lo, round(quantile_cont(stat, 0.975) FILTER (b > 0), 6) AS hi FROM st GROUP BY g"""))
 def user_statistic(t):
-    def spread(rows, keys):
-        return rows.groupBy(*keys).agg((F.max("top") - F.min("top")).alias("stat"))
-
-    out = S.clustered_bootstrap(t.orders, "o_custkey", {"top": F.max("o_totalprice")}, spread, "user", B)
-    return out.select(*[F.round(c, 6).alias(c) for c in ("point", "lo", "hi")])
+    """A statistic that is no ratio of sums: how far apart the largest orders of the customers are."""
+    per = t.orders.groupBy(col("o_orderpriority").alias("grp"), "o_custkey").agg(F.max("o_totalprice").alias("top"))
+    out = bootstrap(per, ["grp"], "o_custkey", ["top"], Spread(), "user", B)
+    return out.select("grp", "n", *[F.round(c, 6).alias(c) for c in ("point", "lo", "hi")])

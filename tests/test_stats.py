@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import ranks as R
+from plumbline.operators import resampling as RS
 from plumbline.operators import stats as S
 
 
@@ -79,6 +80,92 @@ def test_mcnemar_is_exact(spark, b, c):
     assert got == pytest.approx(want, rel=1e-9)
 
 
+def test_mcnemar_of_large_counts(spark):
+    """Against the sum of all terms, from the largest down; counts that differ by one or not at all are certain."""
+    cases = [(2, 1), (20, 0), (1000, 1100), (49_000, 51_000), (499_000, 501_000), (497_000, 503_000), (10, 999_990), (500_000, 500_000), (499_999, 500_000)]
+    got = {(r.b, r.c): r.p for r in S.mcnemar_exact(spark.createDataFrame([(1, b, c) for b, c in cases], "k int, b bigint, c bigint"), ["k"], "b", "c").collect()}
+    for b, c in cases:
+        n, k = b + c, min(b, c)
+        # C(n, k) / 2^n with 60 digits, then each term from the one before
+        from decimal import Decimal, localcontext
+
+        with localcontext() as x:
+            x.prec = 60
+            term = Decimal(comb(n, k)) / (Decimal(2) ** n) if n < 5000 else None
+            if term is None:
+                term = Decimal(1)
+                for i in range(1, k + 1):
+                    term = term * (n - k + i) / i
+                term = term / (Decimal(2) ** n)
+            total, t = Decimal(0), term
+            for i in range(k, -1, -1):
+                total += t
+                if t < total * Decimal("1e-40"):
+                    break
+                t = t * i / (n - i + 1)
+            want = float(min(Decimal(1), 2 * total))
+        assert got[(b, c)] == pytest.approx(want, rel=1e-12, abs=1e-300), (b, c)
+
+
+class Variance(RS.Statistic):
+    """A user's statistic: no ratio, with a state of three sums per draw."""
+
+    def start(self, draws):
+        return np.zeros((3, draws))
+
+    def add(self, state, x, w):
+        known = ~np.isnan(x[:, 0])
+        v, w = x[known, 0], w[known]
+        return state + np.vstack([w.sum(0), v @ w, (v * v) @ w])
+
+    def merge(self, a, b):
+        return a + b
+
+    def end(self, state):
+        n, s, q = state
+        with np.errstate(all="ignore"):
+            return {"variance": (np.where(n > 1, (q - s * s / n) / (n - 1), np.nan), n[0])}
+
+
+def test_user_statistics_are_the_same_for_any_partitioning(rows):
+    data, df = rows
+    got = []
+    for parts, limit in ((1, None), (7, None), (5, 1)):
+        with pytest.MonkeyPatch.context() as m:
+            if limit:
+                m.setattr(RS, "STATES", limit)
+            out = RS.bootstrap(df.repartition(parts), ["g"], "c", ["v"], Variance(), "u", 300).orderBy("g").collect()
+        got.append([(r.g, r.measure, r.n, r.n_draws) for r in out])
+        for r in out:
+            v = [d[4] for d in data if d[0] == r.g]
+            assert r.point == pytest.approx(np.var(v, ddof=1)) and r.lo < r.point < r.hi and r.n == len(v)
+        got.append([(round(r.lo, 9), round(r.hi, 9)) for r in out])
+    assert got[0] == got[2] == got[4] and got[1] == got[3] == got[5]
+
+
+def test_intervals_of_nulls_empty_groups_and_odd_keys(spark):
+    rows = [(None, 1, 1.0), (None, 2, 0.0), (float("nan"), 1, None), (float("nan"), 2, 1.0), (2.0, None, 1.0), (2.0, 3, None), (3.0, 4, None)]
+    df = spark.createDataFrame(rows, "g double, c int, v double")
+    out = {str(r.g): r for r in RS.means(df, ["g"], "c", {"v": F.col("v"), "one": F.lit(1)}, n_resamples=50).where("measure = 'v'").collect()}
+    assert {k: (r.n, r.point) for k, r in out.items()} == {"None": (2, 0.5), "nan": (1, 1.0), "2.0": (1, 1.0), "3.0": (0, None)}
+    assert out["3.0"].lo is None and out["3.0"].n_draws == 0 and 0 < out["nan"].n_draws < 50
+    assert RS.means(df.limit(0), [], "c", {"v": F.col("v")}).count() == 0
+    all_ = RS.means(df, [], "c", {"v": F.col("v")}, n_resamples=50).first()
+    assert (all_.n, all_.point) == (4, 0.75)
+
+
+def test_weights_are_poisson_and_independent():
+    r = np.random.default_rng(1)
+    w = RS.weights(r.integers(0, 2**32, 4000).astype(np.uint32), r.integers(0, 2**32, 4000).astype(np.uint32), 500)
+    assert (w[:, 0] == 1).all()
+    w = w[:, 1:]
+    assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.01)
+    assert [(w == k).mean() for k in range(4)] == pytest.approx([np.exp(-1) / f for f in (1, 1, 2, 6)], abs=0.002)
+    c = np.corrcoef(w[:, :60].T)
+    assert np.abs(c - np.eye(60)).max() < 0.08
+    assert np.abs(np.corrcoef(w[:60]) - np.eye(60)).max() < 0.25
+
+
 def test_kappas(spark):
     pairs = [("a", "a")] * 20 + [("a", "b")] * 5 + [("b", "a")] * 10 + [("b", "b")] * 15
     df = spark.createDataFrame(pairs, "a string, b string")
