@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
 from plumbline.operators import boxes as B
+from plumbline.operators import components as C
 from plumbline.operators import greedy as GR
 from plumbline.operators import masks as M
 
@@ -46,18 +48,49 @@ def test_iou_is_symmetric_and_bounded(boxes):
     assert p.filter("u <> v OR u <= 0 OR u > 1").count() == 0
 
 
-def test_greedy_rounds_equal_the_sequential_pass(boxes):
+def sequential(data, rank, conflict):
+    kept = defaultdict(list)
+    for d in sorted(data, key=rank):
+        if not any(conflict(d[2], k[2]) for k in kept[d[0]]):
+            kept[d[0]].append(d)
+    return {(i, k[1]) for i, ks in kept.items() for k in ks}
+
+
+def test_greedy_pass_equals_the_sequential_one(boxes):
     data, df = boxes
-    want = set()
-    for image in range(3):
-        kept = []
-        for d in sorted([d for d in data if d[0] == image], key=lambda d: (-d[3], d[1])):
-            if all(iou(d[2], k[2]) <= 0.2 for k in kept):
-                kept.append(d)
-        want |= {(image, k[1]) for k in kept}
-    for limit in (10_000, 10):  # one fold per image; every image resolved in rounds
-        got = {(r.image_id, r.iid) for r in GR.nms(df, "image_id", "iid", "box", F.col("score"), 0.2, limit=limit).collect()}
-        assert got == want
+    want = sequential(data, lambda d: (d[0], -d[3], d[1]), lambda a, b: iou(a, b) > 0.2)
+    for parts in (1, 5):
+        assert {(r.image_id, r.iid) for r in GR.nms(df.repartition(parts), "image_id", "iid", "box", F.col("score"), 0.2).collect()} == want
+    assert GR.nms(df.limit(0), "image_id", "iid", "box", F.col("score"), 0.2).count() == 0
+
+
+def test_greedy_pass_over_one_chain_of_boxes(spark):
+    """10,000 boxes of one image, each of which conflicts with the next: one component, and every other box stays
+    where the better ones come first along the chain."""
+    n = 10_000
+    rows = [(1, i, (float(i * 4), 0.0, float(i * 4 + 10), 10.0), float(n - i)) for i in range(n)]
+    df = spark.createDataFrame(rows, f"image_id int, iid int, box {BOX}, score double")
+    got = sorted(r.iid for r in GR.nms(df, "image_id", "iid", "box", F.col("score"), 0.3, (n * 4 + 10, 10)).collect())
+    assert got == list(range(0, n, 2))
+    mixed = df.withColumn("score", F.xxhash64("iid") % 1000)
+    data = [(r.image_id, r.iid, tuple(r.box), r.score) for r in mixed.collect()]
+    alive, order = set(), sorted(data, key=lambda d: (-d[3], d[1]))
+    for d in order:
+        if d[1] - 1 not in alive and d[1] + 1 not in alive:
+            alive.add(d[1])
+    assert {r.iid for r in GR.nms(mixed, "image_id", "iid", "box", F.col("score"), 0.3, (n * 4 + 10, 10)).collect()} == alive
+
+
+def test_components(spark):
+    r = random.Random(2)
+    links = [("g", i, i + 1) for i in range(0, 3000) if i % 500] + [("h", 7, r.randrange(100, 400)) for _ in range(900)] + [("h", 5, 5), (None, 1, 2), ("k", 1, None)]
+    r.shuffle(links)
+    df = spark.createDataFrame(links, "g string, u int, v int").repartition(7)
+    got = {(x.g, x.node): x.component for x in C.components(df, ["g"], "u", "v").collect()}
+    want = {("g", i): (i - 1) // 500 * 500 + 1 for i in range(1, 3001)}
+    want |= {("h", v): 7 for g, u, v in links if g == "h" and v != 5} | {("h", 7): 7}
+    assert got == want
+    assert C.components(df.limit(0), ["g"], "u", "v").count() == 0
 
 
 def test_window_that_does_not_fit_is_an_error(spark):
