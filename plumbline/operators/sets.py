@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,34 +175,71 @@ def verified_flips(cells: DataFrame, scene: str, clause: str) -> DataFrame:
     return cells.groupBy(scene, clause).agg(F.bool_and(F.col("verdict") == "no").alias("_z")).filter("_z").drop("_z")
 
 
+def _recomposed(k: int, tries: int, seed):
+    """Of each scene's clauses the best of the seeded sets. Which instances a clause excludes is a set of bits; a set of
+    clauses excludes all if the bits together are all of them."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for scene, name, clauses, others in zip(*(c.to_pylist() for c in batch.columns)):
+                bit: dict = {}
+                excludes = [sum(1 << bit.setdefault(i, len(bit)) for i in c["no"]) for c in clauses]
+                need, size, best = (1 << others) - 1, min(k, len(clauses)), (-1, None)
+                # no set of this size has more, so a scene is done when it is reached and no try can fail for want of clauses
+                most = sum(sorted((c["yes"] for c in clauses), reverse=True)[:size])
+                certain = not any(len(c["alike"]) > 1 for c in clauses)
+                heads = [md5(f"{seed}:{name}:{i}:".encode()) for i in range(1, tries + 1)] if len(bit) == others else []
+                for head in heads:
+                    def place(j, head=head):
+                        h = head.copy()
+                        h.update(clauses[j]["clause"].encode())
+                        return h.digest(), clauses[j]["clause"]
+
+                    picked: list[int] = []
+                    for j in sorted(range(len(clauses)), key=place):
+                        if not any(i in clauses[j]["alike"] for i in picked):
+                            picked.append(j)
+                            if len(picked) == size:
+                                break
+                    if len(picked) < size:
+                        best = (-1, None)
+                        break
+                    score, covered = 0, 0
+                    for j in picked:
+                        covered |= excludes[j]
+                        score += clauses[j]["yes"]
+                    if covered == need and score > best[0]:
+                        best = score, [clauses[j]["clause"] for j in picked]
+                        if certain and score == most:
+                            break
+                if best[1] is not None:
+                    out.append((scene, *best))
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.list_(pa.string())]
+            yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["scene", "score", "clauses"])
+
+    return work
+
+
 def recomposed(cells: DataFrame, scene: str, target: int, k: int, min_k: int, tries: int, seed) -> DataFrame:
     """(scene, clauses, score): up to k mutually different clauses true of the target that jointly
     exclude every other instance; of ``tries`` seeded sets the one whose clauses the others
-    satisfy most often one by one. ``cells``: iid, clause (text), verdict.
+    satisfy most often one by one (of equal ones the first). ``cells``: iid, clause (text), verdict.
 
-    One scene's clauses and instances are one row; the tries are an array over it."""
+    A scene in which some try finds too few different clauses has no set, as in one without other instances. What a
+    row carries is one target's true clauses and the instances each excludes."""
     c = F.col
-    row = cells.groupBy(scene, "clause").agg(F.max(F.when(c("iid") == target, c("verdict"))).alias("mine"),
-                                            F.filter(F.array_sort(F.collect_list(F.struct("iid", "verdict"))), lambda s: s["iid"] != target).alias("others"))
-    row = row.filter("mine = 'yes'")
-    g = row.groupBy(scene).agg(F.array_sort(F.collect_list(F.struct("clause", "others"))).alias("cs"))
-    g = g.filter((F.size("cs") >= min_k) & (F.size(F.get("cs", F.lit(0))["others"]) >= 1)).withColumn("k", F.least(F.lit(k), F.size("cs")))
-
-    def attempt(i):
-        keyed = F.array_sort(F.transform("cs", lambda x: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), c(scene).cast("string"), i.cast("string"), x["clause"])).alias("h"), x["clause"].alias("clause"), x["others"].alias("others"))))
-        start = F.slice(F.transform(keyed, lambda x: x), 1, 0)
-        pick = F.aggregate(keyed, start, lambda acc, x: F.when((F.size(acc) >= c("k")) | F.exists(acc, lambda a: T.paraphrase(a["clause"], x["clause"])), acc).otherwise(F.concat(acc, F.array(x))))
-
-        def judge(p):
-            n = F.sequence(F.lit(0), F.size(F.get(p, F.lit(0))["others"]) - 1)
-            out = F.forall(n, lambda o: F.exists(p, lambda x: F.get(x["others"], o)["verdict"] == "no"))
-            score = F.aggregate(p, F.lit(0), lambda a, x: a + F.size(F.filter(x["others"], lambda o: o["verdict"] == "yes")))
-            return F.struct(F.when(out & (F.size(p) == c("k")), score).otherwise(-1).alias("score"), F.transform(p, lambda x: x["clause"]).alias("clauses"))
-
-        return T.let(pick, judge)
-
-    best = T.first_best(F.transform(F.sequence(F.lit(1), F.lit(tries)), attempt), lambda x: x["score"])
-    return g.select(scene, best.alias("b")).filter("b.score >= 0").select(scene, "b.clauses", "b.score")
+    other = c("iid") != target
+    per = cells.groupBy(scene, "clause").agg(F.max(F.when(c("iid") == target, c("verdict"))).alias("mine"), F.collect_set(F.when(other & (c("verdict") == "no"), c("iid"))).alias("no"),
+                                             F.count_distinct(F.when(other & (c("verdict") == "yes"), c("iid"))).cast("int").alias("yes"))
+    n = cells.where(other).groupBy(scene).agg(F.count_distinct("iid").cast("int").alias("others"))
+    g = per.filter("mine = 'yes'").groupBy(scene).agg(F.array_sort(F.collect_list(F.struct("clause", "no", "yes"))).alias("cs")).filter(F.size("cs") >= min_k).join(n, scene)
+
+    def entry(a):
+        alike = F.filter(F.sequence(F.lit(0), F.size("cs") - 1), lambda j: T.paraphrase(a["clause"], F.get(c("cs"), j)["clause"]))
+        return F.struct(a["clause"].alias("clause"), a["no"].alias("no"), a["yes"].alias("yes"), alike.alias("alike"))
+
+    rows = g.select(scene, c(scene).cast("string").alias("_name"), F.transform("cs", entry).alias("_cs"), "others")
+    return rows.mapInArrow(_recomposed(k, tries, seed), f"scene {dict(cells.dtypes)[scene]}, score int, clauses array<string>").withColumnRenamed("scene", scene).select(scene, "clauses", "score")
 
 
 def audit_rows(yes: DataFrame, nos: DataFrame, keys: list[str], k: int, two_error_frac: float, per_instance: int, seed) -> DataFrame:

@@ -108,14 +108,14 @@ CLAUSE_TEXT = "SELECT image_id, iid, verdict, (['red stripes', 'tall legs', 'woo
 
 @query("recomposed_items", with_tables("verdicts", f"""
 WITH v AS ({CLAUSE_TEXT}), y AS (SELECT image_id, clause FROM v WHERE iid = 1 AND verdict = 'yes'), n AS (SELECT image_id, count(*) AS ny, least(3, count(*)) AS k FROM y GROUP BY 1 HAVING count(*) >= 2),
-t AS (SELECT y.image_id, tr, clause, k, row_number() OVER (PARTITION BY y.image_id, tr ORDER BY md5('rc:' || y.image_id || ':' || tr || ':' || clause), clause) AS rn FROM y JOIN n USING (image_id), range(1, 13) z(tr)),
+t AS (SELECT y.image_id, tr, clause, k, row_number() OVER (PARTITION BY y.image_id, tr ORDER BY md5('rc:' || y.image_id || ':' || tr || ':' || clause), clause) AS rn FROM y JOIN n USING (image_id), range(1, 81) z(tr)),
 p AS (SELECT * FROM t WHERE rn <= k), o AS (SELECT p.image_id, tr, v.iid, bool_or(verdict = 'no') AS out, count(*) FILTER (verdict = 'yes') AS s FROM p JOIN v ON v.image_id = p.image_id AND v.clause = p.clause AND v.iid > 1 GROUP BY 1, 2, 3),
 g AS (SELECT image_id, tr, bool_and(out) AS ok, sum(s) AS score FROM o GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, tr) AS rn FROM g WHERE ok)
 SELECT b.image_id, string_agg(p.clause, ', ' ORDER BY p.rn) AS clauses, CAST(max(score) AS INT) AS score FROM b JOIN p ON p.image_id = b.image_id AND p.tr = b.tr WHERE b.rn = 1 GROUP BY 1"""))
 def recomposed_items(t):
     arr = F.array(*[F.lit(s) for s in ("red stripes", "tall legs", "wooden handle", "open lid", "left corner")])
     v = t.verdicts.select("image_id", "iid", "verdict", F.element_at(arr, col("clause")).alias("clause"))
-    return SE.recomposed(v, "image_id", 1, 3, 2, 12, "rc").select("image_id", F.array_join("clauses", ", ").alias("clauses"), "score")
+    return SE.recomposed(v, "image_id", 1, 3, 2, 80, "rc").select("image_id", F.array_join("clauses", ", ").alias("clauses"), "score")
 
 
 @query("audit_row_items")

@@ -136,7 +136,8 @@ def bitmaps():
 def paint(rows, shape, n):
     out = [np.zeros(shape, dtype=np.uint8) for _ in range(n)]
     for r in rows:
-        out[r.mask][r.y0:r.y1, r.x] = 1
+        assert not out[r.mask][r.y0:r.y1, r.x0:r.x1].any()
+        out[r.mask][r.y0:r.y1, r.x0:r.x1] = 1
     return out
 
 
@@ -152,7 +153,7 @@ def test_run_lengths_round_trip(spark):
 
 def test_dilation_is_the_elliptic_kernel(spark):
     assert M.disc_half_heights(3) == [3, 2, 2, 1]
-    df = spark.createDataFrame([(1, 0, 10, 10, 11), (1, 1, 0, 0, 1)], "image_id int, mask int, x bigint, y0 bigint, y1 bigint")
+    df = spark.createDataFrame([(1, 0, 10, 11, 10, 11), (1, 1, 0, 1, 0, 1)], "image_id int, mask int, x0 bigint, x1 bigint, y0 bigint, y1 bigint")
     got = paint(M.dilate(df, M.KEYS, 2, 21, 21).collect(), (21, 21), 2)
     kernel = np.array([[0, 0, 1, 0, 0], [1, 1, 1, 1, 1], [1, 1, 1, 1, 1], [1, 1, 1, 1, 1], [0, 0, 1, 0, 0]])
     assert (got[0][8:13, 8:13] == kernel).all() and got[0].sum() == kernel.sum()
@@ -172,12 +173,82 @@ def test_mask_iou_against_bitmaps(spark):
 
 def test_controls_respect_the_referent(spark):
     def rect(mask, x0, y0, x1, y1):
-        return [(1, mask, x, y0, y1) for x in range(x0, x1)]
+        return [(1, mask, x0, x1, y0, y1)]
 
     rows = rect(0, 40, 40, 60, 60) + rect(1, 65, 40, 85, 60) + rect(2, 100, 40, 120, 60) + rect(3, 40, 90, 60, 110)
-    spans = spark.createDataFrame(rows, "image_id int, mask int, x bigint, y0 bigint, y1 bigint")
+    spans = spark.createDataFrame(rows, "image_id int, mask int, x0 bigint, x1 bigint, y0 bigint, y1 bigint")
     meta = spark.createDataFrame([(1, 0, "referent"), (1, 1, "labelled_other_class"), (1, 2, "noun_phrase_instance"), (1, 3, "class_agnostic")], "image_id int, mask int, source string")
     c = {r["mask"]: r["reject"] for r in M.control_candidates(spans, meta, 160, 160).collect()}
     assert c == {1: "referent_contact", 2: None, 3: None}
     picked = {r.place: r["mask"] for r in M.choose_controls(M.control_candidates(spans, meta, 160, 160), "s").collect()}
     assert picked == {1: 2, 2: 3}
+
+
+def test_dilation_and_packing_against_bitmaps(spark):
+    """Masks with holes, islands and edges at the frame, dilated by the rule's discs."""
+    r = np.random.default_rng(4)
+    masks = [r.random((60, 70)) < p for p in (0.002, 0.01, 0.3, 1.0)] + [np.zeros((60, 70), bool)]
+    masks[0][0, 0] = masks[0][59, 69] = True
+    df = spark.createDataFrame([(1, i, codec(m.astype(np.uint8))) for i, m in enumerate(masks)] + [(1, 9, None)], "image_id int, mask int, rle string")
+    rects = M.decode_masks(df, M.KEYS, "rle").cache()
+    for px in (1, 5, 16):
+        half = M.disc_half_heights(px)
+        got = paint(M.dilate(rects, M.KEYS, px, 70, 60).collect(), (60, 70), 5)
+        for m, g in zip(masks, got):
+            want = np.zeros((60, 70), bool)
+            for d in range(-px, px + 1):
+                for e in range(-half[abs(d)], half[abs(d)] + 1):
+                    want[max(0, e) : 60 + min(0, e), max(0, d) : 70 + min(0, d)] |= m[max(0, -e) : 60 + min(0, -e), max(0, -d) : 70 + min(0, -d)]
+            assert (g == want).all()
+    back = {x.mask: x.rle for x in M.encode_masks(rects, M.KEYS, 60, 70).collect()}
+    assert {i: json.loads(t) for i, t in back.items()} == {i: json.loads(codec(m.astype(np.uint8))) for i, m in enumerate(masks[:4])}
+    full = {x.mask: (x.n, x.area) for x in rects.groupBy("mask").agg(F.count("*").alias("n"), F.sum(M.pixels()).alias("area")).collect()}
+    assert full[3] == (1, 4200) and all(full[i][1] == masks[i].sum() for i in range(4))
+
+
+def test_background_shifts_against_bitmaps(spark):
+    """All 100 tries of crowded images, by painting."""
+    from hashlib import md5
+
+    r = random.Random(6)
+    w, h, rows, meta = 120, 90, [], []
+    for image in range(25):
+        for mask in range(7):
+            x, y = r.randrange(0, 100), r.randrange(0, 70)
+            rows.append((image, mask, x, min(w, x + r.randrange(10, 70)), y, min(h, y + r.randrange(10, 50))))
+            meta.append((image, mask, "referent" if mask == 0 else r.choice(["class_agnostic", "labelled_other_class"])))
+    rects = spark.createDataFrame(rows, "image_id int, mask int, x0 bigint, x1 bigint, y0 bigint, y1 bigint")
+    names = spark.createDataFrame(meta, "image_id int, mask int, source string")
+    got = {x.image_id: (x["try"], x.dx, x.dy) for x in M.background_shifts(rects, names, w, h, "s", hole_px=2, referent_px=4).collect()}
+    u32 = lambda *k: int(md5(":".join(map(str, k)).encode()).hexdigest()[:8], 16)
+
+    def grown(m, px):
+        half, out = M.disc_half_heights(px), np.zeros_like(m)
+        for d in range(-px, px + 1):
+            for e in range(-half[abs(d)], half[abs(d)] + 1):
+                out[max(0, e) : h + min(0, e), max(0, d) : w + min(0, d)] |= m[max(0, -e) : h + min(0, -e), max(0, -d) : w + min(0, -d)]
+        return out
+
+    late = 0
+    for image in range(25):
+        painted = {}
+        for i, mask, x0, x1, y0, y1 in rows:
+            if i == image:
+                painted[mask] = np.zeros((h, w), bool)
+                painted[mask][y0:y1, x0:x1] = True
+        kind = {m: s for i, m, s in meta if i == image}
+        hole, ref = grown(painted[0], 2), grown(painted[0], 4)
+        ys, xs = np.nonzero(hole)
+        want = None
+        for k in range(1, 101):
+            dx = u32("s", image, k, "x") % (w - (xs.max() - xs.min())) - xs.min()
+            dy = u32("s", image, k, "y") % (h - (ys.max() - ys.min())) - ys.min()
+            moved = np.zeros_like(hole)
+            moved[ys + dy, xs + dx] = True
+            counted = [m for m in painted if m and not (kind[m] == "class_agnostic" and painted[m].mean() <= 0.005)]
+            if not (moved & ref).any() and all((moved & painted[m]).sum() <= 0.1 * painted[m].sum() for m in counted):
+                want = (k, dx, dy)
+                break
+        assert got.get(image) == want
+        late += want is None or want[0] > 6
+    assert late >= 3

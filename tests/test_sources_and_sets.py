@@ -165,6 +165,35 @@ def test_recomposed_skips_paraphrases(spark):
     assert r.score == 1 and "is very tall" in r.clauses and len(r.clauses) == 2
 
 
+def test_recomposed_equals_all_tries(spark):
+    """80 tries against brute force; scene 4 has more other instances than a machine word has bits, scene 5 a pair of
+    clauses that mean the same, with which some try runs out of clauses, scene 6 no other instance."""
+    import random
+    from hashlib import md5
+
+    r = random.Random(8)
+    names = ["red stripes", "tall legs", "wooden handle", "open lid", "left corner", "glass door"]
+    cells = []
+    for scene in range(1, 7):
+        others = {4: 90, 6: 0}.get(scene, 3)
+        clauses = ["a red lid", "one red lid", "the tall legs", "two tall legs"] if scene == 5 else names
+        for c in clauses:
+            cells.append((scene, 1, c, "yes"))
+            cells += [(scene, i + 2, c, r.choice(["yes", "no", "no", "unclear"] if others < 50 else ["yes", "no", "no", "no", "no", "no"])) for i in range(others)]
+    got = {x.s: (x.score, x.clauses) for x in SE.recomposed(spark.createDataFrame(cells, "s int, iid int, clause string, verdict string").repartition(3), "s", 1, 3, 2, 80, "q").collect()}
+    for scene in (1, 2, 3, 4):
+        v = {(c, i): x for s, i, c, x in cells if s == scene and i != 1}
+        best = (-1, None)
+        for k in range(1, 81):
+            pick = sorted(names, key=lambda c: (md5(f"q:{scene}:{k}:{c}".encode()).hexdigest(), c))[:3]
+            if all(any(v[c, i] == "no" for c in pick) for i in {i for _, i in v}):
+                score = sum(x == "yes" for (c, _), x in v.items() if c in pick)
+                if score > best[0]:
+                    best = (score, pick)
+        assert got.get(scene) == (best if best[1] else None)
+    assert 4 in got and 5 not in got and 6 not in got
+
+
 def test_coco_ids_count_within_one_document(spark):
     from plumbline.sources.adapters import coco_items
 
