@@ -28,19 +28,16 @@ def unknown() -> Column:
 
 def pivot_conditions(preds: DataFrame, keys: list[str], condition: str = "condition") -> DataFrame:
     """One row per key with a struct per condition. ``preds`` carries type, box, px, py; a key has
-    one row per condition (the largest values count otherwise).
+    one row per condition (the largest counts otherwise).
 
-    A fixed condition list makes this one aggregation of numbers: no sort, nothing is collected.
-    The structs are put together after it."""
-    numbers = {"t": F.coalesce(F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type")), F.lit(0)), **{c: F.col(f"box.{c}") for c in ("x0", "y0", "x1", "y1")}, "px": F.col("px"), "py": F.col("py")}
-    flat = preds.select(*keys, condition, *[v.alias(f"_{k}") for k, v in numbers.items()])
-    wide = flat.groupBy(*keys).agg(*[F.max(F.when(F.col(condition) == c, F.col(f"_{k}"))).alias(f"{c}_{k}") for c in CONDITIONS for k in numbers])
+    A key's rows, as many as there are conditions, are put in one short array in one hash aggregation; each condition
+    takes its own out of it. Fifty conditional aggregates instead would be more code than Spark compiles."""
+    row = F.struct(F.col(condition).alias("c"), F.struct("type", "box", "px", "py").alias("p"))
+    wide = preds.where(F.col(condition).isin(*CONDITIONS)).groupBy(*keys).agg(F.collect_list(row).alias("_rows"))
 
-    def part(c):
-        n = {k: F.col(f"{c}_{k}") for k in numbers}
-        box = F.when(n["x0"].isNotNull(), G.box(n["x0"], n["y0"], n["x1"], n["y1"]))
-        kind = F.when(n["t"] > 0, F.element_at(F.array(*[F.lit(t) for t in TYPES]), n["t"].cast("int")))
-        return F.when(n["t"].isNotNull(), F.struct(kind.alias("type"), box.alias("box"), n["px"].alias("px"), n["py"].alias("py"))).alias(c)
+    def part(name: str) -> Column:
+        own = F.array_max(F.filter("_rows", lambda r: r["c"] == name))["p"]
+        return own.alias(name)
 
     return wide.select(*keys, *[part(c) for c in CONDITIONS])
 
@@ -138,3 +135,10 @@ def stop_rules(rates: DataFrame, protocol: str, model: str) -> DataFrame:
 
 def decisive_clean_column(kappa: Column) -> Column:
     return F.when(F.coalesce((kappa >= KAPPA_MIN) & ~F.isnan(kappa), F.lit(False)), "remove_clean_verifier").otherwise("remove_clean_human")
+
+
+def with_decisive(rel: DataFrame, kappa: DataFrame, name: str = "decisive") -> DataFrame:
+    """Adds the clean column that counts: the verifier's where people agree with it (``kappa``: one row), else theirs."""
+    one = kappa.agg(F.max("kappa").alias("_kappa"))  # also no row gives one
+    chosen = decisive_clean_column(F.col("_kappa"))
+    return rel.join(F.broadcast(one)).withColumn(name, F.when(chosen == "remove_clean_verifier", F.col("remove_clean_verifier")).otherwise(F.col("remove_clean_human"))).drop("_kappa")

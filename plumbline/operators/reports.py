@@ -70,6 +70,18 @@ def trace_rates(df: DataFrame, groups: list[str]) -> DataFrame:
         share(F.col("false_no") > 0).alias("false_no_item_rate"))
 
 
+def eval_report(df: DataFrame, by: str, p: str) -> DataFrame:
+    """``eval_summary`` by one column and over everything, with the statistics of small probabilities (``p``) and of
+    traces beside it. The totals of the latter come from the rows once more, under a missing ``by``."""
+    def key(level: Column) -> Column:
+        return F.concat(level.cast("string"), F.when(level == 0, F.concat(F.lit(":"), F.coalesce(F.col(by).cast("string"), F.lit("")))).otherwise(""))
+
+    levels = df.withColumn("_level", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_key", key(F.col("_level")))
+    small = p_null_stats(levels, ["_key"], p).withColumnRenamed("n", "p_null_n")
+    traces = trace_rates(levels, ["_key"]).drop("n").withColumnRenamed("format_ok_rate", "trace_format_ok_rate")
+    return eval_summary(df, [by]).withColumn("_key", key(F.col("level"))).join(small, "_key", "left").join(traces, "_key", "left").drop("_key")
+
+
 def accuracy_at_thresholds(df: DataFrame, by: list[str], iou: Column, steps=IOU_STEPS) -> DataFrame:
     """(by, n, threshold, accuracy) with totals; threshold null is the mean over all steps."""
     wide = df.rollup(*by).agg(F.count("*").alias("n"), F.grouping_id().alias("level"), *[share(iou >= t).alias(f"a{i}") for i, t in enumerate(steps)])
@@ -114,7 +126,7 @@ def best_rejection(grid: DataFrame, group: str, positive: str, negative: str, ma
     neg = grid.filter((F.col(group) == negative) & F.col("t").isNotNull()).select("rule", "t", F.col("accuracy").alias("rejection"))
     base = grid.filter((F.col(group) == positive) & (F.col("rule") == "base")).select(F.col("accuracy").alias("base"))
     d = pos.join(neg, ["rule", "t"]).join(F.broadcast(base)).filter(F.col("positives") >= F.col("base") - margin)
-    return d.groupBy("rule").agg(F.max_by(F.struct("rejection", "t", "positives"), F.struct("rejection", "t", "positives")).alias("b")).select("rule", "b.*")
+    return d.groupBy("rule").agg(F.max(F.struct("rejection", "t", "positives")).alias("b")).select("rule", F.lit(float(margin)).alias("margin"), "b.rejection", "b.t", "b.positives")
 
 
 def operating_curve(df: DataFrame, score: Column, taus: list[float]) -> DataFrame:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from plumbline.functions import geometry as G
 from plumbline.operators import relations as RL
 from plumbline.operators.resampling import sql_weights
+from plumbline.operators.stats import cohens_kappa
 from plumbline.plans.geometry import sql_iou
 from plumbline.plans.registry import query
 from plumbline.plans.tables import with_tables
+from plumbline.session import cut_lineage
 
 col = F.col
 FLAGS = ("orig_correct", "none_on_remove", "box_on_remove", "same_box_50", "same_box_r30", "shift_on_control_obj", "shift_on_control_bg",
@@ -91,15 +93,30 @@ def conditional_rates(t):
     return out.select("proto", "model", "rate", "n_pairs", "n", *[F.round(c, 9).alias(c) for c in ("point", "lo", "hi")])
 
 
-@query("stop_rules", with_tables("preds", "WITH " + SQL_REL + ", ra AS (" + SQL_RATES + """),
+# people judge most pictures like the verifier, but not enough of them
+HUMAN = "CASE WHEN h[['hu:' || item_id]] % 20 = 0 THEN NULL WHEN h[['hv:' || item_id]] % 4 = 0 THEN vc <= 1 ELSE vc > 1 END"
+SQL_DECISIVE = f""", hm AS (SELECT *, {HUMAN.replace('vc > 1', 'remove_clean_verifier').replace('vc <= 1', 'NOT remove_clean_verifier')} AS remove_clean_human FROM rel),
+kp AS (SELECT avg(CASE WHEN a = b THEN 1.0e0 ELSE 0.0e0 END) AS o, CAST(sum(a) * sum(b) + sum(1 - a) * sum(1 - b) AS DOUBLE) / (count(*) * count(*)) AS e FROM (
+  SELECT remove_clean_human::INT AS a, remove_clean_verifier::INT AS b FROM hm WHERE remove_clean_human IS NOT NULL AND remove_clean_verifier IS NOT NULL) z),
+dc AS (SELECT *, CASE WHEN (SELECT (o - e) / (1 - e) FROM kp) >= 0.6 THEN remove_clean_verifier ELSE remove_clean_human END AS decisive FROM hm)"""
+
+
+@query("stop_rules", with_tables("preds", "WITH " + SQL_REL + SQL_DECISIVE + ", ra AS (" + SQL_RATES.replace("remove_clean_verifier", "decisive").replace("FROM rel", "FROM dc") + """),
 w AS (SELECT proto, model, max(point) FILTER (rate = 'none_on_remove') AS nr, max(point) FILTER (rate = 'box_on_remove') AS br, max(point) FILTER (rate = 'abstain_on_control_obj') AS ab,
   max(point) FILTER (rate = 'shift_on_control_obj') AS so, max(point) FILTER (rate = 'shift_on_control_bg') AS sb, max(point) FILTER (rate = 'same_box_50') AS sm FROM ra GROUP BY 1, 2),
-g AS (SELECT proto, count(*) AS k, bool_and(nr > 0.6) AS fa, bool_and(br > 0.8 AND ab > 0.3) AS fb, bool_and(br > 0.8 AND so > 0.3 AND so - sb > 0.1) AS fp, bool_and(sm < 0.2) AS fc FROM w GROUP BY 1)
-SELECT proto, 'a' AS rule, true AS fireable, fa AND k >= 2 AS fires FROM g UNION ALL SELECT proto, 'b', proto = 'secondary', proto = 'secondary' AND fb AND k >= 2 FROM g
-UNION ALL SELECT proto, 'b_prime', proto = 'primary', proto = 'primary' AND fp AND k >= 2 FROM g UNION ALL SELECT proto, 'c', true, fc AND k >= 2 FROM g"""))
+g AS (SELECT proto, count(*) AS k, bool_and(nr > 0.6) AS fa, bool_and(br > 0.8 AND ab > 0.3) AS fb, bool_and(br > 0.8 AND so > 0.3 AND so - sb > 0.1) AS fp, bool_and(sm < 0.2) AS fc FROM w GROUP BY 1),
+cl AS (SELECT CASE WHEN (o - e) / (1 - e) >= 0.6 THEN 'remove_clean_verifier' ELSE 'remove_clean_human' END AS clean FROM kp)
+SELECT *, (SELECT clean FROM cl) AS clean FROM (SELECT proto, 'a' AS rule, true AS fireable, fa AND k >= 2 AS fires FROM g UNION ALL SELECT proto, 'b', proto = 'secondary', proto = 'secondary' AND fb AND k >= 2 FROM g
+UNION ALL SELECT proto, 'b_prime', proto = 'primary', proto = 'primary' AND fp AND k >= 2 FROM g UNION ALL SELECT proto, 'c', true, fc AND k >= 2 FROM g)"""))
 def stop_rules(t):
-    rates = RL.conditional_rates(relations(t).withColumn("model", col("custkey") % 3), ["proto", "model"])
-    return RL.stop_rules(rates, "proto", "model")
+    """The rules on the clean column that people's agreement with the verifier decides on."""
+    human = t.sql(f"SELECT item_id, {HUMAN} AS remove_clean_human FROM (SELECT item_id, h[['vc:' || item_id]] % 4 AS vc FROM items) z")
+    rel = relations(t).withColumn("model", col("custkey") % 3).join(human, "item_id").withColumn("remove_clean_human", F.when(col("remove_clean_verifier").isNotNull(), col("remove_clean_human")))
+    kappa = cohens_kappa(rel, [], col("remove_clean_human"), col("remove_clean_verifier"))
+    kappa = cut_lineage(kappa)  # one row, of which the rates' plan should know nothing
+    rates = RL.conditional_rates(RL.with_decisive(rel, kappa), ["proto", "model"], "decisive")
+    out = RL.stop_rules(rates, "proto", "model")
+    return out.join(F.broadcast(kappa.agg(RL.decisive_clean_column(F.max("kappa")).alias("clean"))))
 
 
 @query("eligible_frame", with_tables("preds", "WITH " + SQL_REL + """, m AS (SELECT custkey, bool_or(orig_correct) AS ok FROM rel GROUP BY 1)

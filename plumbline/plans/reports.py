@@ -11,6 +11,7 @@ from plumbline.operators.ranks import exact_quantiles, upper_median
 from plumbline.plans.geometry import sql_iou
 from plumbline.plans.registry import query
 from plumbline.plans.tables import with_tables
+from plumbline.session import cut_lineage
 from plumbline.plans.text import SQL_BOX, parsed_answers
 
 col = F.col
@@ -52,12 +53,15 @@ def success_by_class_source(t):
     return x.groupBy("op", source.alias("source")).agg(F.count("*").alias("n"), RP.share(removed).alias("rate"))
 
 
-@query("eval_summary", with_tables("items answers", "WITH " + SQL_BOX + f"""
+@query("eval_summary", with_tables("items answers evals", "WITH " + SQL_BOX + f"""
 , s AS (SELECT i.dimension, CASE WHEN no_target THEN 0 ELSE 1 END AS n_gt, p.*, CASE WHEN no_target THEN output_type <> 'box'
    ELSE output_type = 'box' AND {sql_iou('p.', 'i.g')} >= 0.5 END AS correct FROM parsed p JOIN items i USING (item_id)),
 g AS (SELECT dimension, count(*) AS n, {b('correct', 'n_gt = 0')} AS rejection_acc, count(*) FILTER (n_gt = 0) AS rejection_n, {b('correct', 'n_gt > 0')} AS positive_acc,
   count(*) FILTER (n_gt > 0) AS positive_n, {b("output_type IN ('none', 'refusal')", 'n_gt > 0')} AS positive_null_rate, {b("output_type <> 'invalid'")} AS format_ok_rate, GROUPING(dimension) AS level
-  FROM s GROUP BY ROLLUP (dimension)) SELECT *, rejection_acc - positive_null_rate AS net_rejection FROM g"""))
+  FROM s GROUP BY ROLLUP (dimension)),
+ev AS (SELECT dimension, GROUPING(dimension) AS level, count(p_null) AS p_null_n, round(sum(p_null), 6) AS p_sum, round(log10(greatest(quantile_cont(p_null, 0.5), 1e-30)), 9) AS p_median_log10, {b('p_null >= 0.1', 'p_null IS NOT NULL')} AS p_ge_01,
+  {b('parse_ok')} AS trace_format_ok_rate, {b('consistent')} AS consistent_rate, sum(false_no) / greatest(1, sum(n_cells) FILTER (false_no IS NOT NULL)) AS false_no_cell_rate, {b('false_no > 0', 'false_no IS NOT NULL')} AS false_no_item_rate FROM evals GROUP BY ROLLUP (dimension))
+SELECT g.*, rejection_acc - positive_null_rate AS net_rejection, ev.* EXCLUDE (dimension, level) FROM g JOIN ev ON g.level = ev.level AND g.dimension IS NOT DISTINCT FROM ev.dimension"""))
 def eval_summary(t):
     """Raw answers parsed, scored against the item's box and summarised by dimension with totals."""
     from plumbline.functions import geometry as G
@@ -65,7 +69,10 @@ def eval_summary(t):
     i = t.items.select("item_id", "dimension", col("no_target"), G.box(col("gx0"), col("gy0"), col("gx1"), col("gy1")).alias("gt"))
     p = parsed_answers(t).join(i, "item_id").withColumn("n_gt", F.when(col("no_target"), 0).otherwise(1))
     hit = (col("output_type") == "box") & (G.iou(col("box"), col("gt")) >= 0.5)
-    return RP.eval_summary(p.withColumn("correct", F.when(col("n_gt") == 0, col("output_type") != "box").otherwise(F.coalesce(hit, F.lit(False)))), ["dimension"])
+    p = p.withColumn("correct", F.when(col("n_gt") == 0, col("output_type") != "box").otherwise(F.coalesce(hit, F.lit(False))))
+    extra = t.evals.select("item_id", "p_null", col("parse_ok").alias("format_ok"), "consistent", "false_no", "n_cells")
+    out = RP.eval_report(p.join(extra, "item_id"), "dimension", "p_null")
+    return out.withColumn("p_sum", F.round("p_sum", 6)).withColumn("p_median_log10", F.round("p_median_log10", 9))
 
 
 @query("accuracy_at_thresholds", with_tables("evals", "WITH g AS (SELECT dimension, GROUPING(dimension) AS level, count(*) AS n, " + ", ".join(f"{b(f'iou >= {x}')} AS a{i}" for i, x in enumerate(RP.IOU_STEPS))
@@ -187,9 +194,21 @@ def grid_items(t):
     return c.join(e, "image_id")
 
 
-@query("threshold_grid", with_tables("verdicts evals", f"WITH {SQL_GRID} SELECT * FROM tb"))
+MARGINS = (0.01, 0.03, 0.3)
+SQL_BEST = " UNION ALL ".join(f"""SELECT 'rej' AS grp, 'best rejection, ' || rule AS rule, m[2] AS t, NULL AS n, m[1] AS accuracy, CAST({m} AS DOUBLE) AS margin, m[3] AS positives FROM (
+  SELECT q.rule, max((r.accuracy, q.t, q.accuracy)) AS m FROM tb q JOIN tb r ON q.rule = r.rule AND q.t = r.t WHERE q.grp = 'pos' AND r.grp = 'rej' AND q.accuracy >= (SELECT accuracy FROM tb WHERE grp = 'pos' AND rule = 'base') - {m} GROUP BY 1) z""" for m in MARGINS)
+
+
+@query("threshold_grid", with_tables("verdicts evals", f"WITH {SQL_GRID} SELECT *, CAST(NULL AS DOUBLE) AS margin, CAST(NULL AS DOUBLE) AS positives FROM tb UNION ALL {SQL_BEST}"))
 def threshold_grid(t):
-    return RP.threshold_grid(grid_items(t), "grp")
+    """The grid, and per rule and margin the threshold with the best rejection at hardly fewer right positives."""
+    grid = cut_lineage(RP.threshold_grid(grid_items(t), "grp"))  # a few rows, read again for each margin
+    none = F.lit(None)
+    out = grid.withColumn("margin", none.cast("double")).withColumn("positives", none.cast("double"))
+    for m in MARGINS:
+        best = RP.best_rejection(grid, "grp", "pos", "rej", m)
+        out = out.unionByName(best.select(F.lit("rej").alias("grp"), F.concat(F.lit("best rejection, "), "rule").alias("rule"), "t", none.cast("bigint").alias("n"), col("rejection").alias("accuracy"), "margin", "positives"))
+    return out
 
 
 TAUS = [i / 20 for i in range(1, 20)]

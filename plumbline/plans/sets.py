@@ -252,17 +252,70 @@ def pool_and_probe_items(t):
     return SE.probe_items(src, "id", 40, "pb").select("id", "set", F.length("expr").alias("n_chars"), "probe")
 
 
-@query("item_adapters", with_tables("", """
-SELECT 'doc:' || doc_id AS id, text AS expr, 'doc' AS set, lang AS kind, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS n_gt, CASE WHEN doc_id % 3 > 0 THEN CAST(n_chars AS DOUBLE) END AS x1 FROM documents
-UNION ALL SELECT 'bench:' || item_id, text, 'bench', NULL, 1, 10.0e0 + item_id FROM benchmark UNION ALL SELECT 'conv:' || conv_id || ':' || turn, text, 'conv', role, 0, NULL FROM conversations"""))
+_NEG = "CASE l_suppkey % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'image' END"
+
+
+@query("item_adapters", with_tables("", f"""
+WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 10 = 0),
+c AS (SELECT 'coco:doc' || o_custkey || '.json/' || (l_orderkey * 10 + l_linenumber) AS id, CASE WHEN l_partkey % 3 = 0 THEN 'scene ' || l_orderkey ELSE 'part ' || l_partkey END AS expr,
+   CASE WHEN l_suppkey % 4 < 2 THEN 'neg_' || {_NEG} || '_t' || l_tax ELSE 'pos_level' || l_linenumber END AS "set", CASE WHEN l_suppkey % 4 < 2 THEN 0 ELSE 1 END AS n_gt, l_partkey + l_quantity AS x1,
+   CASE WHEN l_suppkey % 4 = 1 THEN 'final_neg_images/neg_' ELSE 'images/' END || 'i' || l_orderkey || '_' || (l_suppkey % 4 = 1)::INT || '.jpg' AS image FROM l),
+r AS (SELECT 'refs:' || (o_orderkey * 10 + k) AS id, 'ref ' || o_orderkey || ' ' || k AS expr, (['train', 'val', 'testA', 'testB'])[o_custkey % 4 + 1] AS split, o_orderkey % 5 AS none, 'o' || o_orderkey || '.jpg' AS image, o_orderkey,
+   o_custkey + 50 AS x1 FROM orders, range(0, 2) z(k) WHERE o_orderkey % 7 > 0)
+SELECT 'lines:' || doc_id AS id, 'the ' || lang AS expr, source AS "set", CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS n_gt, CASE WHEN doc_id % 3 > 0 THEN CAST(n_chars AS DOUBLE) END AS x1, 'd' || doc_id || '.jpg' AS image FROM documents
+UNION ALL SELECT 'percent:' || lab || ':b' || item_id || '.jpg', 'item ' || item_id, lab, CASE lab WHEN 'none' THEN 0 ELSE 1 END, CASE lab WHEN 'single' THEN (item_id % 50 + 25) / 100.0e0 * 800 END, 'b' || item_id || '.jpg' FROM benchmark, (VALUES ('none'), ('single')) z(lab)
+UNION ALL SELECT id, expr, "set", n_gt, CASE n_gt WHEN 1 THEN CAST(x1 AS DOUBLE) END, image FROM c
+UNION ALL SELECT id, expr, split || CASE WHEN none < 2 THEN '_none' ELSE '_single' END, CASE WHEN none < 2 THEN 0 ELSE 1 END, CASE WHEN none >= 2 THEN CAST(x1 AS DOUBLE) END, image FROM r WHERE split <> 'train' AND (none < 2 OR split <> 'val' AND none < 4)"""))
 def item_adapters(t):
-    from plumbline.sources.adapters import adapt, unite
-
-    box = G.box_of_array(F.array(F.lit(0.0), F.lit(0.0), col("n_chars").cast("double"), F.lit(9.0)))
-    parts = [adapt(t.documents, "doc", col("doc_id"), col("text"), F.when(col("doc_id") % 3 > 0, F.array(box)), col("lang")),
-             adapt(t.benchmark, "bench", col("item_id"), col("text"), F.array(G.xywh_box(10.0, 0.0, col("item_id").cast("double"), 5.0))),
-             adapt(t.conversations, "conv", F.concat_ws(":", "conv_id", "turn"), col("text"), None, col("role"))]
-    return unite(parts).select("id", "expr", "set", "kind", "n_gt", F.get("gt_boxes", F.lit(0))["x1"].alias("x1"))
+    """Four published formats, each written from the tables and read by its own adapter."""
+    from plumbline.session import scratch_path
+    from plumbline.sources import adapters as A
+    from plumbline.sources import sinks as W
+
+    base, text = scratch_path(t.spark, "formats"), lambda *c: F.concat(*[x.cast("string") for x in c])
+    d = t.documents
+    boxes = F.when(col("doc_id") % 3 > 0, F.array(F.array(F.lit(0.0), F.lit(0.0), col("n_chars").cast("double"), F.lit(9.0)))).otherwise(F.array().cast("array<array<double>>"))
+    d.select(col("doc_id").cast("string").alias("id"), text(F.lit("the "), col("lang")).alias("referring"), boxes.alias("answer_boxes"), col("source").alias("domain"), text(F.lit("d"), col("doc_id"), F.lit(".jpg")).alias("image_name")).write.json(f"{base}/lines")
+
+    def array_of(df, folder, name, order):
+        """Files that hold one JSON array each."""
+        rows = df.groupBy(name).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "j"))), lambda x: x["j"]), ",\n").alias("j"))
+        W.write_named(rows.select(name, F.concat(F.lit("["), "j", F.lit("]")).alias("value")), f"{base}/{folder}", name, ".json")
+
+    i = col("item_id")
+    part = F.struct(F.lit(800.0).alias("original_width"), F.lit(600.0).alias("original_height"), (i % 50).cast("double").alias("x"), F.lit(10.0).alias("y"), F.lit(25.0).alias("width"), F.lit(5.0).alias("height"))
+    items = t.benchmark.select("item_id", F.to_json(F.struct(text(F.lit("b"), i, F.lit(".jpg")).alias("image"), text(F.lit("item "), i).alias("positive"), F.lit(1).alias("bbox_num"), F.array(part).alias("proposal"))).alias("j"))
+    array_of(items.withColumn("file", F.concat(F.lit("f"), (i / 1000).cast("int").cast("string"))), "percent", "file", "item_id")
+
+    o = t.orders.where("o_custkey % 10 = 0").select("o_orderkey", "o_custkey")
+    lines = t.lineitem.join(o, col("l_orderkey") == col("o_orderkey"))
+    cut = (col("l_suppkey") % 4 == 1).cast("int")
+    name = F.concat(F.when(cut == 1, "neg_").otherwise(""), text(F.lit("i"), col("l_orderkey"), F.lit("_"), cut, F.lit(".jpg")))
+    images = lines.select("o_custkey", F.struct((col("l_orderkey") * 2 + cut).alias("id"), name.alias("file_name"), text(F.lit("scene "), col("l_orderkey")).alias("caption")).alias("i")).groupBy("o_custkey").agg(F.collect_set("i").alias("images"))
+    kind = F.when(col("l_suppkey") % 4 == 0, "text").when(col("l_suppkey") % 4 == 1, "image")
+    words = text(F.lit("part "), col("l_partkey"))
+    ann = F.struct((col("l_orderkey") * 10 + col("l_linenumber")).alias("id"), (col("l_orderkey") * 2 + cut).alias("image_id"), F.array(col("l_partkey").cast("double"), F.lit(1.0), col("l_quantity").cast("double"), F.lit(2.0)).alias("bbox"),
+                   F.when(col("l_partkey") % 3 == 1, words).when(col("l_partkey") % 3 == 0, "").alias("expression"), F.when(col("l_partkey") % 3 == 2, words).alias("caption"), kind.alias("negative_cate"),
+                   F.when(kind.isNotNull(), text(F.lit("t"), col("l_tax"))).alias("negative_type"), col("l_linenumber").alias("level"))
+    coco = lines.groupBy("o_custkey").agg(F.collect_list(ann).alias("annotations")).join(images, "o_custkey")
+    W.write_named(coco.select(text(F.lit("doc"), col("o_custkey")).alias("name"), F.to_json(F.struct("images", "annotations"), {"pretty": "true"}).alias("value")), f"{base}/coco", "name", ".json")
+
+    k = col("o_orderkey")
+    no = k % 5 < 2
+    several = F.when(k % 5 == 4, F.array(k, k + 1)).otherwise(F.array(k))
+    ref = F.struct(F.when(k % 5 == 0, F.array(F.lit(-1).cast("bigint"))).otherwise(several).alias("ann_id"), text(F.lit("o"), k, F.lit(".jpg")).alias("file_name"),
+                   F.element_at(F.array(*[F.lit(x) for x in ("train", "val", "testA", "testB")]), (col("o_custkey") % 4 + 1).cast("int")).alias("split"), F.when(k % 5 == 1, True).alias("no_target"),
+                   F.array(*[F.struct((k * 10 + n).alias("sent_id"), text(F.lit("ref "), k, F.lit(f" {n}")).alias("sent")) for n in (0, 1)]).alias("sentences"))
+    refs = t.orders.select("o_orderkey", F.concat(F.lit("r"), (col("o_custkey") / 100).cast("int").cast("string")).alias("file"), F.to_json(ref).alias("j"))
+    array_of(refs, "refs", "file", "o_orderkey")
+    first = t.orders.select(F.concat(F.lit("n"), (k / 10000).cast("int").cast("string")).alias("file"), F.struct(k.alias("id"), F.array(col("o_custkey").cast("double"), F.lit(1.0), F.lit(50.0), F.lit(2.0)).alias("bbox")).alias("a"))
+    W.write_named(first.groupBy("file").agg(F.to_json(F.struct(F.collect_list("a").alias("annotations"))).alias("value")), f"{base}/instances", "file", ".json")
+    seen = t.orders.where("o_orderkey % 7 = 0").groupBy((col("o_custkey") % 3).cast("string").alias("name")).agg(F.collect_list(text(F.lit("o"), k, F.lit(".jpg"))).alias("names"))
+    W.write_named(seen.select("name", F.to_json(F.create_map(F.concat(F.lit("set"), "name"), "names")).alias("value")), f"{base}/overlap", "name", ".json")
+
+    out = A.unite([A.boxed_lines(t.spark, f"{base}/lines", "lines"), *[A.percent_boxes(t.spark, f"{base}/percent", "percent", x) for x in ("none", "single")], A.coco_negatives(t.spark, f"{base}/coco", "coco"),
+                   A.refs_with_instances(t.spark, f"{base}/refs", f"{base}/instances", f"{base}/overlap", "refs")])
+    return out.select("id", "expr", "set", "n_gt", F.get("gt_boxes", F.lit(0))["x1"].alias("x1"), "image")
 
 
 @query("example_expansion", with_tables("cand", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import geometry as G
 from plumbline.plans.registry import query
 from plumbline.plans.tables import with_tables
-from plumbline.session import scratch_path
+from plumbline.session import cut_lineage, scratch_path
 from plumbline.sources import adapters as A
 from plumbline.sources import readers as R
 from plumbline.sources import schemas as S
@@ -94,16 +94,34 @@ def validated_parquet_sink(t):
     return t.spark.read.schema(S.OUTPUTS).parquet(path).groupBy("condition", "output_type").agg(F.count("*").alias("n"))
 
 
-@query("extract_binary_column", "SELECT page_id, sha256(html) AS sha256, octet_length(encode(html)) AS n_bytes FROM pages WHERE page_id % 3 > 0")
+@query("extract_binary_column", "SELECT page_id, sha256(html || chr(10)) AS sha256, octet_length(encode(html)) + 1 AS n_bytes FROM pages")
 def extract_binary_column(t):
+    """Pages written as one file each, in two runs: the second finds what the first has stored and writes the rest."""
     path = scratch_path(t.spark, "payloads")
-    W.new_payloads(t.pages, "page_id", F.encode("html", "utf-8"), t.pages.filter("page_id % 3 = 0")).write.parquet(path)
-    return t.spark.read.parquet(path).select("page_id", "sha256", F.octet_length("content").alias("n_bytes"))
+    for part in (t.pages.filter("page_id % 3 = 0"), t.pages):
+        stored = R.files(t.spark, path, "*.html").select(F.regexp_extract("path", r"([0-9]+)\.html$", 1).cast("bigint").alias("page_id"))
+        new = W.new_payloads(part, "page_id", F.encode("html", "utf-8"), stored)
+        W.write_named(new.select("page_id", F.decode("content", "utf-8").alias("value")), path, "page_id", ".html")
+    d = R.file_facts(R.files(t.spark, path, "*.html"))
+    return d.select(F.regexp_extract("path", r"([0-9]+)\.html$", 1).cast("bigint").alias("page_id"), "sha256", "n_bytes")
 
 
-@query("file_facts", "SELECT page_id, sha256(html) AS sha256, octet_length(encode(html)) AS n_bytes FROM pages")
+@query("file_facts", """
+SELECT lang, sha256(string_agg(replace(text, chr(10), ' '), chr(10) ORDER BY doc_id) || chr(10)) AS sha256, sum(octet_length(encode(text)) + 1)::BIGINT AS n_bytes, lang <> 'en' AS unchanged FROM documents WHERE lang <> 'de' GROUP BY lang""")
 def file_facts(t):
-    return R.file_facts(t.pages, "page_id", F.encode("html", "utf-8"))
+    """Files of lines, one per language. After they are known, one is written anew, one is gone and one of another
+    kind is there: only the changed one is read again."""
+    path, other = scratch_path(t.spark, "texts"), scratch_path(t.spark, "texts")
+    lines = t.documents.select("lang", "doc_id", F.translate("text", "\n", " ").alias("value"))
+    W.write_named(lines, path, "lang", ".txt", ["doc_id"])
+    W.write_named(lines.where("lang = 'fr'"), path, "lang", ".tmp", ["doc_id"])
+    W.write_named(lines.where("lang = 'en'"), other, "lang", ".txt", ["doc_id"])
+    known = cut_lineage(R.file_facts(R.files(t.spark, path, "*.txt")))
+    lang = F.regexp_extract("path", r"([^/]+)\.txt$", 1)
+    # the same files as they are later: the English one from elsewhere, the German one gone
+    later = R.files(t.spark, path, "*.txt").where(~lang.isin("en", "de")).unionByName(R.files(t.spark, other, "*.txt"))
+    facts = R.file_facts(later, known)
+    return facts.join(known.select("path", F.lit(True).alias("unchanged")), "path", "left").select(lang.alias("lang"), "sha256", "n_bytes", F.coalesce("unchanged", F.lit(False)).alias("unchanged"))
 
 
 @query("coco_json_explode", with_tables("boxes", """
@@ -144,8 +162,8 @@ def scan_label_log(t):
 
 
 @query("scan_training_log", """
-WITH e AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'run' || event_id END AS nm, event_type FROM events), f AS (SELECT *, last_value(nm IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM e)
-SELECT user_id, event_id AS line_no, run, CASE WHEN event_type = 'click' THEN 'sft' ELSE 'grpo' END AS kind, CAST(event_id % 9 AS INT) AS step, CASE WHEN event_type = 'click' THEN (event_id % 100) / 10.0e0 END AS loss,
+WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS no, CASE WHEN event_type = 'error' THEN 'run' || event_id END AS nm, event_type FROM events), f AS (SELECT *, last_value(nm IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM e)
+SELECT user_id, no AS line_no, run, CASE WHEN event_type = 'click' THEN 'sft' ELSE 'grpo' END AS kind, CAST(event_id % 9 AS INT) AS step, CASE WHEN event_type = 'click' THEN (event_id % 100) / 10.0e0 END AS loss,
   CASE WHEN event_type <> 'click' AND event_id % 2 = 0 THEN (event_id % 50) / 10.0e0 END AS pos_r FROM f WHERE nm IS NULL AND run IS NOT NULL AND event_type IN ('click', 'view')""")
 def scan_training_log(t):
     e = col("event_id")
@@ -154,8 +172,11 @@ def scan_training_log(t):
     r = F.when(e % 2 == 0, ((e % 50) / 10.0).cast("string")).otherwise("nan")
     grpo = F.concat(F.lit("  epoch 1 step "), (e % 9).cast("string"), F.lit("/9 | neg: r 0.1 null nan ev 0.2 used 1.0 | cross: r nan null nan | pos: r "), r, F.lit(" null 0.0 fa 0.1 used 0.9 | bad 0.0 inc 0.1 | 3.5 min"))
     line = F.when(col("event_type") == "error", head).when(col("event_type") == "click", sft).when(col("event_type") == "view", grpo).otherwise("noise")
-    d = R.training_log(t.events.select("user_id", e.alias("line_no"), line.alias("line")), "user_id")
-    return d.select("user_id", "line_no", "run", "kind", "step", "loss", "pos_r")
+    # one log file per user, read back as text
+    path = scratch_path(t.spark, "logs")
+    W.write_named(t.events.select("user_id", "event_id", line.alias("value")), path, "user_id", ".log", ["event_id"])
+    d = R.training_log(R.log_lines(t.spark, path))
+    return d.select(F.regexp_extract("path", r"([0-9]+)\.log$", 1).cast("bigint").alias("user_id"), "line_no", "run", "kind", "step", "loss", "pos_r")
 
 
 @query("report_table_sink", with_tables("evals", """
@@ -166,10 +187,24 @@ def report_table_sink(t):
     return W.report_lines(g, [col("dimension"), col("ok"), col("n"), pct], ["dimension"])
 
 
-@query("scan_result_files", "SELECT 'orders.parquet' AS file_name, o_orderstatus, count(*) AS n FROM orders GROUP BY 2")
+@query("scan_result_files", """
+SELECT 'gate__' || o_custkey || '.json' AS file_name, o_custkey % 3 = 0 AS broken, CASE WHEN o_custkey % 3 > 0 THEN count(*) END AS n, CASE WHEN o_custkey % 3 > 0 THEN round(sum(o_totalprice), 2) END AS lo FROM orders WHERE o_custkey % 10 = 0 GROUP BY o_custkey""")
 def scan_result_files(t):
-    d = R.result_files(t.spark, t.sf_dir, "orders", "parquet", t.orders.schema)
-    return d.groupBy("file_name", "o_orderstatus").agg(F.count("*").alias("n"))
+    """A result file per customer number that ends in 0; every third is cut off in the middle, and runs with a limit
+    have left files with another prefix."""
+    path = scratch_path(t.spark, "results")
+    g = t.orders.where("o_custkey % 10 = 0").groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("lo"))
+    text = F.format_string('{"row": "r%d",\n "n": %d,\n "ci": {"lo": %s, "hi": null}}', "o_custkey", "n", col("lo").cast("string"))
+    text = F.when(col("o_custkey") % 3 == 0, F.substring(text, 1, 20)).otherwise(text)
+    for prefix in ("gate__", "limit8__gate__"):
+        W.write_named(g.select(F.concat(F.lit(prefix), col("o_custkey").cast("string")).alias("name"), text.alias("value")), path, "name", ".json")
+    from pyspark.sql import types as T
+
+    ci = T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
+    found = R.result_files(t.spark, path, "gate__", T.StructType([T.StructField("row", T.StringType()), T.StructField("n", T.LongType()), T.StructField("ci", ci)]))
+    good, bad = R.quarantined(found)
+    none = F.lit(None)
+    return good.select("file_name", F.lit(False).alias("broken"), "n", col("ci.lo").alias("lo")).unionByName(bad.select("file_name", F.lit(True).alias("broken"), none.cast("bigint").alias("n"), none.cast("double").alias("lo")).distinct())
 
 
 def length_scorer():
@@ -226,15 +261,18 @@ def poisoned_keys(t):
 @query("running_training_metrics", """
 SELECT event_type AS run, event_id // 50 AS "window", count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2""")
 def running_training_metrics(t):
-    """The step log read as a growing stream; every changed window replaces its older row."""
+    """The step log read as a growing stream, whose rows come up to 60 steps late; every changed window replaces its
+    older row, and windows that are further back are closed."""
     base = scratch_path(t.spark, "steps")
     e = t.events.select(col("event_type").alias("run"), col("event_id").alias("step"), "value")
-    for part in (0, 1):
-        e.filter(col("step") % 2 == part).write.mode("append").json(f"{base}/log")
+    half = (e.agg(F.max("step").alias("m")).first()["m"] or 0) // 2
+    late = (col("step") >= half) | (col("step") >= half - 60) & (col("step") % 2 == 1)
+    for part in (~late, late):
+        e.filter(part).write.mode("append").json(f"{base}/log")
 
         def sink(df, batch_id):
             df.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(f"{base}/out")
 
-        MET.follow(t.spark, f"{base}/log", e.schema, "run", "step", ["value"], 50, sink, f"{base}/checkpoint")
-    out = t.spark.read.parquet(f"{base}/out").groupBy("run", "window").agg(F.max_by(F.struct("n", "mean_value"), "batch").alias("x"))
-    return out.select("run", "window", "x.n", F.round("x.mean_value", 6).alias("mean_value"))
+        MET.follow(t.spark, f"{base}/log", e.schema, "run", "step", ["value"], 50, 120, sink, f"{base}/checkpoint")
+    out = t.spark.read.parquet(f"{base}/out").groupBy("run", "window").agg(F.max_by("n", "batch").alias("n"), F.max_by("mean_value", "batch").alias("mean_value"))
+    return out.select("run", "window", "n", F.round("mean_value", 6).alias("mean_value"))

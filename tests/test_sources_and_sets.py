@@ -10,6 +10,7 @@ from plumbline.operators import relations as RL
 from plumbline.operators import sets as SE
 from plumbline.operators import windows as W
 from plumbline.plans.tables import Tables
+from plumbline.session import cut_lineage
 from plumbline.sources import constraints as C
 from plumbline.sources import readers as R
 from plumbline.sources import schemas as S
@@ -222,3 +223,156 @@ def test_all_problems_are_listed(spark):
         require(spark.range(50).withColumnRenamed("id", "row"), "rows")
     path = re.search(r"listed in (\S+):", str(e.value)).group(1)
     assert "50 problems" in str(e.value) and spark.read.json(path).count() == 50
+
+
+# ---- real files -------------------------------------------------------------------------------
+
+
+@pytest.fixture()
+def folder(tmp_path):
+    def put(name, text, mode="w"):
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(text.encode() if isinstance(text, str) else text)
+        return str(p)
+
+    put.path = str(tmp_path)
+    return put
+
+
+def test_log_lines_of_one_file_in_many_tasks(spark, folder):
+    """A file cut into splits of a few hundred bytes: numbers and the names carried from headers are as if it were read
+    in one go; another file starts anew."""
+    lines, want, name = [], [], None
+    for i in range(3000):
+        if i % 700 == 5:
+            name = f"run{i}"
+            lines.append(f"=== 10:11:12 [0] python -m x --name {name} --y")
+        elif i % 3 == 0:
+            lines.append(f"  epoch 1 step {i}/9000 loss 0.5 lr 1e-04 2.5 min")
+            if name:
+                want.append((i, name, i))
+        else:
+            lines.append("" if i % 3 == 1 else "noise é" * (i % 40))
+    folder("logs/a.log", "\n".join(lines) + "\n")
+    folder("logs/b.log", "  epoch 1 step 7/9 loss 0.5 lr 1e-04 2.5 min\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        d = R.log_lines(spark, folder.path + "/logs").cache()
+        assert d.select(F.spark_partition_id()).distinct().count() > 20
+        assert [(r.line_no, r.line) for r in d.where("path like '%a.log'").orderBy("line_no").collect()] == list(enumerate(lines))
+        got = [(r.line_no, r.run, r.step) for r in R.training_log(d).orderBy("line_no").collect()]
+        assert got == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_result_files_prefixes_broken_and_empty(spark, folder):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("row", T.StringType()), T.StructField("n", T.LongType())])
+    assert R.result_files(spark, folder.path + "/none", "gate__", schema).count() == 0
+    folder("res/limit8__gate__a.json", '{"row": "no", "n": 1}')
+    assert R.result_files(spark, folder.path + "/res", "gate__", schema).count() == 0
+    folder("res/gate__a.json", '{\n "row": "a",\n "n": 1, "more": [1]\n}')
+    folder("res/gate__b.json", '[{"row": "b", "n": 2},\n {"row": "c"}]')
+    folder("res/gate__c.json", '{"row": "cut", "n"')
+    folder("res/gate__d.txt", '{"row": "no", "n": 1}')
+    good, bad = R.quarantined(R.result_files(spark, folder.path + "/res", "gate__", schema))
+    assert sorted((r.file_name, r.row, r.n) for r in good.collect()) == [("gate__a.json", "a", 1), ("gate__b.json", "b", 2), ("gate__b.json", "c", None)]
+    assert [(r.file_name, r.text) for r in bad.collect()] == [("gate__c.json", '{"row": "cut", "n"')]
+
+
+def test_file_facts_read_only_what_changed(spark, folder):
+    import os
+    import time
+    from hashlib import sha256
+
+    for name, text in (("x/a.bin", b"\x00\x01"), ("x/b.bin", b"b" * 1000), ("x/c.bin", b"c"), ("x/d.txt", b"other")):
+        folder(name, text)
+    read = lambda: R.files(spark, folder.path + "/x", "*.bin")
+    known = cut_lineage(R.file_facts(read()))
+    sha = lambda rows: {os.path.basename(r.path): r.sha256 for r in rows}
+    assert sha(known.collect()) == {"a.bin": sha256(b"\x00\x01").hexdigest(), "b.bin": sha256(b"b" * 1000).hexdigest(), "c.bin": sha256(b"c").hexdigest()}
+    time.sleep(1.1)
+    folder("x/b.bin", b"B" * 1000)
+    os.remove(folder.path + "/x/c.bin")
+    folder("x/e.bin", b"new")
+    forged = known.withColumn("sha256", F.concat(F.lit("old "), "sha256"))  # shows which rows were taken over
+    facts = R.file_facts(read(), forged)
+    assert sha(facts.collect()) == {"a.bin": "old " + sha256(b"\x00\x01").hexdigest(), "b.bin": sha256(b"B" * 1000).hexdigest(), "e.bin": sha256(b"new").hexdigest()}
+    assert [os.path.basename(r.path) for r in R.missing_files(facts, known).collect()] == ["c.bin"]
+    assert R.files(spark, folder.path + "/nothing").count() == 0
+    assert R.files(spark, folder.path + "/x", "*", "2100-01-01T00:00:00").count() == 0
+
+
+def test_named_files(spark, folder):
+    import os
+
+    df = spark.createDataFrame([("a b", 2, "second"), ("a b", 1, "first"), ("c%", 1, "x\ny")], "name string, i int, value string").repartition(3)
+    K.write_named(df, folder.path + "/out", "name", ".txt", ["i"])
+    assert {n: open(f"{folder.path}/out/{n}").read() for n in os.listdir(folder.path + "/out") if not n.startswith(".")} == {"a b.txt": "first\nsecond\n", "c%.txt": "x\ny\n"}
+
+
+def test_published_formats(spark, folder):
+    import json
+
+    from plumbline.sources import adapters as A
+
+    one = lambda df: sorted((r.id, r.expr, r["set"], r.n_gt, r.kind, tuple(r.gt_boxes[0]) if r.gt_boxes else None, r.image) for r in df.collect())
+    folder("lines.jsonl", json.dumps({"id": 1, "referring": "a", "answer_boxes": [[1, 2, 3, 4], [5, 6, 7, 8]], "domain": "d", "image_name": "x.jpg"}) + "\n" + json.dumps({"id": 2, "referring": "b", "answer_boxes": [], "domain": "rejection", "image_name": "y.jpg"}))
+    assert one(A.boxed_lines(spark, folder.path + "/lines.jsonl", "h")) == [("h:1", "a", "d", 2, "positive", (1, 2, 3, 4), "x.jpg"), ("h:2", "b", "rejection", 0, "negative", None, "y.jpg")]
+    folder("p.json", json.dumps([{"image": "a.jpg", "positive": "it", "bbox_num": 1, "proposal": [{"original_width": 200, "original_height": 100, "x": 10, "y": 20, "width": 30, "height": 40}]}, {"image": "b.jpg", "positive": "none", "bbox_num": 0, "proposal": []}], indent=1))
+    assert one(A.percent_boxes(spark, folder.path + "/p.json", "o", "single")) == [("o:single:a.jpg", "it", "single", 1, "positive", (20, 20, 80, 60), "a.jpg"), ("o:single:b.jpg", "none", "single", 0, "negative", None, "b.jpg")]
+    assert {x[3] for x in one(A.percent_boxes(spark, folder.path + "/p.json", "o", "none"))} == {0}
+    doc = {"images": [{"id": 1, "file_name": "i.jpg", "caption": "cap"}, {"id": 2, "file_name": "neg_i.jpg"}], "annotations": [
+        {"id": 1, "image_id": 1, "bbox": [1, 2, 3, 4], "expression": "right", "level": 2}, {"id": 2, "image_id": 1, "bbox": [1, 2, 3, 4], "expression": "wrong", "negative_cate": "text", "negative_type": "swap"},
+        {"id": 3, "image_id": 2, "bbox": [1, 2, 3, 4], "caption": "edited", "negative_cate": "image"}, {"id": 4, "image_id": 1, "bbox": [0, 0, 1, 1], "expression": "", "level": 1}]}
+    folder("coco/a.json", json.dumps(doc, indent=2))
+    folder("coco/b.json", json.dumps({"images": [{"id": 1, "file_name": "other.jpg"}], "annotations": [{"id": 1, "image_id": 1, "bbox": [0, 0, 2, 2], "expression": "same ids", "level": 1}]}))
+    assert one(A.coco_negatives(spark, folder.path + "/coco", "f")) == [
+        ("f:a.json/1", "right", "pos_level2", 1, "positive", (1, 2, 4, 6), "images/i.jpg"), ("f:a.json/2", "wrong", "neg_text_swap", 0, "negative", None, "images/i.jpg"),
+        ("f:a.json/3", "edited", "neg_image", 0, "negative", None, "final_neg_images/neg_i.jpg"), ("f:a.json/4", "cap", "pos_level1", 1, "positive", (0, 0, 1, 1), "images/i.jpg"),
+        ("f:b.json/1", "same ids", "pos_level1", 1, "positive", (0, 0, 2, 2), "images/other.jpg")]
+    s = lambda i, t: [{"sent_id": i, "sent": t}]
+    refs = [{"ann_id": [-1], "file_name": "a", "split": "val", "sentences": s(1, "none")}, {"ann_id": [7], "file_name": "a", "split": "testA", "sentences": s(2, "one") + s(3, "uno")}, {"ann_id": [7], "file_name": "a", "split": "val", "sentences": s(4, "val")},
+            {"ann_id": [7, 8], "file_name": "a", "split": "testB", "sentences": s(5, "two")}, {"ann_id": [7], "file_name": "seen", "split": "testB", "sentences": s(6, "seen")}, {"ann_id": [9], "file_name": "a", "split": "train", "sentences": s(7, "train")},
+            {"ann_id": [7], "file_name": "a", "split": "testB", "no_target": True, "sentences": s(8, "flag")}]
+    folder("refs.json", json.dumps(refs))
+    folder("inst.json", json.dumps({"info": {}, "annotations": [{"id": 7, "bbox": [1, 1, 2, 2]}, {"id": 8, "bbox": [0, 0, 1, 1]}]}, indent=1))
+    folder("over.json", json.dumps({"refcoco": ["seen", "x"], "other": []}))
+    read = lambda o: one(A.refs_with_instances(spark, folder.path + "/refs.json", folder.path + "/inst.json", folder.path + o, "g"))
+    want = [("g:1", "none", "val_none", 0, "negative", None, "a"), ("g:2", "one", "testA_single", 1, "positive", (1, 1, 3, 3), "a"), ("g:3", "uno", "testA_single", 1, "positive", (1, 1, 3, 3), "a"), ("g:8", "flag", "testB_none", 0, "negative", None, "a")]
+    assert read("/over.json") == want
+    assert len(read("/absent.json")) == 5
+
+
+def test_running_metrics_close_windows_and_restart(spark, folder):
+    """Rows within the lateness change their window, rows beyond it do not, and a restart from the checkpoint goes on
+    where the last run ended."""
+    from plumbline.streaming import metrics as MET
+
+    schema, seen, states = "run string, step long, value double", {}, []
+    base = folder.path
+
+    def arrive(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(base + "/log")
+
+        def sink(df, batch_id):
+            for r in df.collect():
+                seen[(r.run, r.window)] = (r.n, r.mean_value)
+
+        q = MET.follow(spark, base + "/log", spark.createDataFrame([], schema).schema, "run", "step", ["value"], 10, 25, sink, base + "/checkpoint")
+        states.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+
+    arrive("a", [("r", s, 1.0) for s in range(0, 60)])
+    assert seen[("r", 5)] == (10, 1.0) and len(seen) == 6
+    arrive("b", [("r", 60, 1.0), ("r", 41, 3.0), ("r", 2, 9.0)])
+    assert seen[("r", 4)] == (11, 13.0 / 11) and seen[("r", 0)] == (10, 1.0) and seen[("r", 6)] == (1, 1.0)
+    arrive("c", [("r", s, 1.0) for s in range(200, 210)] + [("q", 205, None)])
+    assert seen[("r", 20)] == (10, 1.0) and seen[("q", 20)] == (1, None)
+    arrive("d", [("r", 44, 5.0)])
+    assert seen[("r", 4)] == (11, 13.0 / 11)
+    assert states[-1] <= 2 < states[0]
