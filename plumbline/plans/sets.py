@@ -130,8 +130,8 @@ def audit_row_items(t):
     return SE.audit_rows(yes, seen, ["image_id", "iid"], 6, 0.25, 2, "ar").select("image_id", "iid", "attempt", F.array_join("conds", "; ").alias("conds"), F.size("errs").alias("n_err"))
 
 
-DETAILS = "SELECT image_id, clause AS idx, iid, iid = 1 AS is_target, CASE WHEN iid = 1 AND h[['dt:' || image_id || ':' || clause]] % 4 > 0 THEN 'yes' ELSE verdict END AS verdict FROM verdicts WHERE clause <= 3"
-FLIPS = "SELECT image_id, clause AS flip, 1 + h[['fx:' || image_id || ':' || clause]] % 3 AS idx, iid, CASE WHEN h[['fz:' || image_id || ':' || clause]] % 2 = 0 THEN 'no' ELSE verdict END AS verdict FROM verdicts"
+DETAILS = "SELECT image_id, clause AS idx, iid, iid = 1 AS is_target, CASE WHEN iid = 1 AND h[['dt:' || image_id || ':' || clause]] % 4 > 0 THEN 'yes' ELSE verdict END AS verdict FROM verdicts"
+FLIPS = "SELECT image_id, clause AS flip, 1 + h[['fx:' || image_id || ':' || clause]] % 5 AS idx, iid, CASE WHEN h[['fz:' || image_id || ':' || clause]] % 2 = 0 THEN 'no' ELSE verdict END AS verdict FROM verdicts"
 
 
 @query("style_items", with_tables("verdicts", f"""
@@ -185,11 +185,17 @@ def alternative_negatives(t):
     return SE.alternative_negatives(t.sql(ALTS), ["image_id", "alt"])
 
 
-@query("cross_scene_negatives", with_tables("verdicts", """
-WITH c AS (SELECT image_id, image_id % 7 AS src, iid, verdict FROM verdicts), i AS (SELECT image_id, src, iid, bool_and(verdict <> 'no') AS s FROM c GROUP BY 1, 2, 3)
-SELECT image_id, src, count(*) FILTER (s) AS n_satisfiers, count(*) FILTER (s) = 0 AS usable FROM i GROUP BY 1, 2"""))
+# the clauses of one scene asked of the instances of another: two images with neighbouring numbers
+CROSS = """SELECT s.image_id AS src, c.image_id AS dst, c.iid, s.clause, CASE WHEN h[['cv:' || s.image_id || ':' || c.image_id || ':' || c.iid || ':' || s.clause]] % 10 < 7 THEN 'yes' WHEN h[['cu:' || c.image_id || ':' || c.iid || ':' || s.clause]] % 3 = 0 THEN 'unclear' ELSE 'no' END AS verdict
+FROM (SELECT image_id, clause FROM verdicts WHERE iid = 1 AND verdict = 'yes') s JOIN cand c ON c.image_id = s.image_id + 1"""
+
+
+@query("cross_scene_negatives", with_tables("verdicts", f"""
+WITH c AS ({CROSS}), i AS (SELECT src, dst, iid, bool_and(verdict <> 'no') AS s FROM c GROUP BY 1, 2, 3)
+SELECT src, dst, count(*) FILTER (s) AS n_satisfiers, count(*) FILTER (s) = 0 AS usable FROM i GROUP BY 1, 2"""))
 def cross_scene_negatives(t):
-    return SE.cross_negatives(t.verdicts.withColumn("src", col("image_id") % 7), ["image_id", "src"])
+    """What is true of one scene's target, checked on every instance of another scene: a negative where none fits."""
+    return SE.cross_negatives(t.sql(CROSS), ["src", "dst"])
 
 
 @query("mosaic_label_rows", with_tables("verdicts", """

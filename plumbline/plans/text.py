@@ -119,11 +119,12 @@ def _duck_numbered(k: int, group: int) -> str:
 
 @query("numbered_verdict_lines", with_tables("", "WITH x AS (" + NUMBERED + ") SELECT doc_id, "
        + ", ".join(f"coalesce(nullif(lower({_duck_numbered(k, 1)}), ''), 'unparsed') AS v{k}" for k in (1, 2, 3, 4))
-       + f", rtrim({_duck_numbered(2, 2)}, '.') AS s2, rtrim({_duck_numbered(4, 2)}, '.') AS s4 FROM x"))
+       + f", rtrim({_duck_numbered(2, 2)}, '.') AS s2, rtrim({_duck_numbered(4, 2)}, '.') AS s4, 'item ' || doc_id AS l1, CAST(NULL AS VARCHAR) AS l2, 'a quoted one' AS l3 FROM x"))
 def numbered_verdict_lines(t):
     x = t.sql(NUMBERED)
     v, s = T.numbered_verdicts(col("text"), 4), T.numbered_verdicts_seen(col("text"), 4)
-    return x.select("doc_id", v.alias("v"), s.alias("s")).select("doc_id", *[col("v")[k - 1].alias(f"v{k}") for k in (1, 2, 3, 4)],
+    listed = F.concat(F.lit("Here they are:\n1. item "), col("doc_id").cast("string"), F.lit(" \nnoise\n3. \"a quoted one\"\n1. again\n7. beyond"))
+    return x.select("doc_id", v.alias("v"), s.alias("s"), T.numbered_lines(listed, 3).alias("l")).select("doc_id", *[col("v")[k - 1].alias(f"v{k}") for k in (1, 2, 3, 4)], *[col("l")[k - 1].alias(f"l{k}") for k in (1, 2, 3)],
                                                                 col("s")[1]["seen"].alias("s2"), col("s")[3]["seen"].alias("s4"))
 
 
@@ -139,14 +140,14 @@ SELECT doc_id, plain, 'head:  "' || trim(plain) || '"' || chr(10) || 'Clause: ha
 @query("tagged_line_fields", with_tables("", "WITH p AS (" + TAGGED + "), x AS (" + TAGGED_BODY + r""")
 SELECT doc_id, trim(plain) AS head, CASE WHEN trim(plain) = '' THEN 1 ELSE 2 END AS n_clauses, 'has ' || doc_id || ' stripes' AS c1, nullif(trim(plain), '') AS c2,
   CASE WHEN trim(plain) = '' THEN '' ELSE trim(plain) END AS expr, 'red ' || doc_id AS old, 'blue' AS new, 'red ' || doc_id AS old2, 'blue' AS new1,
-  CASE WHEN trim(plain) = '' THEN 'x' ELSE trim(plain) || ' x' END AS new2 FROM x"""))
+  CASE WHEN trim(plain) = '' THEN 'x' ELSE trim(plain) || ' x' END AS new2, trim(plain) AS line FROM x"""))
 def tagged_line_fields(t):
     p = t.sql(TAGGED_SPARK)
     x = t.spark.sql(TAGGED_BODY.replace("FROM p", "FROM {p}"), p=p)
-    d = x.select("doc_id", T.decomposition(col("dec")).alias("d"), T.flip_answer(col("flip")).alias("f"), T.old_new_spans(col("v2")).alias("o"))
+    d = x.select("doc_id", T.decomposition(col("dec")).alias("d"), T.flip_answer(col("flip")).alias("f"), T.old_new_spans(col("v2")).alias("o"), T.clean_line(col("flip")).alias("line"))
     return d.select("doc_id", col("d.head").alias("head"), F.size("d.clauses").alias("n_clauses"), F.get("d.clauses", F.lit(0)).alias("c1"), F.get("d.clauses", F.lit(1)).alias("c2"),
                     col("f.expr").alias("expr"), col("f.old").alias("old"), col("f.new").alias("new"), col("o.old").alias("old2"),
-                    F.get("o.news", F.lit(0)).alias("new1"), F.get("o.news", F.lit(1)).alias("new2"))
+                    F.get("o.news", F.lit(0)).alias("new1"), F.get("o.news", F.lit(1)).alias("new2"), "line")
 
 
 BLOCKS = """
@@ -424,13 +425,21 @@ SQL_REL = "[CAST(x0 AS INT), CAST(round_even(y0 * 1000 / 800, 0) AS INT), CAST(x
 @query("render_label_text", with_tables("verdicts", """
 WITH ranked AS (SELECT *, '[' || array_to_string(""" + SQL_REL + """, ', ') || ']' AS rel, row_number() OVER (PARTITION BY image_id ORDER BY CASE WHEN iid = 1 THEN 0 ELSE 1 END, (x1 - x0) * (y1 - y0) DESC, iid) AS rk FROM cand),
 vc AS (SELECT image_id, iid, count(*) FILTER (verdict = 'no') AS n_no, string_agg(clause || ': ' || verdict || CASE WHEN verdict = 'no' THEN ' (seen: it is blue, not red)' ELSE '' END, '; ' ORDER BY clause) AS cells FROM verdicts GROUP BY 1, 2),
-sc AS (SELECT r.image_id, r.iid, rel, n_no, cells, row_number() OVER (PARTITION BY r.image_id ORDER BY r.iid) AS pos FROM ranked r JOIN vc USING (image_id, iid) WHERE rk <= 6)
-SELECT image_id, '<conditions>' || chr(10) || '1. is red' || chr(10) || '2. has a handle' || chr(10) || '3. is left of it' || chr(10) || '4. reads 7' || chr(10) || '5. is open' || chr(10) || '</conditions>' || chr(10) || '<candidates>' || chr(10)
+sc AS (SELECT r.image_id, r.iid, rel, n_no, cells, row_number() OVER (PARTITION BY r.image_id ORDER BY r.iid) AS pos FROM ranked r JOIN vc USING (image_id, iid) WHERE rk <= 6),
+tx AS (SELECT image_id, '<conditions>' || chr(10) || '1. is red' || chr(10) || '2. has a handle' || chr(10) || '3. is left of it' || chr(10) || '4. reads 7' || chr(10) || '5. is open' || chr(10) || '</conditions>' || chr(10) || '<candidates>' || chr(10)
   || string_agg('<object id="' || pos || '" bbox="' || rel || '">' || cells || CASE WHEN n_no = 0 THEN ' -> fits' ELSE ' -> excluded' END || '</object>', chr(10) ORDER BY pos)
   || chr(10) || '</candidates>' || chr(10) || '<answer>{"bbox_2d": ' || coalesce(max(CASE WHEN iid = 1 AND n_no = 0 THEN rel END), 'null') || '}</answer>' AS text
-FROM sc GROUP BY image_id"""))
+FROM sc GROUP BY image_id), au AS (SELECT image_id, '<audit>' || chr(10) || '1. is red | seen: ' || CASE WHEN image_id % 3 = 0 THEN 'is red' ELSE 'is blue' END || ' | ' || CASE image_id % 3 WHEN 0 THEN 'match' ELSE 'mismatch' END || chr(10)
+  || '2. has a lid | seen: has a lid | ' || CASE image_id % 2 WHEN 0 THEN 'match' ELSE 'unsure' END || chr(10) || '</audit>' || chr(10) || '<verdict>' || CASE WHEN image_id % 3 = 0 THEN 'fits' ELSE 'mismatch on 1: is blue, not is red' END || '</verdict>' AS audit,
+  '```json' || chr(10) || CASE WHEN image_id % 5 = 0 THEN '{"bbox_2d": null}' ELSE '{"bbox_2d": [' || image_id % 900 || ', 10, 950, 20]}' END || chr(10) || '```' AS target FROM (SELECT DISTINCT image_id FROM sc) z)
+SELECT image_id, text, audit, target FROM tx JOIN au USING (image_id)"""))
 def render_label_text(t):
-    return scene_traces(t, "obs")
+    d = scene_traces(t, "obs").select("image_id", "text")
+    i = col("image_id")
+    words = lambda *x: F.array(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    audit = T.render_audit(words("is red", "has a lid"), words(F.when(i % 3 == 0, "yes").otherwise("no"), F.when(i % 2 == 0, "yes").otherwise("no")), words(F.when(i % 3 > 0, "is blue"), F.lit(None).cast("string")))
+    rel = F.when(i % 5 > 0, F.array((i % 900).cast("int"), F.lit(10), F.lit(950), F.lit(20)))
+    return d.select("image_id", "text", audit.alias("audit"), T.target_text(rel).alias("target"))
 
 
 @query("clean_reason", with_tables("", r"""
