@@ -23,7 +23,9 @@ KEY = "pseudonyms"
 ROUNDS = 6
 
 # Fixed formats, one alternative per kind. Order decides where two begin at the same place.
-_EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# Parts of an address are bounded (256 before the @, labels of 63, 127 labels: more than mail can have), so that neither a long
+# word nor a long host costs more than its length times a bound.
+_EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,255}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9-]{1,63}){0,126}\.[A-Za-z]{2,63}"
 _DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})"
 _IP = r"[0-9]{1,3}(?:[.][0-9]{1,3}){3}"
 _KEY_ID = "AKIA[0-9A-Z]{16}"

@@ -61,21 +61,23 @@ def _marked(model: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def segments(at: list[int], weights: list[float], other: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments as (first word, last word, score): one pass over the weighted words, where
     each gap of g other words costs g times ``other``. Open segments are kept with the running totals at their
-    two ends; a segment is joined to the nearest earlier one that began lower, if it also ended lower."""
-    stack: list[list] = []  # [total before, total after, first, last]
+    two ends; a segment is joined to the nearest earlier one that began lower, if it also ended lower. Each open
+    segment knows where that one is, so a search steps from one to the next lower and all searches together are
+    linear."""
+    stack: list[list] = []  # [total before, total after, first, last, place of the nearest earlier one that began lower]
     total, previous = 0.0, -1
     for p, w in zip(at, weights):
         total += other * (p - previous - 1)
-        seg = [total, total + w, p, p]
+        seg, j = [total, total + w, p, p, -1], len(stack) - 1
         total, previous = total + w, p
-        while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][0] >= seg[0]:
-                j -= 1
-            if j < 0 or stack[j][1] >= seg[1]:
-                break
-            seg = [stack[j][0], seg[1], stack[j][2], seg[3]]
+        while j >= 0 and stack[j][0] >= seg[0]:
+            j = stack[j][4]
+        while j >= 0 and stack[j][1] < seg[1]:
+            seg = [stack[j][0], seg[1], stack[j][2], seg[3], -1]
+            below = stack[j][4]
             del stack[j:]
+            j = below
+        seg[4] = j
         stack.append(seg)
     return [(s[2], s[3], s[1] - s[0]) for s in stack]
 

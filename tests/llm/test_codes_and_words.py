@@ -266,3 +266,53 @@ def test_encode_and_decode(spark, piece_model, codec):
         want.append((i, tuple(ids), library.decode(ids)))
     assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in got) == Counter(want)
     assert sentence_pieces.encode_and_decode(documents(spark, []), piece_model).count() == 0
+
+
+# long texts in earlier operators
+
+
+def test_personal_data_in_long_words_takes_linear_time(spark):
+    from plumbline.llm import privacy
+
+    r = random.Random(3)
+    texts = ["x" * 1_000_000, "a@" + ".".join("b" for _ in range(100_000)), "".join(r.choice("abcdefgh0123456789+/") for _ in range(1_000_000)), "a." * 300_000 + "@", "mail ann.lee@example.com now"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    got = {row.doc_id: row for row in privacy.pseudonymised(df).collect()}
+    assert time.time() - began < 60 and len(got) == 5
+    assert privacy.pseudonymised(spark.createDataFrame([(0, texts[0])], "doc_id long, text string")).count() == 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 6), st.integers(1, 9)), max_size=40), st.integers(1, 5))
+def test_segments_are_those_of_the_plain_search(steps, cost):
+    from plumbline.llm import toxicity
+
+    at, weights, p = [], [], -1
+    for gap, w in steps:
+        p += gap
+        at.append(p)
+        weights.append(float(w))
+    stack, total, previous = [], 0.0, -1
+    for p, w in zip(at, weights):
+        total -= cost * (p - previous - 1)
+        seg = [total, total + w, p, p]
+        total, previous = total + w, p
+        while True:
+            j = max((k for k in range(len(stack)) if stack[k][0] < seg[0]), default=-1)
+            if j < 0 or stack[j][1] >= seg[1]:
+                break
+            seg = [stack[j][0], seg[1], stack[j][2], seg[3]]
+            del stack[j:]
+        stack.append(seg)
+    assert toxicity.segments(at, weights, -float(cost)) == [(s[2], s[3], s[1] - s[0]) for s in stack]
+
+
+def test_segments_of_many_words_far_apart_take_linear_time():
+    from plumbline.llm import toxicity
+
+    n = 200_000
+    began = time.time()
+    assert len(toxicity.segments(list(range(0, 50 * n, 50)), [1.0] * n, -1.0)) == n
+    assert len(toxicity.segments(list(range(n)), [1.0, 0.5] * (n // 2), -1.0)) == 1
+    assert time.time() - began < 10
