@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import geometry as G
 from plumbline.functions import text as T
 from plumbline.operators import greedy
+from plumbline.operators.ranks import hash_rank
 from plumbline.operators.windows import left_to_right
 
 # Fixed values of scene hygiene and scope.
@@ -24,10 +25,19 @@ def clean_boxes(boxes: DataFrame, min_area: float) -> DataFrame:
     return boxes.filter("is_group = 0 AND is_depiction = 0 AND confidence = 1").withColumn("area", area).filter(F.col("area") >= min_area)
 
 
-def licence_pool(images: DataFrame, boxes: DataFrame, licence: str, lo: float, hi: float) -> DataFrame:
-    """Images with the licence that carry at least one clean box inside an area band."""
+def licence_pool(images: DataFrame, boxes: DataFrame, licence: str, lo: float, hi: float, n: int = 0, seed="pool") -> DataFrame:
+    """Images with the licence that carry at least one clean box inside an area band, with their ``rank`` in a seeded
+    order: those beyond the first ``n`` are the surplus to walk on with. Fewer than ``n`` images are an error of the
+    job that reads them; ``n`` = 0 takes what there is."""
     good = clean_boxes(boxes, lo).filter(F.col("area") <= hi).select("image_id")
-    return images.filter(F.col("licence").contains(licence)).join(good, "image_id", "left_semi")
+    pool = hash_rank(images.filter(F.col("licence").contains(licence)).join(good, "image_id", "left_semi"), seed, ["image_id"])
+    if not n:
+        return pool
+    total = pool.agg(F.count("*").alias("_total"))
+    short = F.raise_error(F.concat(F.lit(f"{n} images are asked for, and "), F.col("_total").cast("string"), F.lit(" have the licence and a box in the band"))).cast("boolean")
+    # a row of its own that is never returned: it raises or goes, also where the pool is empty
+    guard = total.where(F.when(F.col("_total") < n, short).otherwise(F.lit(False))).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in pool.schema])
+    return pool.unionByName(guard)
 
 
 def item_scope(df: DataFrame, box: Column, w, h, max_area: float = MAX_SCOPE_AREA) -> DataFrame:

@@ -27,10 +27,10 @@ def clean_boxes(t):
     return IT.clean_boxes(t.sql(POOL), 0.005).select("image_id", "line", "pk", "area")
 
 
-@query("licence_filter_and_band", f"SELECT o_orderkey AS image_id FROM orders WHERE o_orderpriority LIKE '%HIGH%' AND o_orderkey IN (SELECT image_id FROM ({CLEAN}) c WHERE area <= 0.02)")
+@query("licence_filter_and_band", f"SELECT o_orderkey AS image_id, row_number() OVER (ORDER BY md5('pool:' || o_orderkey), o_orderkey) AS rank FROM orders WHERE o_orderpriority LIKE '%HIGH%' AND o_orderkey IN (SELECT image_id FROM ({CLEAN}) c WHERE area <= 0.02)")
 def licence_filter_and_band(t):
     images = t.orders.select(col("o_orderkey").alias("image_id"), col("o_orderpriority").alias("licence"))
-    return IT.licence_pool(images, t.sql(POOL), "HIGH", 0.005, 0.02).select("image_id")
+    return IT.licence_pool(images, t.sql(POOL), "HIGH", 0.005, 0.02, 5).select("image_id", "rank")
 
 
 @query("item_scope", with_tables("items", """

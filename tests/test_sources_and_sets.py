@@ -376,3 +376,16 @@ def test_running_metrics_close_windows_and_restart(spark, folder):
     arrive("d", [("r", 44, 5.0)])
     assert seen[("r", 4)] == (11, 13.0 / 11)
     assert states[-1] <= 2 < states[0]
+
+
+def test_a_short_pool_is_an_error(spark):
+    from plumbline.operators import items as IT
+
+    images = spark.createDataFrame([(i, "by" if i % 2 else "other") for i in range(10)], "image_id int, licence string")
+    boxes = spark.createDataFrame([(i, 0.0, 0.1, 0.0, 0.1, 0, 0, 1) for i in range(8)], "image_id int, xmin double, xmax double, ymin double, ymax double, is_group int, is_depiction int, confidence int")
+    got = IT.licence_pool(images, boxes, "by", 0.005, 0.02, 4).collect()
+    assert sorted(r.image_id for r in got) == [1, 3, 5, 7] and sorted(r["rank"] for r in got) == [1, 2, 3, 4]
+    for licence, n in (("by", 5), ("none", 1)):
+        with pytest.raises(Exception, match=f"{n} images are asked for"):
+            IT.licence_pool(images, boxes, licence, 0.005, 0.02, n).collect()
+    assert IT.licence_pool(images, boxes, "none", 0.005, 0.02).count() == 0
