@@ -10,6 +10,10 @@ is repeated, and neighbouring repeated windows run together into maximal repeats
 Whole copies of a text with a smaller id are found first, by digest: all their windows are repeated, and what they
 could tell others the first copy tells as well, so they are not extended.
 
+A document is an id and a version. The version is 0 where all rows of the id have one text, as they nearly always
+have, and a hash of the text where they differ; so texts that share an id, or have none, are cut each by its own
+places and never share a key.
+
 Every join is one shuffle on the digest followed by a pass over the sorted rows. Before a shuffle each block of
 texts keeps one row per digest and settles the others, so that a passage found in a large part of all documents
 brings one row per block and not one per document.
@@ -27,24 +31,17 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import NO_ID, key_id, whole, written
 from plumbline.llm.words import Words, blocks, constants, id_column, int64, mix, text_bytes
+from plumbline.session import broadcast_if_small
 
 WINDOW = 13
 ANCHOR = 5
 
-#: A place in a document: 24 more bits of a digest, 8 bits of the text (for rows with one id), 32 of the position.
-_PLACE = np.int64((1 << 40) - 1)
-_ROWS = "key long, id long, place long, settled boolean"
-
-
-def _versions(column: pa.Array) -> np.ndarray:
-    """8 bits of a digest of each text."""
-    data, at = text_bytes(column)
-    if len(data) == 0:
-        return np.zeros(len(at) - 1, np.int64)
-    total = np.concatenate([[0], np.cumsum(data.astype(np.uint64) * (np.arange(len(data), dtype=np.uint64) * np.uint64(2) + np.uint64(1)))]).astype(np.uint64)
-    shift = 2 * at[:-1].astype(np.uint64)
-    plain = np.concatenate([[0], np.cumsum(data, dtype=np.uint64)]).astype(np.uint64)
-    return ((total[at[1:]] - total[at[:-1]] - shift * (plain[at[1:]] - plain[at[:-1]])) & np.uint64(255)).astype(np.int64)
+#: A place in a document: 32 more bits of a digest and 32 of the position.
+_PLACE = np.int64((1 << 32) - 1)
+#: Instead of a place: the whole document is a copy.
+_COPY = -1
+_ROWS = "key long, id long, version long, place long, settled boolean"
+_PLACES = "id long, version long, place long"
 
 
 class _Windows:
@@ -53,7 +50,6 @@ class _Windows:
     def __init__(self, column: pa.Array, window: int, anchor: int):
         self.words = w = Words(column, fold=False)
         n, m = len(w.hash), len(w.hash) - window + 1
-        self.version = _versions(column)
         if m <= 0:
             self.at = self.selected = np.empty(0, np.int64)
             self.gram = np.empty(0, np.uint64)
@@ -71,22 +67,35 @@ class _Windows:
         self.selected = self.at + pick[self.at]
 
     def place(self, at: np.ndarray) -> np.ndarray:
-        doc = self.words.doc[at]
-        return (self.version[doc] << 32) | (at - self.words.first[doc])
+        return at - self.words.first[self.words.doc[at]]
+
+
+def _documents(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Id and version of each text of a block."""
+    return id_column(b.column(0)), b.column(2).to_numpy(zero_copy_only=False)
 
 
-def _rows(key: np.ndarray, ids: np.ndarray, place: np.ndarray, settled: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(key), pa.array(ids), pa.array(place), pa.array(settled)], names=["key", "id", "place", "settled"])
+def _batch(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(x) for x in columns], names=["key", "id", "version", "place", "settled"][: len(columns)])
 
 
-def _in_text_order(order: np.ndarray, key: np.ndarray, ids: np.ndarray, place: np.ndarray, settled: np.ndarray, go: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row of sorted columns differs from the one before."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def _in_text_order(order: np.ndarray, key: np.ndarray, ids: np.ndarray, version: np.ndarray, place: np.ndarray, settled: np.ndarray, go: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """The rows in the order of the texts, where neighbours are alike and compress well. Settled rows need no
     partner and are dealt out evenly; of those, ``go`` names the ones that also meet other blocks."""
-    deal = np.where(settled, (ids << 8) ^ ((place & np.int64(0xFFFFFFFF)) >> 6), key)
+    deal = np.where(settled, (ids << 8) ^ version ^ ((place & _PLACE) >> 6), key)
     back = np.argsort(order)
-    yield _rows(*(x[back] for x in (deal, ids, place, settled)))
+    yield _batch(*(x[back] for x in (deal, ids, version, place, settled)))
     if go is not None and len(go):
-        yield _rows(key[go], ids[go], place[go], np.zeros(len(go), bool))
+        yield _batch(key[go], ids[go], version[go], place[go], np.zeros(len(go), bool))
 
 
 def _anchors(window: int, anchor: int):
@@ -97,15 +106,16 @@ def _anchors(window: int, anchor: int):
                 at = np.unique(x.selected)
                 if len(at) == 0:
                     continue
-                ids = id_column(b.column(0))[x.words.doc[at]]
+                ids, version = (c[x.words.doc[at]] for c in _documents(b))
                 key, place = int64(x.gram[at]), x.place(at)
-                order = np.lexsort((ids, key))
-                key, ids, place = key[order], ids[order], place[order]
-                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                order = np.lexsort((version, ids, key))
+                key, ids, version, place = key[order], ids[order], version[order], place[order]
+                first = np.flatnonzero(_starts(key))
                 size = np.diff(np.append(first, len(key)))
                 # Of an anchor in several documents here, one row goes on for documents elsewhere; all are seeds.
-                many = ids[first] != ids[first + size - 1]
-                yield from _in_text_order(order, key, ids, place, np.repeat(many, size), first[many])
+                last = first + size - 1
+                many = (ids[first] != ids[last]) | (version[first] != version[last])
+                yield from _in_text_order(order, key, ids, version, place, np.repeat(many, size), first[many])
 
     return run
 
@@ -117,45 +127,52 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, at = text_bytes(b.column(1))
             raw = b"".join(blake2b(data[lo:hi], digest_size=16).digest() for lo, hi in zip(at[:-1], at[1:]))
             h = np.frombuffer(raw, np.uint64).reshape(-1, 2)
-            ids, version = id_column(b.column(0)), _versions(b.column(1))
-            key, place = int64(h[:, 0].copy()), int64((h[:, 1] >> np.uint64(40)) << np.uint64(40)) | (version << 32) | np.arange(len(ids))
-            yield from _in_text_order(*_first_settled(key, ids, place))
+            ids, version = _documents(b)
+            key, place = int64(h[:, 0].copy()), int64((h[:, 1] >> np.uint64(32)) << np.uint64(32)) | np.arange(len(ids))
+            yield from _in_text_order(*_first_settled(key, ids, version, place))
 
 
-def _first_settled(key: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+def _first_settled(key: np.ndarray, ids: np.ndarray, version: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
     """Rows in order of (key, more, id); settled: a smaller id of this block has the same key."""
-    more = place >> 40
+    more = place >> 32
     order = np.lexsort((ids, more, key))
-    key, ids, place, more = key[order], ids[order], place[order], more[order]
-    first = np.append(True, (key[1:] != key[:-1]) | (more[1:] != more[:-1]))
-    return order, key, ids, place, ids > ids[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+    key, ids, version, place, more = key[order], ids[order], version[order], place[order], more[order]
+    first = _starts(key, more)
+    return order, key, ids, version, place, ids > ids[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, id): those whose key has several ids, and settled ones. Rows of the open key wait
-    only while all are of one document."""
+    """Of rows sorted by (key, id, version): those whose key has several documents, and settled ones. Rows of the open
+    key wait only while all are of one document, each place once, so they are no more than it has words."""
     none = np.empty(0, np.int64)
-    wait, shared = (none, none, none), None
+    wait, shared = (none,) * 4, None
 
-    def out(ids: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(ids), pa.array(place)], names=["id", "place"])
+    def out(rows: list[np.ndarray], at: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(x[at]) for x in rows[1:]], names=["id", "version", "place"])
 
     for batch in batches:
-        key, ids, place, settled = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        *rows, settled = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         if settled.any():
-            yield out(ids[settled], place[settled])
-            key, ids, place = key[~settled], ids[~settled], place[~settled]
-        if len(key) == 0:
+            yield out(rows, settled)
+            rows = [x[~settled] for x in rows]
+        if len(rows[0]) == 0:
             continue
-        key, ids, place = (np.concatenate(x) for x in zip(wait, (key, ids, place)))
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        end = np.append(first[1:], len(key))
-        many = (ids[first] != ids[end - 1]) | (key[first] == shared if shared is not None else False)
-        keep = np.repeat(many, end - first)
+        rows = [np.concatenate(x) for x in zip(wait, rows)]
+        key, ids, version, place = rows
+        first = np.flatnonzero(_starts(key))
+        last = np.append(first[1:], len(key)) - 1
+        many = (ids[first] != ids[last]) | (version[first] != version[last])
+        if shared is not None:
+            many |= key[first] == shared
+        keep = np.repeat(many, last - first + 1)
         if keep.any():
-            yield out(ids[keep], place[keep])
+            yield out(rows, keep)
         z = first[-1]
-        wait, shared = ((none, none, none), key[z]) if many[-1] else ((key[z:], ids[z:], place[z:]), None)
+        if many[-1]:
+            wait, shared = (none,) * 4, key[z]
+        else:
+            once = z + np.unique(place[z:], return_index=True)[1]
+            wait, shared = tuple(x[once] for x in rows), None
 
 
 def _candidates(window: int, anchor: int):
@@ -165,7 +182,7 @@ def _candidates(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch, 1):
-                seeds = b.column(2)
+                seeds = b.column(3)
                 if seeds.null_count == len(seeds):
                     continue
                 x = _Windows(b.column(1), window, anchor)
@@ -174,10 +191,10 @@ def _candidates(window: int, anchor: int):
                 doc = np.repeat(np.arange(len(lists)), many)
                 place = lists.flatten().to_numpy(zero_copy_only=False)
                 copy = np.zeros(len(lists), bool)
-                copy[doc[place == -1 - x.version[doc]]] = True
-                own = ((place >> 32) == x.version[doc]) & ~copy[doc]
+                copy[doc[place == _COPY]] = True
+                own = ~copy[doc]
                 chosen = np.zeros(len(x.words.hash) + 1, bool)
-                chosen[x.words.first[doc[own]] + (place[own] & np.int64(0xFFFFFFFF))] = True
+                chosen[x.words.first[doc[own]] + place[own]] = True
                 at = x.at[chosen[x.selected]]
                 if len(at) == 0:
                     continue
@@ -187,9 +204,9 @@ def _candidates(window: int, anchor: int):
                     for i in range(window):
                         total += x.words.hash[at + i] * c[i]
                     h.append(mix(total))
-                ids = id_column(b.column(0))[x.words.doc[at]]
-                key, place = int64(h[0]), int64((h[1] >> np.uint64(40)) << np.uint64(40)) | x.place(at)
-                yield from _in_text_order(*_first_settled(key, ids, place))
+                ids, version = (c[x.words.doc[at]] for c in _documents(b))
+                key, place = int64(h[0]), int64((h[1] >> np.uint64(32)) << np.uint64(32)) | x.place(at)
+                yield from _in_text_order(*_first_settled(key, ids, version, place))
 
     return run
 
@@ -198,39 +215,37 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (key, more, id): those that are not of the first id of their key, and settled ones."""
     last = None
     for batch in batches:
-        key, ids, place, settled = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        key, ids, version, place, settled = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         gone = settled.copy()
         at = np.flatnonzero(~settled)
         if len(at):
-            k, i, more = key[at], ids[at], place[at] >> 40
-            first = np.append(True, (k[1:] != k[:-1]) | (more[1:] != more[:-1]))
+            k, i, more = key[at], ids[at], place[at] >> 32
+            first = _starts(k, more)
             least = i[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
             if last is not None and last[:2] == (k[0], more[0]):
                 n = int(np.flatnonzero(np.append(first[1:], True))[0]) + 1
                 least[:n] = last[2]
             gone[at] = i > least
             last = (k[-1], more[-1], least[-1])
-        yield pa.record_batch([pa.array(ids[gone]), pa.array(place[gone] & _PLACE)], names=["id", "place"])
+        yield pa.record_batch([pa.array(ids[gone]), pa.array(version[gone]), pa.array(place[gone] & _PLACE)], names=["id", "version", "place"])
 
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch, 1):
-                version = _versions(b.column(1))
                 rows = {"text": [], "n_words": [], "n_removed": [], "removed": []}
-                texts, starts = b.column(1).to_pylist(), b.column(2).to_pylist()
-                for t, s, v in zip(texts, starts, version):
+                texts, starts = b.column(1).to_pylist(), b.column(3).to_pylist()
+                for t, s in zip(texts, starts):
                     words = t.encode().split()
                     spans = []
-                    if s and -1 - v in s:
+                    if s and _COPY in s:
                         spans = [(0, len(words))] if len(words) >= window else []
                     elif s:
-                        at = np.unique(np.array([p & 0xFFFFFFFF for p in s if p >= 0 and p >> 32 == v], np.int64))
-                        if len(at):
-                            cut = np.flatnonzero(np.diff(at) > window)
-                            lo, hi = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + window
-                            spans = list(zip(lo.tolist(), hi.tolist()))
+                        at = np.sort(np.array(s, np.int64))
+                        cut = np.flatnonzero(np.diff(at) > window)
+                        lo, hi = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + window
+                        spans = list(zip(lo.tolist(), hi.tolist()))
                     gone = sum(h - l for l, h in spans)
                     left, done = [], 0
                     for l, h in spans:
@@ -246,22 +261,36 @@ def _cut(window: int):
     return run
 
 
+def with_version(docs: DataFrame) -> DataFrame:
+    """Adds the ``version`` of each text to rows of ``id`` and ``text``."""
+    texts = docs.select("id", F.xxhash64("text").alias("text")).distinct()
+    several = written(texts.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("several")), "several-texts")
+    version = F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return docs.join(broadcast_if_small(several), "id", "left").select("id", "text", version.alias("version"))
+
+
 def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``text`` (kept words joined by one space), ``n_words``, ``n_removed``
     and ``removed`` (maximal ranges of removed words).
 
-    A missing text has no words. A missing id counts as the smallest. Rows repeated with one id are the same
-    document, so they do not remove each other's words. Texts shorter than a window lose nothing. An empty table
+    A missing text has no words. A missing id counts as the smallest. Rows with one id do not remove each other's
+    words, whether their texts are equal or differ. Texts shorter than a window lose nothing. An empty table
     gives an empty result; other columns are left out."""
-    src = docs.select(key_id(doc_id).alias("id"), whole(text).alias("text"))
-    anchors = src.mapInArrow(_anchors(window, anchor), _ROWS)
-    seeds = anchors.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "id long, place long")
-    copies = src.mapInArrow(_texts, _ROWS).repartition("key").sortWithinPartitions("key", F.shiftright("place", 40), "id").mapInArrow(_repeated, "id long, place long")
-    copies = written(copies.select("id", (-1 - F.shiftright("place", 32)).alias("place")).distinct(), "copies")
-    seeds = seeds.unionByName(copies).groupBy("id").agg(F.collect_list("place").alias("places"))
-    found = src.join(seeds, "id", "left").select("id", "text", "places").mapInArrow(_candidates(window, anchor), _ROWS)
-    found = found.repartition("key").sortWithinPartitions("key", F.shiftright("place", 40), "id").mapInArrow(_repeated, "id long, place long")
-    found = found.unionByName(copies).groupBy("id").agg(F.collect_list("place").alias("places"))
-    out = src.join(found, "id", "left").select("id", "text", "places")
-    out = out.mapInArrow(_cut(window), "id long, text string, n_words long, n_removed long, removed array<struct<start:long,end:long>>")
+    src = with_version(docs.select(key_id(doc_id).alias("id"), whole(text).alias("text")))
+    columns = ["id", "text", "version"]
+    own = ["id", "version"]
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """The texts with the places of their own, each once."""
+        return src.join(rows.groupBy(*own).agg(F.collect_set("place").alias("places")), own, "left").select(*columns, "places")
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key", F.shiftright("place", 32), "id").mapInArrow(_repeated, _PLACES)
+
+    anchors = src.select(*columns).mapInArrow(_anchors(window, anchor), _ROWS)
+    seeds = anchors.repartition("key").sortWithinPartitions("key", *own).mapInArrow(_shared, _PLACES)
+    copies = repeated(src.select(*columns).mapInArrow(_texts, _ROWS)).select(*own).distinct()
+    copies = written(copies.withColumn("place", F.lit(_COPY).cast("long")), "copies")
+    found = repeated(placed(seeds.unionByName(copies)).mapInArrow(_candidates(window, anchor), _ROWS))
+    out = placed(found.unionByName(copies)).mapInArrow(_cut(window), "id long, text string, n_words long, n_removed long, removed array<struct<start:long,end:long>>")
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "text", "n_words", "n_removed", "removed")

@@ -172,6 +172,31 @@ def test_substring_dedup(spark, edge, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_substring_dedup_of_many_texts_under_one_id(spark):
+    r = random.Random(21)
+    alone = lambda: " ".join(f"w{r.randrange(10**9)}" for _ in range(20))
+    shared = [alone() for _ in range(3)]
+    rows = [(1, shared[0], "a"), (2, f"{alone()} {shared[1]}", "a")]
+    for i in (7, None):
+        rows += [(i, alone() if k % 10 else f"{alone()} {shared[k % 3]} {alone()}", "a") for k in range(2000)]
+        rows += [(i, shared[2], "b")] * 300
+    out = substring_dedup.substring_dedup(table(spark, rows).repartition(6)).collect()
+    assert Counter((x.doc_id, x.n_words, x.n_removed, x.text) for x in out) == brute_substrings(rows)
+
+
+def test_seeds_of_one_document_wait_once_per_place():
+    def rows(key, ids, version, place):
+        n = len(ids)
+        cols = [np.full(n, key, np.int64), *(np.array(x, np.int64) for x in (ids, version, place)), np.zeros(n, bool)]
+        return substring_dedup._batch(*cols)
+
+    got = lambda batches: sorted(x for b in substring_dedup._shared(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns)))
+    same = [rows(1, [5] * 50, [0] * 50, [3, 4] * 25)] * 40
+    assert got(same) == []
+    assert got([*same, rows(1, [5], [9], [8])]) == [(5, 0, 3), (5, 0, 4), (5, 9, 8)]
+    assert got([*same, rows(2, [6], [0], [1])]) == []
+
+
 # Jaccard join
 
 
