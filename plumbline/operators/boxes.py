@@ -108,17 +108,26 @@ def image_profile(df: DataFrame, image: str, label: str, order: str, fields: lis
     return df.groupBy(image).agg(F.array_sort(F.collect_set(label)).alias("labels"), F.count("*").alias("n_boxes"), boxes.alias("boxes"), *[v.alias(k) for k, v in extra.items()])
 
 
-def grid_join(left: DataFrame, right: DataFrame, keys: list[str], lbox: str, rbox: str, cell: int = 128) -> DataFrame:
-    """Pairs of two tables on equal keys whose boxes overlap strictly, each pair once.
+#: Columns of a box's cell.
+CELL = ("_gx", "_gy")
+
+
+def in_cells(df: DataFrame, box: str, cell: int = 128, keep: bool = False) -> DataFrame:
+    """Each row once for every cell that its box touches; ``keep``: rows without a box once, in no cell."""
+    explode = F.explode_outer if keep else F.explode
 
-    Both sides meet on (keys, cell); a pair is kept in the cell of its intersection's corner."""
     def cells(lo, hi):
         return F.sequence(F.floor(lo / cell).cast("int"), F.greatest(F.floor(lo / cell), F.ceil(hi / cell) - 1).cast("int"))
 
-    def spread(df, b):
-        return (df.withColumn("_gx", F.explode(cells(F.col(f"{b}.x0"), F.col(f"{b}.x1")))).withColumn("_gy", F.explode(cells(F.col(f"{b}.y0"), F.col(f"{b}.y1")))))
+    b = F.col(box)
+    return df.withColumn("_gx", explode(cells(b["x0"], b["x1"]))).withColumn("_gy", explode(cells(b["y0"], b["y1"])))
 
+
+def grid_join(left: DataFrame, right: DataFrame, keys: list[str], lbox: str, rbox: str, cell: int = 128) -> DataFrame:
+    """Pairs of two tables on equal keys whose boxes overlap strictly, each pair once.
+
+    Both sides meet on (keys, cell); a pair is kept in the cell of its intersection's corner."""
     a, b = F.col(lbox), F.col(rbox)
-    return (spread(left, lbox).join(spread(right, rbox), [*keys, "_gx", "_gy"])
+    return (in_cells(left, lbox, cell).join(in_cells(right, rbox, cell), [*keys, *CELL])
             .filter(G.overlap(a, b) & (F.col("_gx") == F.floor(F.greatest(a["x0"], b["x0"]) / cell)) & (F.col("_gy") == F.floor(F.greatest(a["y0"], b["y0"]) / cell)))
-            .drop("_gx", "_gy"))
+            .drop(*CELL))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from plumbline.functions import geometry as G
 from plumbline.functions import text as T
 from plumbline.functions.hashing import seeded_pick
-from plumbline.operators.boxes import grid_join
+from plumbline.operators.boxes import CELL, grid_join, in_cells
 from plumbline.operators.ranks import hash_rank
-from plumbline.session import cut_lineage
+from plumbline.session import broadcast_if_small, cut_lineage
 
 # Thresholds and class names of the rules.
 ASSIGN_IOU, SIBLING_IOU, REFERENCE_IOU = 0.5, 0.3, 0.3
@@ -30,12 +30,21 @@ def last_wins(df: DataFrame, key: list[str], order: str) -> DataFrame:
 
 def assign_boxes(preds: DataFrame, instances: DataFrame, image: str, key: list[str], pred: str, iid: str, box: str, threshold: float = ASSIGN_IOU) -> DataFrame:
     """(key, iid, iou): the instance with the highest IoU to each predicted box, the first on
-    ties; iid is null below the threshold, the IoU is still given."""
+    ties; iid is null below the threshold, the IoU is still given (0 where nothing overlaps).
+
+    Predictions meet only instances of the cells they touch, clipped to where their image has instances, so a
+    crowded image or an endless box is never expanded to all pairs."""
     left = preds.select(*dict.fromkeys([image, *key]), F.col(pred).alias("_p"))
-    j = left.join(instances.select(image, F.col(iid).alias("_i"), F.col(box).alias("_b")), image, "left")
-    v = F.coalesce(G.iou(F.col("_p"), F.col("_b")), F.lit(0.0))
-    best = j.groupBy(*key).agg(F.max_by(F.struct(F.col("_i").alias("i"), v.alias("v")), F.struct(v.alias("v"), (-F.col("_i")).alias("o"))).alias("_m"))
-    score = F.coalesce(F.col("_m.v"), F.lit(0.0))
+    right = instances.select(image, F.col(iid).alias("_i"), F.col(box).alias("_b"))
+    b = F.col("_b")
+    taken = right.groupBy(image).agg(F.min(b["x0"]).alias("_x0"), F.min(b["y0"]).alias("_y0"), F.max(b["x1"]).alias("_x1"), F.max(b["y1"]).alias("_y1"))
+    p, v = F.col("_p"), G.iou(F.col("_p"), b)
+    clip = G.box(F.greatest(p["x0"], "_x0"), F.greatest(p["y0"], "_y0"), F.least(p["x1"], "_x1"), F.least(p["y1"], "_y1"))
+    clip = F.when((clip["x0"] < clip["x1"]) & (clip["y0"] < clip["y1"]), clip)
+    near = in_cells(left.join(broadcast_if_small(taken), image, "left").withColumn("_c", clip), "_c", keep=True)
+    met = near.join(in_cells(right, "_b"), [image, *CELL], "left").select(*key, F.col("_i").alias("i"), F.coalesce(v, F.lit(0.0)).alias("v"))
+    best = met.groupBy(*key).agg(F.max_by(F.struct("i", "v"), F.struct("v", (-F.col("i")).alias("o"))).alias("_m"))
+    score = F.col("_m.v")
     return best.select(*key, F.when((score >= threshold) & (score > 0), F.col("_m.i")).alias(iid), score.alias("iou"))
 
 
@@ -268,16 +277,19 @@ def reference_objects(objects: DataFrame, cands: DataFrame, image: str, iid: str
 
 def route_questions(edits: DataFrame, neighbours: DataFrame, image: str, window: Column, region: Column, w, h) -> DataFrame:
     """Adds ``rule`` and ``question``: the window when no neighbour is in it, else the tight crop
-    when none is in that, else no question."""
-    d = edits.withColumn("_w", window).withColumn("_t", G.tight_crop(region, w, h))
-    n = neighbours.select(image, F.col("box").alias("_n"))
+    when none is in that, else no question. Edits meet the neighbours in the cells of both areas."""
+    def pixels(b):
+        return G.box(F.floor(b["x0"]), F.floor(b["y0"]), F.ceil(b["x1"]), F.ceil(b["y1"]))
 
     def hit(b):
-        px = G.box(F.floor(b["x0"]), F.floor(b["y0"]), F.ceil(b["x1"]), F.ceil(b["y1"]))
-        return F.coalesce(G.overlap(px, F.col("_n")), F.lit(False))
+        return F.coalesce(G.overlap(F.col(b), F.col("_n")), F.lit(False))
 
-    cols = [c for c in edits.columns]
-    j = d.join(n, image, "left").groupBy(*cols).agg(F.bool_or(hit(F.col("_w"))).alias("_inw"), F.bool_or(hit(F.col("_t"))).alias("_int"))
+    cols = edits.columns
+    d = edits.withColumn("_w", window).withColumn("_t", G.tight_crop(region, w, h)).withColumn("_w", pixels(F.col("_w"))).withColumn("_t", pixels(F.col("_t")))
+    both = G.box(*[f(F.col(f"_w.{c}"), F.col(f"_t.{c}")) for f, c in ((F.least, "x0"), (F.least, "y0"), (F.greatest, "x1"), (F.greatest, "y1"))])
+    n = neighbours.select(image, F.col("box").alias("_n"))
+    near = in_cells(d.withColumn("_both", both), "_both", cell=256, keep=True)
+    j = near.join(in_cells(n, "_n", cell=256), [image, *CELL], "left").groupBy(*cols).agg(F.bool_or(hit("_w")).alias("_inw"), F.bool_or(hit("_t")).alias("_int"))
     rule = F.when(~F.col("_inw"), "window").when(F.col("_int"), "neighbour_in_both").otherwise("tight_crop")
     q = F.when(rule == "window", "headnoun_window").when(rule == "tight_crop", "headnoun_tight_crop")
     return j.withColumn("rule", rule).withColumn("question", q).drop("_inw", "_int")

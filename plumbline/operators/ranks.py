@@ -22,8 +22,9 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys) if keys else left.join(F.broadcast(right))
 
 
-def hash_rank(df: DataFrame, seed, keys: list[str], groups: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """1-based rank of every row in the seeded hash order of ``keys``, over all rows or per group.
+def hash_rank(df: DataFrame, seed, keys: list[str], groups: list[str] | None = None, name: str = "rank", upto: int | None = None) -> DataFrame:
+    """1-based rank of every row in the seeded hash order of ``keys``, over all rows or per group;
+    ``upto``: only the rows up to that rank, those of later buckets leave before the shuffle.
 
     The first hex digits of the hash are both uniform and order-preserving, so they serve as
     range buckets and no bucket depends on the data's skew."""
@@ -32,16 +33,19 @@ def hash_rank(df: DataFrame, seed, keys: list[str], groups: list[str] | None = N
     counts = marked.groupBy(*groups, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*groups, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    if upto is not None:
+        offsets = offsets.filter(F.col("_off") < upto)
     if not groups:
         offsets = F.broadcast(offsets)  # at most 16**PREFIX rows
     fine = Window.partitionBy(*groups, "_b").orderBy("_hx", *keys)
-    return (marked.join(offsets, [*groups, "_b"])
-            .withColumn(name, F.col("_off") + F.row_number().over(fine)).drop("_hx", "_b", "_off"))
+    ranked = (marked.join(offsets, [*groups, "_b"])
+              .withColumn(name, F.col("_off") + F.row_number().over(fine)).drop("_hx", "_b", "_off"))
+    return ranked if upto is None else ranked.filter(F.col(name) <= upto)
 
 
 def first_by_hash(df: DataFrame, n: int, seed, keys: list[str]) -> DataFrame:
-    """The first n rows in seeded hash order (a distributed top-n)."""
-    return df.orderBy(seeded_hex(seed, *[F.col(k) for k in keys]), *keys).limit(n)
+    """The first n rows in seeded hash order, by their rank: no task gathers all n."""
+    return hash_rank(df, seed, keys, name="_first", upto=n).drop("_first")
 
 
 def running_totals(df: DataFrame, groups: list[str], order: str, sums: list[str], buckets: int = BUCKETS) -> DataFrame:

@@ -12,6 +12,7 @@ from plumbline.functions import geometry as G
 from plumbline.operators import boxes as B
 from plumbline.operators import components as C
 from plumbline.operators import greedy as GR
+from plumbline.operators import joins as J
 from plumbline.operators import masks as M
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
@@ -42,6 +43,58 @@ def test_grid_join_equals_all_pairs(boxes):
     assert got == want
 
 
+def plain_iou(a, b):
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    inter = max(w, 0) * max(h, 0)
+    return inter / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter)
+
+
+def test_boxes_of_a_crowded_image_are_assigned(spark):
+    r = random.Random(4)
+
+    def some():
+        x, y = r.randrange(-40, 960), r.randrange(-40, 760)
+        return (float(x), float(y), float(x + r.randrange(1, 200)), float(y + r.randrange(1, 200)))
+
+    inst = [("a", i, some()) for i in range(300)] + [("a", 300 + i, (0.0, 0.0, 64.0, 64.0)) for i in range(2)]
+    preds = [("a", i, some()) for i in range(200)] + [("a", 900, (0.0, 0.0, 64.0, 64.0)), ("a", 901, (-1e12, -1e12, 1e12, 1e12)), ("a", 902, (5e8, 5e8, 6e8, 6e8)), ("a", 903, None), ("no instances", 1, some())]
+    kind = "x0 double, y0 double, x1 double, y1 double"
+    p, i = (spark.createDataFrame(rows, f"image_id string, {k} long, box struct<{kind}>") for rows, k in ((preds, "pid"), (inst, "iid")))
+    got = {(x.image_id, x.pid): (x.iid, x.iou) for x in J.assign_boxes(p, i, "image_id", ["image_id", "pid"], "box", "iid", "box").collect()}
+    want = {}
+    for image, pid, b in preds:
+        best = max(((plain_iou(b, o), -k) for m, k, o in inst if b and m == image), default=(0.0, 0))
+        want[(image, pid)] = (-best[1] if best[0] >= 0.5 else None, pytest.approx(best[0]))
+    assert got == want
+    assert got[("a", 900)] == (300, 1.0)
+
+
+def test_questions_are_routed_by_all_neighbours(spark):
+    r = random.Random(6)
+    kind = "struct<x0: double, y0: double, x1: double, y1: double>"
+
+    def some(side):
+        x, y = r.randrange(0, 940), r.randrange(0, 740)
+        return (float(x), float(y), float(x + r.randrange(1, side)), float(y + r.randrange(1, side)))
+
+    edits = [(i, some(60)) for i in range(60)]
+    near = [(i, some(120)) for i in range(55) for _ in range(i % 5)]
+    e, n = (spark.createDataFrame(rows, f"image_id long, box {kind}") for rows in (edits, near))
+    b = F.col("box")
+    window = G.box(b["x0"] - 150, b["y0"] - 150, b["x1"] + 150, b["y1"] + 150)
+    got = {x.image_id: x.rule for x in J.route_questions(e, n, "image_id", window, b, 1000, 800).collect()}
+    crops = {x.image_id: x.t for x in e.select("image_id", G.tight_crop(b, F.lit(1000), F.lit(800)).alias("t")).collect()}
+    hit = lambda a, c: a[0] < c[2] and c[0] < a[2] and a[1] < c[3] and c[1] < a[3]
+    for i, box in edits:
+        others = [o for k, o in near if k == i]
+        wide = (box[0] - 150, box[1] - 150, box[2] + 150, box[3] + 150)
+        t = crops[i]
+        tight = (np.floor(t.x0), np.floor(t.y0), np.ceil(t.x1), np.ceil(t.y1))
+        want = "window" if not any(hit(wide, o) for o in others) else "neighbour_in_both" if any(hit(tight, o) for o in others) else "tight_crop"
+        assert got[i] == want
+    assert set(got.values()) == {"window", "neighbour_in_both", "tight_crop"}
+
+
 def test_iou_is_symmetric_and_bounded(boxes):
     _, df = boxes
     p = B.overlapping_pairs(df, "image_id", "iid", "box", 1000, 800).select(G.iou(F.col("a_box"), F.col("b_box")).alias("u"), G.iou(F.col("b_box"), F.col("a_box")).alias("v"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions.hashing import seeded_hex
 from plumbline.operators import ranks as R
 from plumbline.operators import resampling as RS
 from plumbline.operators import stats as S
@@ -183,3 +184,12 @@ def test_forward_fill_crosses_chunks(spark):
     df = spark.createDataFrame([(1, i, f"h{i}" if i in (3, 27) else None) for i in range(40)], "k int, i int, v string")
     got = {r.i: r.f for r in R.forward_fill(df, ["k"], "i", "v", "f", chunk=7).collect()}
     assert [got[i] for i in (2, 3, 26, 27, 39)] == [None, "h3", "h3", "h27", "h27"]
+
+
+def test_first_rows_in_seeded_order(spark):
+    rows = [(k,) for k in range(9000)] + [(None,)]
+    df = spark.createDataFrame(rows, "k long").repartition(7)
+    order = [x.k for x in df.orderBy(seeded_hex("s", F.col("k")), "k").collect()]
+    for n in (0, 1, 700, 9001, 20000):
+        assert {x.k for x in R.first_by_hash(df, n, "s", ["k"]).collect()} == set(order[:n])
+        assert R.first_by_hash(df, n, "s", ["k"]).count() == min(n, 9001)
