@@ -97,6 +97,15 @@ def _ssn_valid(d: str) -> str:
     return f"(substr({d}, 1, 3) not in ('000', '666') and substr({d}, 1, 1) <> '9' and substr({d}, 4, 2) <> '00' and substr({d}, 6) <> '0000')"
 
 
+def _phone_valid(x: str, d: str) -> str:
+    """International numbers with + (8 to 15 digits, no country code begins with 0), national ones that begin with 0
+    (9 to 11 digits) or with an area code in brackets, and three, three and four digits of which the first two groups
+    begin with 2 to 9. Other groups of digits are no telephone numbers."""
+    international = f"({x} rlike '^[+][1-9]' and length({d}) between 8 and 15)"
+    national = f"({x} rlike '^([(]0|0)[1-9]' and length({d}) between 9 and 11)"
+    return f"({international} or {national} or {x} rlike '^[(][0-9]{{2,4}}[)]' or {x} rlike '^[2-9][0-9][0-9][ .-][2-9][0-9][0-9][ .-][0-9]{{4}}$')"
+
+
 def _in_format(x: str, digits: str) -> str:
     """The digits of x replaced in order by other digits, everything else kept."""
     return f"array_join(transform(sequence(1, length({x})), p -> if(substr({x}, p, 1) between '0' and '9', substr({digits}, length({_digits(f'substr({x}, 1, p)')}), 1), substr({x}, p, 1))), '')"
@@ -149,7 +158,7 @@ def pseudonym(x: str, key: str = KEY) -> str:
         when {x} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then {ssn}
         when length({d}) between 13 and 19 and {x} rlike '^[0-9]' and {luhn_sum(d)} % 10 = 0 then {_in_format(x, card)}
         when length({d}) between 13 and 19 and {x} rlike '^[0-9]' then {x}
-        when length({d}) between 7 and 15 then {plain}
+        when length({d}) between 7 and 15 and {_phone_valid(x, d)} then {plain}
         else {x} end"""
 
 

@@ -654,3 +654,17 @@ def test_edited_copies_of_items_are_found(spark, edge, empty):
     assert decontamination.leaks(empty, benchmark).count() == 0
     assert decontamination.leaks(df, benchmark.limit(0)).count() == 0
     assert decontamination.decontaminate(df, benchmark.limit(0)).count() == df.count()
+
+
+def test_only_telephone_numbers_are_replaced(spark):
+    numbers = ["+1 (415) 555-2671", "+4915112345678", "+44 20 7946 0958", "020 7946 0958", "(030) 123-4567", "212-555-0187", "212.555.0187"]
+    others = ["12 345 678", "2020 1234 5678", "page 10 200 300", "100-200-3000", "512-100-3000", "1999-2000-2001", "00 123 4567"]
+    rows = [(i, f"call {x} now, or {x}", "a") for i, x in enumerate(numbers + others)]
+    out = {x.doc_id: x for x in privacy.pseudonymised(table(spark, rows)).collect()}
+    for i, text, _ in rows:
+        if i < len(numbers):
+            one, two = re.fullmatch("call (.*) now, or (.*)", out[i].text).groups()
+            assert one == two != numbers[i] and out[i].n_found == 2
+            assert re.sub("[0-9]", "9", one) == re.sub("[0-9]", "9", numbers[i])
+        else:
+            assert (out[i].text, out[i].n_found) == (text, 0)
