@@ -316,6 +316,44 @@ def test_named_files(spark, folder):
     assert {n: open(f"{folder.path}/out/{n}").read() for n in os.listdir(folder.path + "/out") if not n.startswith(".")} == {"a b.txt": "first\nsecond\n", "c%.txt": "x\ny\n"}
 
 
+def test_small_named_files_are_written_by_several_tasks(spark, folder, monkeypatch):
+    from multiprocessing.pool import ThreadPool
+
+    sources = []
+
+    class Seen(ThreadPool):
+        def imap_unordered(self, func, iterable, chunksize=1):
+            sources.extend(source.getName() for source, _ in iterable)
+            return super().imap_unordered(func, iterable, chunksize)
+
+    monkeypatch.setattr(K, "ThreadPool", Seen)
+    df = spark.createDataFrame([(f"n{i}", f"v{i}") for i in range(40)], "name string, value string")
+    K.write_named(df, folder.path + "/many", "name", ".txt")
+    assert len(sources) == 40 and len({s[:10] for s in sources}) > 1
+    assert spark.read.text(folder.path + "/many").count() == 40
+
+
+def test_large_files_are_digested_as_streams(spark, folder):
+    import gzip
+    import os
+    from hashlib import sha256
+
+    long = b"".join(b"line %d \xff\r\n" % i for i in range(30000))
+    texts = {"a.txt": long, "b [1]{x}.txt": long[:-1], "c.txt": b"\xef\xbb\xbf" + long, "d.txt": b"\xef\xbb\xbfno end" * 9, "e.txt": b"\n" * 300, "f.txt": b"\x00" * 500, "g.gz": gzip.compress(os.urandom(400)), "h.txt": b"small"}
+    for name, text in texts.items():
+        folder("y/" + name, text)
+    read = lambda: R.files(spark, folder.path + "/y")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = R.file_facts(read(), whole=100).collect()
+        known = cut_lineage(R.file_facts(read(), whole=100)).withColumn("sha256", F.lit("old"))
+        assert {r.sha256 for r in R.file_facts(read(), known, whole=100).collect()} == {"old"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {os.path.basename(r.path): (r.n_bytes, r.sha256) for r in rows} == {n: (len(t), sha256(t).hexdigest()) for n, t in texts.items()}
+
+
 def test_published_formats(spark, folder):
     import json
 
