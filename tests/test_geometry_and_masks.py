@@ -305,3 +305,29 @@ def test_background_shifts_against_bitmaps(spark):
         assert got.get(image) == want
         late += want is None or want[0] > 6
     assert late >= 3
+
+
+def test_box_mask_has_a_row_per_pixel_column(spark):
+    df = spark.createDataFrame([(1, 1, -3.5, 2.2, 2.1, 9.0), (1, 2, 5.0, 5.0, 5.0, 9.0)], "image_id long, mask long, x0 double, y0 double, x1 double, y1 double")
+    d = M.column_spans(M.box_spans(df, M.KEYS, F.struct("x0", "y0", "x1", "y1"), 20, 8), M.KEYS)
+    assert sorted(map(tuple, d.collect())) == [(1, 1, 0, 2, 8), (1, 1, 1, 2, 8), (1, 1, 2, 2, 8)]
+
+
+def test_many_masks_are_dilated_in_one_pass():
+    import numpy as np
+
+    half, rng = np.array(M.disc_half_heights(3)), np.random.default_rng(5)
+    masks = []
+    for _ in range(40):
+        x, y = rng.integers(-4, 34, 6), rng.integers(-4, 26, 6)
+        masks.append(np.column_stack([x, x + rng.integers(1, 6, 6), y, y + rng.integers(1, 6, 6)]))
+    of, rects = map(np.concatenate, zip(*M._dilated(np.concatenate(masks), np.full(40, 6), half, 32, 24)))
+    for i, m in enumerate(masks):
+        want, got = np.zeros((24, 32), int), np.zeros((24, 32), int)
+        for x0, x1, y0, y1 in m:
+            for x in range(max(x0 - 3, 0), min(x1 + 3, 32)):
+                t = half[max(x0 - x, x - x1 + 1, 0)]
+                want[max(y0 - t, 0) : max(y1 + t, 0), x] = 1
+        for x0, x1, y0, y1 in rects[of == i]:
+            got[y0:y1, x0:x1] += 1
+        assert (want == got).all()
