@@ -12,6 +12,7 @@ repetition of the work gives the same draws, and SQL can repeat them.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 from collections.abc import Iterator
@@ -31,6 +32,9 @@ FAN_IN = 32
 #: Bytes of states a task keeps before it sends them on.
 STATES = 64 << 20
 
+#: Draws that one row of counts by score carries.
+SPAN = 125
+
 # The odd step between draws and the multiplier of the 32-bit mixer.
 STEP, MULTIPLIER = 2654435769, 73244475
 
@@ -162,6 +166,8 @@ class _Kept:
 
 
 def _rows(rows: list[pa.RecordBatch], extra: dict[str, pa.Array]) -> pa.RecordBatch:
+    if not rows:
+        return pa.record_batch(list(extra.values()), names=list(extra))
     table = pa.Table.from_batches(rows)
     columns = [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in table.columns]
     return pa.record_batch([*columns, *extra.values()], names=[*table.column_names, *extra])
@@ -255,3 +261,96 @@ def means(df: DataFrame, groups: list[str], cluster: str, named: dict[str, Colum
     columns = [x for i in range(len(named)) for x in (f"_s{i}", f"_n{i}")]
     sums = [x for i in range(len(named)) for x in (F.coalesce(F.sum(f"_m{i}"), F.lit(0.0)).alias(f"_s{i}"), F.count(f"_m{i}").alias(f"_n{i}"))]
     return bootstrap(v.groupBy(*groups, cluster).agg(*sums), groups, cluster, columns, Means(list(named)), **kw)
+
+
+def hashed_weights(seed: str, clusters: list[str | None], draws: int) -> np.ndarray:
+    """(clusters, draws) Poisson(1) weights from md5 of seed, draw and cluster, each hashed once."""
+    begin, out = [f"{seed}:{b}" for b in range(1, draws + 1)], np.zeros((len(clusters), draws), np.uint8)
+    first = [f"{x}:".encode() for x in begin], [x.encode() for x in begin]
+    for i, cluster in enumerate(clusters):
+        if cluster is None:
+            digests = [hashlib.md5(x).digest() for x in first[1]]
+        else:
+            end = cluster.encode()
+            digests = [hashlib.md5(x + end).digest() for x in first[0]]
+        u = np.frombuffer(b"".join(digests), ">u4")[::4]
+        for cut in poisson_thresholds():
+            if cut < 2**32:
+                out[i] += u >= cut
+    return out
+
+
+def auroc_draws(per: DataFrame, groups: list[str], cluster: str, seed, n_resamples: int) -> DataFrame:
+    """(groups, draw, auroc) from (groups, cluster, score, pos, neg): every draw weighs the clusters' counts anew. Draws
+    without a positive or a negative row have null.
+
+    A cluster's rows meet in one task, which hashes its draws once and keeps, for every score, the weighted counts of all
+    draws; they are sent on ``SPAN`` draws a row. Scores are then read in order, ranges of them at once: positives of a
+    range win over the negatives below it, half of those tied."""
+    own, g = [f"_g{i}" for i in range(len(groups))], len(groups)
+    src = per.select(*[F.col(c).alias(o) for c, o in zip(groups, own)], F.col("score").alias("_s"), F.col(cluster).cast("string").alias("_c"), F.col("pos").cast("double").alias("_p"), F.col("neg").cast("double").alias("_n"))
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*own, "_s").schema) + ", _d int, _state binary"
+
+    def sent(kept: _Kept) -> Iterator[pa.RecordBatch]:
+        for row, state in kept.states.values():
+            parts = [np.ascontiguousarray(state[:, d : d + SPAN]).tobytes() for d in range(0, n_resamples, SPAN)]
+            yield _rows([row] * len(parts), {"_d": pa.array(range(len(parts)), pa.int32()), "_state": pa.array(parts, pa.binary())})
+        kept.states.clear()
+        kept.bytes = 0
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = _Kept(np.add)
+        for batch in batches:
+            codes = _group_codes(batch.columns[: g + 1], batch.num_rows)
+            order = np.argsort(codes, kind="stable")
+            batch, codes = batch.take(pa.array(order)), codes[order]
+            names = batch.column(g + 1).dictionary_encode(null_encoding="encode")
+            w, of = hashed_weights(str(seed), names.dictionary.to_pylist(), n_resamples), names.indices.to_numpy(zero_copy_only=False)
+            counts = np.stack([batch.column(g + 2 + i).to_numpy(zero_copy_only=False) for i in (0, 1)])
+            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+            for a, b in zip(cuts, cuts[1:]):
+                for lo in range(a, b, BLOCK):
+                    hi = min(lo + BLOCK, b)
+                    kept.put(batch.slice(a, 1).select(range(g + 1)), counts[:, lo:hi] @ w[of[lo:hi]].astype(np.float64))
+                if kept.bytes > STATES:
+                    yield from sent(kept)
+        yield from sent(kept)
+
+    def folded(columns: list[int], merge, begin):
+        """One row per value of these columns, of rows sorted by them and the score."""
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, row, state = None, None, None
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    this = batch.slice(i, 1)
+                    key, new = _key(this.select(columns)), begin(np.frombuffer(this.column(g + 2)[0].as_py()))
+                    if row is not None and key == last:
+                        state = merge(state, new)
+                    else:
+                        if row is not None:
+                            yield told(row, state)
+                        last, row, state = key, this, new
+            if row is not None:
+                yield told(row, state)
+
+        def told(row: pa.RecordBatch, state: np.ndarray) -> pa.RecordBatch:
+            if len(state) == 2:  # all counts of a score: ties are half won
+                state = np.vstack([state, state[0] * state[1] / 2])
+            return _rows([row.select(range(g + 2))], {"_state": pa.array([state.tobytes()], pa.binary())})
+
+        return work
+
+    def above(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.vstack([a[0] + b[0], a[1] + b[1], a[2] + b[2] + b[0] * a[1]])
+
+    def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in folded([*range(g), g + 1], above, lambda x: x.reshape(3, -1))(batches):
+            p, n, u = np.frombuffer(batch.column(g + 2)[0].as_py()).reshape(3, -1)
+            value = np.divide(u, p * n, out=np.full(len(u), np.nan), where=(p > 0) & (n > 0))
+            yield _rows([batch.select(range(g))] * len(u) if g else [], {"draw": pa.array(np.arange(1, len(u) + 1) + batch.column(g + 1)[0].as_py() * SPAN, pa.int32()), "auroc": pa.array(value, mask=np.isnan(value))})
+
+    states = src.repartition("_c").sortWithinPartitions("_c").mapInArrow(taken, kind)
+    scores = states.repartition(*own, "_s", "_d").sortWithinPartitions(*own, "_s", "_d").mapInArrow(folded(list(range(g + 2)), np.add, lambda x: x.reshape(2, -1)), kind)
+    ranges = scores.repartitionByRange(*own, "_d", "_s").sortWithinPartitions(*own, "_d", "_s").mapInArrow(folded([*range(g), g + 1], above, lambda x: x.reshape(3, -1)), kind)
+    out = ranges.repartition(*own, "_d").sortWithinPartitions(*own, "_d", "_s").mapInArrow(ended, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*own).schema), "draw int", "auroc double"]))
+    return out.select(*[F.col(o).alias(c) for c, o in zip(groups, own)], "draw", "auroc")

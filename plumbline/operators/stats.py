@@ -125,12 +125,10 @@ def paired_difference_ci(df: DataFrame, groups: list[str], a: Column, b: Column,
 
 def auroc_ci(df: DataFrame, groups: list[str], label: Column, score: Column, cluster: str, seed="0", n_resamples: int = RESAMPLES, alpha: float = 0.05) -> DataFrame:
     """(groups, n_pos, n_neg, auroc, lo, hi): rows collapse to (cluster, score, pos, neg) first;
-    every draw re-weights those counts and is summed per score before ordering."""
+    every draw re-weights those counts; a cluster's draws are hashed once, in whatever groups and scores it is."""
     per = score_counts(df, [*groups, cluster], label, score)
     point = auroc_of_counts(per.groupBy(*groups, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), groups)
-    weighted = (with_poisson_weight(draws(per, n_resamples), seed, "draw", cluster).groupBy(*groups, "draw", "score")
-                .agg(F.sum(F.col("_w") * F.col("pos")).alias("pos"), F.sum(F.col("_w") * F.col("neg")).alias("neg")))
-    stats = auroc_of_counts(weighted, [*groups, "draw"])
+    stats = resampling.auroc_draws(per, groups, cluster, seed, n_resamples)
     return _join(point, interval(stats, groups, "auroc", alpha), groups).drop("n_draws")
 
 

@@ -193,3 +193,21 @@ def test_first_rows_in_seeded_order(spark):
     for n in (0, 1, 700, 9001, 20000):
         assert {x.k for x in R.first_by_hash(df, n, "s", ["k"]).collect()} == set(order[:n])
         assert R.first_by_hash(df, n, "s", ["k"]).count() == min(n, 9001)
+
+
+def test_auroc_draws_equal_counting_pairs(spark):
+    import hashlib
+
+    rows = [(None if k == 4 else f"c{k}", i % 3, bool((i * 7 + k) % 5 < 2), "g" if i % 2 else None) for k in range(6) for i in range(7)]
+    df = spark.createDataFrame(rows, "k string, score int, y boolean, g string").repartition(3)
+    per = S.score_counts(df, ["g", "k"], F.col("y"), F.col("score"))
+    got = {(r.g, r.draw): r.auroc for r in RS.auroc_draws(per, ["g"], "k", "s", 130).collect()}
+    cuts = RS.poisson_thresholds()
+    for g in ("g", None):
+        for b in range(1, 131):
+            times = {k: sum(int(hashlib.md5(":".join(["s", str(b), *([k] if k else [])]).encode()).hexdigest()[:8], 16) >= c for c in cuts) for k in {r[0] for r in rows}}
+            mine = [(s, y, times[k]) for k, s, y, x in rows if x == g]
+            pairs = [((p > n) + (p == n) / 2, a * c) for p, y, a in mine if y for n, z, c in mine if not z]
+            total = sum(w for _, w in pairs)
+            want = sum(v * w for v, w in pairs) / total if total else None
+            assert got[g, b] == (None if want is None else pytest.approx(want, abs=1e-12)), (g, b)
