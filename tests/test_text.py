@@ -106,3 +106,12 @@ def test_word_flip_rules(spark):
     assert flip("the red cup", ["a blue cup"]) is None
     assert flip("left hand", ["x"]) is None
     assert flip("plain", ["x"]) is None
+
+
+def test_audit_text_is_searched_once(spark):
+    text = "<audit>\n 1. [Color] is $1 red | seen:  it is\\blue | Mismatch\njunk 2. no | seen: x\n\n12. has | a lid | seen: | matches\n3. | seen: a | b |\n unsure\n</audit>"
+    d = spark.createDataFrame([(text,), ("4. plain | seen: v | match",), (None,)], "t string").select(T.audit_lines(F.col("t")).alias("a"))
+    a, b, c = (r.a for r in d.collect())
+    assert [tuple(x) for x in a.lines] == [(1, "color", "is $1 red", "it is\\blue", "mismatch"), (3, None, "", "a | b", "unsure")] and a.format_ok
+    assert [tuple(x) for x in b.lines] == [(4, None, "plain", "v", "match")] and not b.format_ok and c.lines == []
+    assert d._jdf.queryExecution().analyzed().toString().lower().count("regexp_extract_all(") == 1
