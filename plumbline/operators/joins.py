@@ -309,14 +309,17 @@ def seen_from_bank(claims: DataFrame, bank: DataFrame, keys: list[str], claim: s
     """(keys, claim, seen): a confirmed clause of the same instance that shares a content word
     with the refuted claim and names something new; most shared words, first clause on ties.
 
-    Joined on (instance, word), so only clauses that share a word ever meet."""
-    left = claims.select(*keys, claim).distinct().withColumn("_w", F.explode(T.content_words(F.col(claim))))
-    right = bank.select(*keys, clause).distinct().withColumn("_w", F.explode(T.content_words(F.col(clause))))
-    shared = left.join(right, [*keys, "_w"]).filter(F.col(claim) != F.col(clause)).groupBy(*keys, claim, clause).agg(F.count("*").alias("_n"))
-    named = shared.filter(T.named_value(F.col(clause), F.col(claim)))
+    Both lists are dealt out by instance, one shuffle; every later step groups by the instance and more. Claims and
+    clauses meet by (instance, word), so only those that share a word ever meet."""
+    c = F.col
+    told = claims.select(*keys, F.col(claim).alias("_t"), F.lit(True).alias("_claim")).unionByName(bank.select(*keys, F.col(clause).alias("_t"), F.lit(False).alias("_claim")))
+    each = told.dropna(subset=keys).repartition(*keys).distinct().withColumn("_w", F.explode(T.content_words(c("_t"))))
+    lists = each.groupBy(*keys, "_w").agg(*[F.collect_list(F.when(c("_claim") == is_claim, c("_t"))).alias(n) for n, is_claim in (("_cs", True), ("_bs", False))])
+    pairs = lists.filter((F.size("_cs") > 0) & (F.size("_bs") > 0)).select(*keys, F.explode("_cs").alias(claim), "_bs").select(*keys, claim, F.explode("_bs").alias(clause))
+    shared = pairs.filter(c(claim) != c(clause)).groupBy(*keys, claim, clause).agg(F.count("*").alias("_n"))
+    named = shared.filter(T.named_value(c(clause), c(claim)))
     # most shared words; among equals the alphabetically first clause
-    top = named.groupBy(*keys, claim).agg(F.max("_n").alias("_n"))
-    return named.join(top, [*keys, claim, "_n"]).groupBy(*keys, claim).agg(F.min(clause).alias("seen"))
+    return named.groupBy(*keys, claim).agg(F.min(F.struct((-c("_n")).alias("n"), c(clause).alias("t"))).alias("_s")).select(*keys, claim, c("_s.t").alias("seen"))
 
 
 def compare_cells(a: DataFrame, b: DataFrame, keys: list[str], label: str, verdict: str) -> DataFrame:

@@ -427,3 +427,11 @@ def test_a_short_pool_is_an_error(spark):
         with pytest.raises(Exception, match=f"{n} images are asked for"):
             IT.licence_pool(images, boxes, licence, 0.005, 0.02, n).collect()
     assert IT.licence_pool(images, boxes, "none", 0.005, 0.02).count() == 0
+
+
+def test_seen_values_take_one_shuffle(spark):
+    claims = spark.createDataFrame([(1, "a red cap"), (1, "a red cap"), (1, "a blue coat"), (2, "a red cap"), (None, "a red cap")], "i int, claim string")
+    bank = spark.createDataFrame([(1, "a red shirt"), (1, "dark red cap"), (1, "a blue coat"), (2, "a blue coat"), (None, "dark red cap"), (1, None)], "i int, clause string")
+    out = J.seen_from_bank(claims, bank, ["i"], "claim", "clause")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted(map(tuple, out.collect())) == [(1, "a red cap", "dark red cap")]
