@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.hashing import seeded_hex, seeded_pick
+from plumbline.functions.hashing import AT_ONCE, numbered_picks, seeded_hex
 from plumbline.functions.text import let
 from plumbline.operators import resampling
 from plumbline.operators.ranks import _join, hash_rank, running_totals
 from plumbline.operators.resampling import poisson_thresholds
+from plumbline.session import BROADCAST_LIMIT_BYTES, cut_lineage
 
 # Fixed value: number of resamples.
 RESAMPLES = 2000
@@ -77,15 +80,29 @@ def interval(values: DataFrame, groups: list[str], value: str = "stat", alpha: f
 def resample_fixed(per_cluster: DataFrame, cluster: str, seed, n_resamples: int) -> DataFrame:
     """Resamples of exactly as many clusters as there are: (draw, the cluster's columns, times).
 
-    Draw k of resample b takes cluster number ``hash(b:k) % n``; equal picks are counted before
-    they meet the clusters. Costs n x draws hashes and an equi-join; meant for cluster tables
-    that fit that budget, ``resampling.bootstrap`` for anything larger."""
-    numbered = hash_rank(per_cluster, seed, [cluster], name="_no")
-    total = per_cluster.agg(F.count("*").alias("_n"))
-    picks = (draws(numbered.select(F.col("_no").alias("_k")).join(F.broadcast(total)), n_resamples)
-             .withColumn("_no", seeded_pick(seed, F.col("draw"), F.col("_k")) % F.col("_n") + 1)
-             .groupBy("draw", "_no").agg(F.count("*").alias("times")))
-    return picks.join(numbered, "_no").drop("_no")
+    Draw k of resample b takes cluster number ``hash(b:k) % n``; a pick is a row with ``times`` 1, so a cluster taken
+    twice has two. Costs n x draws hashes, made in blocks by tasks; picks meet the clusters by a broadcast while those
+    are few by their count, by one shuffle otherwise, and are never grouped. ``resampling.bootstrap`` is for anything
+    larger."""
+    numbered = cut_lineage(hash_rank(per_cluster, seed, [cluster], name="_no"))
+    n = numbered.count()
+    spark = per_cluster.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, draw = np.divmod(batch.column(0).to_numpy(), n_resamples)
+            for at in np.unique(block).tolist():
+                mine = draw[block == at] + 1
+                found = numbered_picks([f"{seed}:{d}:" for d in mine], np.arange(at * AT_ONCE + 1, min((at + 1) * AT_ONCE, n) + 1))
+                for i, (_, pick) in enumerate(found):
+                    no = (pick % np.uint64(n)).astype(np.int64) + 1
+                    yield pa.record_batch([pa.array(np.full(len(no), mine[i % len(mine)], np.int32)), pa.array(no)], names=["draw", "_no"])
+
+    # a row per block of clusters and draw
+    picks = spark.range(0, -(-n // AT_ONCE) * n_resamples, 1, tasks).mapInArrow(work, "draw int, _no long").withColumn("times", F.lit(1))
+    few = n * (32 + numbered._jdf.schema().defaultSize()) <= BROADCAST_LIMIT_BYTES
+    return picks.join(F.broadcast(numbered) if few else numbered.hint("shuffle_hash"), "_no").drop("_no")
 
 
 def clustered_bootstrap(df: DataFrame, cluster: str, parts: dict[str, Column], statistic: Callable[[DataFrame, list[str]], DataFrame],

@@ -1,5 +1,6 @@
 """Statistics against brute force and properties."""
 
+import hashlib
 import random
 from fractions import Fraction
 from math import comb
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions.hashing import seeded_hex
+from plumbline.functions.hashing import numbered_picks, seeded_hex
 from plumbline.operators import ranks as R
 from plumbline.operators import resampling as RS
 from plumbline.operators import stats as S
@@ -73,6 +74,27 @@ def test_intervals_agree_with_a_multinomial_bootstrap(rows):
     assert fixed.lo == pytest.approx(lo, abs=0.02) and fixed.hi == pytest.approx(hi, abs=0.02)
 
 
+def test_fixed_resamples_take_n_of_n_without_a_shuffle_of_picks(spark, monkeypatch):
+    per = spark.range(97).select(F.concat(F.lit("c"), "id").alias("c"), F.col("id").alias("a"))
+    no = {r.c: r.no for r in R.hash_rank(per, "s", ["c"], name="no").collect()}
+    want = sorted((d, int(hashlib.md5(f"s:{d}:{k}".encode()).hexdigest()[:15], 16) % 97 + 1) for d in range(1, 6) for k in range(1, 98))
+    got = S.resample_fixed(per, "c", "s", 5)
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.draw, no[r.c]) for r in got.collect() for _ in range(r.times)) == want
+    monkeypatch.setattr(S, "BROADCAST_LIMIT_BYTES", 0)
+    got = S.resample_fixed(per, "c", "s", 5)
+    assert sorted((r.draw, no[r.c]) for r in got.collect() for _ in range(r.times)) == want
+
+
+def test_picks_are_md5():
+    numbers = np.r_[1:1200, 10**12 : 10**12 + 5]
+    for prefix in ("boot:1:", "é:1999:", "x" * 60 + ":"):
+        got = np.empty(len(numbers), np.uint64)
+        for at, v in numbered_picks([prefix], numbers):
+            got[at] = v
+        assert got.tolist() == [int(hashlib.md5(f"{prefix}{k}".encode()).hexdigest()[:15], 16) for k in numbers]
+
+
 @pytest.mark.parametrize("b,c", [(0, 0), (1, 0), (5, 5), (3, 17), (40, 75), (400, 512)])
 def test_mcnemar_is_exact(spark, b, c):
     n, k = b + c, min(b, c)
