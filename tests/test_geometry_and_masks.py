@@ -331,3 +331,49 @@ def test_many_masks_are_dilated_in_one_pass():
         for x0, x1, y0, y1 in rects[of == i]:
             got[y0:y1, x0:x1] += 1
         assert (want == got).all()
+
+
+def test_gathered_rectangles_are_one_number_each(spark):
+    rows = [(1, 1, 0, 65535, 0, 65535), (1, 1, 40000, 40001, 7, 9), (1, 2, 3, 4, 5, 6), (1, 2, 3, 4, None, 6)]
+    df = spark.createDataFrame(rows, "image_id int, mask int, x0 long, x1 long, y0 long, y1 long")
+    g = M.gathered(df, M.KEYS)
+    assert dict(g.dtypes)["_r"] == "array<bigint>"
+    back = g.select("mask", F.explode("_r").alias("r")).select("mask", *[M.corner(F.col("r"), c).alias(c) for c in M.RECT])
+    assert sorted(tuple(r) for r in back.collect()) == sorted(r[1:] for r in rows[:3])
+    with pytest.raises(Exception, match="outside"):
+        M.gathered(df.withColumn("y1", F.lit(65536)), M.KEYS).collect()
+
+
+@pytest.mark.parametrize("hole_type", ["mask", "rect"])
+def test_violations_against_bitmaps_in_one_join(spark, hole_type):
+    rnd, w, h, px, ref_px = random.Random(8), 200, 90, 2, 4
+    rows, source = [], {}
+    for image in range(3):
+        for m in range(14):
+            x, y = rnd.randrange(w - 60), rnd.randrange(h - 30)
+            source[image, m] = "referent" if m == 0 else rnd.choice(["labelled_other_class", "class_agnostic", "same_class_other_instance"])
+            rows += [(image, m, x, x + 20, y, y + 12), (image, m, x + 20, x + rnd.randint(25, 60), y + 3, y + rnd.randint(8, 30))]
+    rects = spark.createDataFrame(rows, "image_id int, mask int, x0 long, x1 long, y0 long, y1 long")
+    meta = spark.createDataFrame([(*k, s, 0.004 if k[1] % 5 == 0 else 0.1) for k, s in source.items()], "image_id int, mask int, source string, area_frac double")
+
+    def bitmaps(of):
+        out = defaultdict(lambda: np.zeros((h, w), bool))
+        for r in of.collect():
+            out[r.image_id, r["mask"]][r.y0 : r.y1, r.x0 : r.x1] = True
+        return out
+
+    holes = M.holes(rects, M.KEYS, hole_type, w, h, px)
+    own, hole, wide = bitmaps(rects), bitmaps(holes), bitmaps(M.dilate(rects, M.KEYS, ref_px, w, h))
+    counted = [k for k, s in source.items() if s != "referent" and not (s == "class_agnostic" and k[1] % 5 == 0)]
+    for mine in (rects, None):
+        want = {}
+        for k in source:
+            others = [o for o in counted if o[0] == k[0] and (mine is None or o != k) and (hole[k] & own[o]).any()]
+            touches = bool((hole[k] & wide[k[0], 0]).any())
+            damage = hole[k] if mine is None else hole[k] & ~own[k]
+            if others or touches:
+                want[k] = (touches, round(max([(damage & own[o]).sum() / own[o].sum() for o in others], default=0.0), 9))
+        got = M.violations(holes, mine, rects, meta, M.KEYS, w, h, referent_px=ref_px)
+        assert {(r.image_id, r["mask"]): (r.touches, round(r.worst, 9)) for r in got.collect()} == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("Join" in line and "_band" in line for line in plan.splitlines()) == 1
