@@ -113,13 +113,16 @@ SELECT k.proto AS proto, count(*) AS n, {b("t0 = 'none'")} AS none_original, {b(
 def abstain_report(t):
     from plumbline.functions import geometry as G
 
-    x = G.box(col("x0"), col("y0"), col("x1"), col("y1"))
-    p = t.preds.select("item_id", "proto", "condition", F.struct(col("ptype").alias("t"), F.when(col("ptype") == "box", x).alias("b")).alias("p"))
-    wide = p.groupBy("item_id", "proto").agg(*[F.first(F.when(col("condition") == c, col("p")), ignorenulls=True).alias(c) for c in ("ORIGINAL", "REMOVE", "CONTROL_OBJ")])
+    # plain numbers and flags of the three conditions, so that the rows of an item are one before they are shuffled
+    used, xy = ("ORIGINAL", "REMOVE", "CONTROL_OBJ"), ("x0", "y0", "x1", "y1")
+    own = lambda c, v: F.max(F.when(col("condition") == c, v))
+    wide = t.preds.filter(col("condition").isin(*used)).groupBy("item_id", "proto").agg(
+        *[own(c, col("ptype") == "none").alias(f"{c}_none") for c in used], *[own(c, F.when(col("ptype") == "box", col(v))).alias(f"{c}_{v}") for c in used[::2] for v in xy])
+    box = lambda c: F.when(col(f"{c}_x0").isNotNull(), G.box(*[col(f"{c}_{v}") for v in xy]))
     g = t.sql("SELECT item_id, gx0, gy0, gx1, gy1 FROM items")
-    k = wide.join(g, "item_id").filter(G.iou(col("ORIGINAL.b"), G.box(col("gx0"), col("gy0"), col("gx1"), col("gy1"))) >= 0.5)
-    k = k.withColumn("hold", F.coalesce(G.iou(col("ORIGINAL.b"), col("CONTROL_OBJ.b")), F.lit(-1.0)))
-    rates = k.groupBy("proto").agg(F.count("*").alias("n"), *[RP.share(col(f"{c}.t") == "none").alias(n) for c, n in (("ORIGINAL", "none_original"), ("REMOVE", "none_remove"), ("CONTROL_OBJ", "none_control"))],
+    k = wide.join(g, "item_id").filter(G.iou(box("ORIGINAL"), G.box(col("gx0"), col("gy0"), col("gx1"), col("gy1"))) >= 0.5)
+    k = k.withColumn("hold", F.coalesce(G.iou(box("ORIGINAL"), box("CONTROL_OBJ")), F.lit(-1.0)))
+    rates = k.groupBy("proto").agg(F.count("*").alias("n"), *[RP.share(col(f"{c}_none")).alias(n) for c, n in (("ORIGINAL", "none_original"), ("REMOVE", "none_remove"), ("CONTROL_OBJ", "none_control"))],
                                    RP.share(col("hold") >= 0.7).alias("held_70"), RP.share(col("hold") >= 0.5).alias("held_50"))
     def h(tag):
         return F.conv(F.substring(F.md5(F.concat(F.lit(f"{tag}:"), col("item_id").cast("string"), col("proto"))), 1, 8), 16, 10).cast("bigint")

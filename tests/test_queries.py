@@ -41,3 +41,8 @@ def test_inventory_is_registered():
 
     assert len(all_queries()) >= 229 and set(all_queries()) <= set(E.queries())
     assert set(all_queries()) - set(all_oracles()) == {"audit_row_items", "spatial_pair_items"}
+
+
+def test_abstain_report_combines_before_the_shuffle(spark):
+    plan = E.queries()["abstain_report"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
