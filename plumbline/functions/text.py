@@ -562,7 +562,8 @@ def align_span(expr: Column, clauses: Column, old: Column, new: Column) -> Colum
         inside = F.filter(steps, lambda x: (p - x["l"] >= 0) & (no - s + x["r"] <= no))
         spans = F.transform(inside, lambda x: F.struct(
             span(w["o"], p - x["l"], no - s + x["r"]).alias("old"), span(w["n"], p - x["l"], nn - s + x["r"]).alias("new")))
-        hit = F.try_element_at(F.filter(spans, unique), F.lit(1))
+        # spans after the first hit are not looked at
+        hit = F.aggregate(spans, F.lit(None).cast("struct<old:string,new:string>"), lambda found, x: F.when(found.isNotNull(), found).when(unique(x), x))
         return F.when(usable, hit)
 
     def unique(x):
@@ -574,9 +575,10 @@ def align_span(expr: Column, clauses: Column, old: Column, new: Column) -> Colum
     return let(let(let(split, prefix), suffix), choose)
 
 
-def flip_candidate(expr: Column, clauses: Column, old: Column, new: Column) -> Column:
+def flip_candidate(expr: Column, clauses: Column, old: Column, new: Column, aligned: Column | None = None) -> Column:
     """One OLD -> NEW value as struct<expr_neg, flipped_idx, clause_neg>: short spans only,
-    the head word kept, substituted once in the expression and in one clause; else null."""
+    the head word kept, substituted once in the expression and in one clause; else null.
+    ``aligned`` is the ``align_span`` of the same values where it is at hand already."""
     def build(al):
         p = whole_word(al["old"])
         where = F.filter(F.sequence(F.lit(0), F.greatest(F.size(clauses) - 1, F.lit(0))), lambda i: F.regexp_count(F.get(clauses, i), p) > 0)
@@ -592,7 +594,7 @@ def flip_candidate(expr: Column, clauses: Column, old: Column, new: Column) -> C
             s["short"] & s["neg"].isNotNull() & (F.size(s["where"]) == 1) & cn.isNotNull() & (F.lower(strip(cn)) != F.lower(strip(clause))),
             F.struct(s["neg"].alias("expr_neg"), i.alias("flipped_idx"), cn.alias("clause_neg"))))
 
-    return let(align_span(expr, clauses, old, new), lambda al: F.when(al.isNotNull(), let(build(al), check)))
+    return let(align_span(expr, clauses, old, new) if aligned is None else aligned, lambda al: F.when(al.isNotNull(), let(build(al), check)))
 
 
 def flipped_position(a: Column, b: Column) -> Column:

@@ -295,7 +295,8 @@ SELECT item_id, o AS old_span, n AS new_span, CASE WHEN o IS NOT NULL THEN 'the
   CASE WHEN o IS NOT NULL THEN 1 END AS flipped_idx, CASE WHEN o IS NOT NULL THEN 'is on the ' || y || ' table' END AS clause_neg FROM a"""))
 def align_span(t):
     clauses = F.array("c1", "c2", "c3")
-    x = t.sql(SPANS).select("item_id", T.align_span(col("expr"), clauses, col("old"), col("new")).alias("a"), T.flip_candidate(col("expr"), clauses, col("old"), col("new")).alias("f"))
+    x = t.sql(SPANS).withColumn("a", T.align_span(col("expr"), clauses, col("old"), col("new")))
+    x = x.select("item_id", "a", T.flip_candidate(col("expr"), clauses, col("old"), col("new"), col("a")).alias("f"))
     return x.select("item_id", col("a.old").alias("old_span"), col("a.new").alias("new_span"), "f.expr_neg", "f.flipped_idx", "f.clause_neg")
 
 
