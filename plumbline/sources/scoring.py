@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of the rows a scorer gets at once, about.
+PART_BYTES = 1 << 22
+
+
 def cache_key(*parts: Column) -> Column:
     """sha256 over all parameters of a request, separated by a zero byte."""
     return F.sha2(F.concat_ws("\u0000", *[p.cast("string") for p in parts]), 256)
@@ -17,15 +22,27 @@ def cache_key(*parts: Column) -> Column:
 
 def score(df: DataFrame, make_scorer: Callable[[], Callable[[pd.DataFrame], pd.Series]], answer: str = "answer") -> DataFrame:
     """Any model over the rows of a table: ``make_scorer`` runs once per task, the scorer gets
-    Arrow batches and returns one answer text per row."""
+    parts of Arrow batches as pandas tables, some megabytes each however long the texts are, and returns one answer
+    text per row. The rows themselves pass as Arrow, without a copy."""
     schema = T.StructType([*df.schema.fields, T.StructField(answer, T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = make_scorer()
-        for pdf in batches:
-            yield pdf.assign(**{answer: scorer(pdf)})
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = max(1, batch.num_rows * PART_BYTES // max(batch.nbytes, 1))
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
-    return df.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = make_scorer()
+        for batch in batches:
+            for part in parts(batch):
+                pdf = part.to_pandas()
+                for c in pdf.columns:
+                    if isinstance(pdf[c].dtype, pd.DatetimeTZDtype):  # in the session's time zone, as Spark hands them over
+                        pdf[c] = pdf[c].dt.tz_localize(None)
+                out = pdf.assign(**{answer: scorer(pdf)})[answer]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.Array.from_pandas(out, mask=out.isnull(), type=pa.string())], names=schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def score_missing(requests: DataFrame, cache: DataFrame, key: str, inputs: list[str], make_scorer, answer: str = "answer") -> DataFrame:
