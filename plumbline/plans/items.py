@@ -12,6 +12,7 @@ from plumbline.plans.geometry import gt, sql_iou
 from plumbline.plans.registry import query
 from plumbline.plans.tables import with_tables
 from plumbline.plans.windows import INNER
+from plumbline.session import hash_side
 
 col = F.col
 
@@ -153,7 +154,7 @@ s AS (SELECT *, CASE WHEN live AND x0 IS NOT NULL AND h[['asp:' || item_id]] % 3
 SELECT item_id, condition, proto, iou_gt, point_in_gt, CASE WHEN iou_gt IS NOT NULL THEN iou_gt < 0.5 WHEN point_in_gt IS NOT NULL THEN NOT point_in_gt WHEN live THEN true END AS is_failure FROM s"""))
 def output_row_scoring(t):
     i = t.sql("SELECT item_id, no_target, gx0, gy0, gx1, gy1, h[['asp:' || item_id]] % 3 = 0 AS as_point FROM items")
-    d = t.preds.join(i, "item_id")
+    d = t.preds.join(hash_side(i), "item_id")
     box = F.when((col("ptype") == "box") & ~col("as_point"), G.box(col("x0"), col("y0"), col("x1"), col("y1")))
     pt = (col("ptype") == "box") & col("as_point")
     g = F.when(~col("no_target"), G.box(col("gx0"), col("gy0"), col("gx1"), col("gy1")))
