@@ -13,6 +13,7 @@ from plumbline.operators import windows as W
 from plumbline.plans.registry import query
 from plumbline.plans.geometry import gt, sql_iou
 from plumbline.plans.tables import with_tables
+from plumbline.session import dealt
 
 col = F.col
 
@@ -120,9 +121,10 @@ SELECT image_id, iid, row_number() OVER (PARTITION BY image_id ORDER BY iid) AS
 def ordered_and_capped_rows(t):
     first = col("iid") == 2
     d = TR.cap_rows(t.cand.select("image_id", "iid", gt().alias("box")), "image_id", first, G.area(col("box")), "iid")
+    d = dealt(d.drop("box"), "image_id")
     for order in ("iid", "commit", "random", "coin"):
         d = TR.order_rows(d, "image_id", first, "iid", order, "o").withColumnRenamed("pos", f"{order}_pos")
-    return d.drop("box")
+    return d
 
 
 @query("group_relative_score", with_tables("", """
