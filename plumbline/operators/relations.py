@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
+from plumbline.functions.text import let_all
 from plumbline.operators import resampling
 from plumbline.sources.schemas import OUTPUT_TYPES
 
@@ -44,44 +45,61 @@ def pivot_conditions(preds: DataFrame, keys: list[str], condition: str = "condit
 
 def moved_from(pred: Column, reference: Column, threshold: float = SHIFT_IOU) -> Column:
     """No answer = moved; a box off the reference = moved; otherwise unknown or held."""
+    return _moved(pred, reference, G.iou(pred["box"], reference), threshold)
+
+
+def _moved(pred: Column, reference: Column, iou: Column, threshold: float = SHIFT_IOU) -> Column:
     return (F.when(pred.isNull(), unknown()).when(pred["type"] == "none", True)
-            .when(pred["box"].isNull() | reference.isNull(), unknown()).otherwise(G.iou(pred["box"], reference) < threshold))
+            .when(pred["box"].isNull() | reference.isNull(), unknown()).otherwise(iou < threshold))
 
 
 def relation_flags(d: DataFrame, gt: Column, region: Column, prior: Column, noun_count: Column, verifier_clean: Column) -> DataFrame:
-    """Adds the flags; every flag is true, false or null (not measured)."""
-    orig, rem, obj, bg = (F.col(c) for c in CONDITIONS[:4])
-    t_null, t_head, t_attr = (F.col(c) for c in CONDITIONS[4:])
+    """Adds the flags; every flag is true, false or null (not measured).
+
+    Overlaps of boxes are columns of their own first: spelled out in every flag they are more code than the JVM compiles."""
+    orig, rem, obj = (F.col(c) for c in CONDITIONS[:3])
+    t_null = F.col("T_NULL")
+    pairs = [("ORIGINAL", "gt"), ("REMOVE", "region"), ("T_NULL", "prior"), *[(c, "ORIGINAL") for c in CONDITIONS[1:]]]
+    boxes = {c: F.col(c)["box"] for c in CONDITIONS} | {"gt": gt, "region": region, "prior": prior}
+    overlaps = {f"_iou_{a}_{b}": let_all(lambda s: G.iou(s["a"], s["b"]), a=boxes[a], b=boxes[b]) for a, b in pairs}
+    d = d.withColumns(overlaps)
+
+    def iou(a: str, b: str = "ORIGINAL") -> Column:
+        return F.col(f"_iou_{a}_{b}")
+
+    def off(c: str) -> Column:
+        return _moved(F.col(c), orig["box"], iou(c))
+
     def placed(p):
         return p["type"].isin(*LOCALIZED) & (p["box"].isNotNull() | p["px"].isNotNull())
 
     boxed = placed(orig)
     d = d.withColumn("orig_correct", F.when(orig.isNull(), unknown())
-                     .when(boxed & orig["box"].isNotNull() & gt.isNotNull(), G.iou(orig["box"], gt) >= CORRECT_IOU)
+                     .when(boxed & orig["box"].isNotNull() & gt.isNotNull(), iou("ORIGINAL", "gt") >= CORRECT_IOU)
                      .when(boxed & orig["px"].isNotNull() & gt.isNotNull(), G.point_in_box(orig["px"], orig["py"], gt)).otherwise(False))
     right = F.coalesce(F.col("orig_correct"), F.lit(False))
     unresolved = (F.when(orig.isNull() | obj.isNull(), unknown()).when(orig["type"] != obj["type"], True)
-                  .when(orig["box"].isNotNull() & obj["box"].isNotNull(), G.iou(obj["box"], orig["box"]) < SHIFT_IOU)
+                  .when(orig["box"].isNotNull() & obj["box"].isNotNull(), iou("CONTROL_OBJ") < SHIFT_IOU)
                   .when(orig["px"].isNotNull() & obj["px"].isNotNull(), False).otherwise(True))
     both = rem["box"].isNotNull() & orig["box"].isNotNull()
     in_region = F.when(region.isNotNull(), G.point_in_box(rem["px"], rem["py"], region))
     gate = right & rem.isNotNull()
     by_point = gate & ~both & rem["px"].isNotNull()
-    same50 = (F.when(gate & both, G.iou(rem["box"], orig["box"]) >= SAME_IOU).when(by_point & orig["px"].isNotNull() & region.isNotNull(), in_region)
+    same50 = (F.when(gate & both, iou("REMOVE") >= SAME_IOU).when(by_point & orig["px"].isNotNull() & region.isNotNull(), in_region)
               .when(gate & ~both & rem["px"].isNull() & (rem["type"] == "none"), False))
-    same30 = (F.when(gate & both, F.when(region.isNotNull(), G.iou(rem["box"], region) >= SAME_REGION_IOU)).when(by_point, in_region)
+    same30 = (F.when(gate & both, F.when(region.isNotNull(), iou("REMOVE", "region") >= SAME_REGION_IOU)).when(by_point, in_region)
               .when(gate & ~both & (rem["type"] == "none"), False))
     return (d.withColumn("unresolved", unresolved)
             .withColumn("none_on_remove", rem["type"] == "none").withColumn("box_on_remove", placed(rem))
             .withColumn("same_box_50", same50).withColumn("same_box_r30", same30)
-            .withColumn("shift_on_control_obj", F.when(right, moved_from(obj, orig["box"])))
-            .withColumn("shift_on_control_bg", F.when(right, moved_from(bg, orig["box"])))
+            .withColumn("shift_on_control_obj", F.when(right, off("CONTROL_OBJ")))
+            .withColumn("shift_on_control_bg", F.when(right, off("CONTROL_BG")))
             .withColumn("abstain_on_control_obj", obj["type"] == "none")
-            .withColumn("t_null_pass", moved_from(t_null, orig["box"]))
-            .withColumn("t_null_prior_pass", F.when(t_null.isNotNull() & prior.isNotNull(), moved_from(t_null, prior)))
-            .withColumn("t_head_pass", moved_from(t_head, orig["box"])).withColumn("t_attr_moved", moved_from(t_attr, orig["box"]))
+            .withColumn("t_null_pass", off("T_NULL"))
+            .withColumn("t_null_prior_pass", F.when(t_null.isNotNull() & prior.isNotNull(), _moved(t_null, prior, iou("T_NULL", "prior"))))
+            .withColumn("t_head_pass", off("T_HEAD")).withColumn("t_attr_moved", off("T_ATTR"))
             .withColumn("redundant", noun_count > 1).withColumn("remove_clean_verifier", verifier_clean)
-            .withColumn("undetermined", verifier_clean.isNull()))
+            .withColumn("undetermined", verifier_clean.isNull()).drop(*overlaps))
 
 
 def denominators(clean: str = "remove_clean_verifier") -> dict[str, Column]:
