@@ -5,6 +5,11 @@ enumerated: partners come from a grid of cells or from ring positions in a seede
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -305,21 +310,90 @@ def merge_candidates(boxes: Column, given: Column, k: int, max_iou: float = 0.7)
     return F.slice(F.concat(F.array(given), F.filter(boxes, lambda b: G.iou(b, given) < max_iou)), 1, k)
 
 
-def seen_from_bank(claims: DataFrame, bank: DataFrame, keys: list[str], claim: str, clause: str) -> DataFrame:
+def _pairs_by_word(inst: np.ndarray, of: np.ndarray, word: np.ndarray, claim: np.ndarray, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Claims and clauses of one instance that share a word: (claims, clauses, how many words), all of a claim at once
+    and at most ``at_once`` meetings, unless one claim alone has more. ``of`` is the row of each word, ``inst`` and
+    ``claim`` are the rows' instance and side."""
+    meet = inst[of] * (int(word.max(initial=0)) + 1) + word  # instance and word
+    told = np.flatnonzero(claim[of])
+    found = np.flatnonzero(~claim[of])
+    found = found[np.argsort(meet[found], kind="stable")]
+    keys = meet[found]
+    first, last = np.searchsorted(keys, meet[told], "left"), np.searchsorted(keys, meet[told], "right")
+    n, a = last - first, 0
+    total, begins = np.append(0, np.cumsum(n)), np.append(np.flatnonzero(np.append(True, of[told][1:] != of[told][:-1])[: len(told)]), len(told))
+    while a < len(begins) - 1:
+        b = max(a + 1, int(np.searchsorted(total[begins], total[begins[a]] + at_once, "right")) - 1)
+        lo, hi = begins[a], begins[b]
+        a, size = b, n[lo:hi]
+        here = np.repeat(first[lo:hi] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        pair = np.sort(np.repeat(of[told[lo:hi]], size) * len(inst) + of[found[here]])
+        start = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
+        yield pair[start] // len(inst), pair[start] % len(inst), np.diff(np.append(start, len(pair)))
+
+
+def _seen(n_keys: int, at_once: int):
+    """Of rows (keys, _claim, _t, _w) sorted by keys, side and text: the clause that answers each claim. Whole instances
+    pass, as many at a time as a batch brings."""
+    def best(rows: pa.RecordBatch, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+        claim, text, words = (rows.column(n_keys + k) for k in range(3))
+        sizes = words.value_lengths().to_numpy(zero_copy_only=False)
+        word = words.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        of = np.repeat(np.arange(rows.num_rows), sizes)
+        for told, seen, n in _pairs_by_word(np.cumsum(new), of, word, claim.to_numpy(zero_copy_only=False), at_once):
+            # another text with a word of its own; most words first, and rows are in the order of their texts
+            differs = pc.not_equal(text.take(pa.array(told)), text.take(pa.array(seen))).to_numpy(zero_copy_only=False)
+            ok = differs & (n < sizes[seen])
+            told, seen, n = told[ok], seen[ok], n[ok]
+            order = np.lexsort((seen, -n, told))
+            told, seen = told[order], seen[order]
+            start = np.append(True, told[1:] != told[:-1])[: len(told)]
+            told, seen = pa.array(told[start]), pa.array(seen[start])
+            yield pa.record_batch([*(rows.column(k).take(told) for k in range(n_keys)), text.take(told), text.take(seen)], names=[*rows.schema.names[:n_keys], "_claim", "_seen"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            differs = np.zeros(batch.num_rows, bool)
+            for c in batch.columns[:n_keys]:
+                differs[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+            follows = kept and all(kept[-1].column(k)[-1] == batch.column(k)[0] for k in range(n_keys))
+            begins = np.flatnonzero(differs)
+            cut = int(begins[-1]) if len(begins) else 0
+            if len(begins) or not follows:
+                yield from whole([*kept, batch.slice(0, cut)])
+                kept = []
+            kept.append(batch.slice(cut))
+        yield from whole(kept)
+
+    def whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [p for p in parts if p.num_rows]
+        if parts:
+            rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            new = np.ones(rows.num_rows, bool)
+            new[1:] = False
+            for c in rows.columns[:n_keys]:
+                new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+            yield from best(rows, new)
+
+    return work
+
+
+def seen_from_bank(claims: DataFrame, bank: DataFrame, keys: list[str], claim: str, clause: str, at_once: int = 1 << 22) -> DataFrame:
     """(keys, claim, seen): a confirmed clause of the same instance that shares a content word
     with the refuted claim and names something new; most shared words, first clause on ties.
 
-    Both lists are dealt out by instance, one shuffle; every later step groups by the instance and more. Claims and
-    clauses meet by (instance, word), so only those that share a word ever meet."""
+    Both lists are dealt out by instance, one shuffle, and sorted there. A text is cut into words once. Claims and clauses
+    meet by (instance, word), so only those that share a word ever meet, at most ``at_once`` at a time; a clause names
+    something new if it has more words than it shares."""
     c = F.col
     told = claims.select(*keys, F.col(claim).alias("_t"), F.lit(True).alias("_claim")).unionByName(bank.select(*keys, F.col(clause).alias("_t"), F.lit(False).alias("_claim")))
-    each = told.dropna(subset=keys).repartition(*keys).distinct().withColumn("_w", F.explode(T.content_words(c("_t"))))
-    lists = each.groupBy(*keys, "_w").agg(*[F.collect_list(F.when(c("_claim") == is_claim, c("_t"))).alias(n) for n, is_claim in (("_cs", True), ("_bs", False))])
-    pairs = lists.filter((F.size("_cs") > 0) & (F.size("_bs") > 0)).select(*keys, F.explode("_cs").alias(claim), "_bs").select(*keys, claim, F.explode("_bs").alias(clause))
-    shared = pairs.filter(c(claim) != c(clause)).groupBy(*keys, claim, clause).agg(F.count("*").alias("_n"))
-    named = shared.filter(T.named_value(c(clause), c(claim)))
-    # most shared words; among equals the alphabetically first clause
-    return named.groupBy(*keys, claim).agg(F.min(F.struct((-c("_n")).alias("n"), c(clause).alias("t"))).alias("_s")).select(*keys, claim, c("_s.t").alias("seen"))
+    each = told.dropna(subset=keys).repartition(*keys).distinct().select(*keys, "_claim", "_t", T.content_words(c("_t")).alias("_w"))
+    rows = each.sortWithinPartitions(*keys, "_claim", "_t")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in told.select(*keys).schema)
+    return rows.mapInArrow(_seen(len(keys), at_once), f"{kinds}, _claim string, _seen string").select(*keys, c("_claim").alias(claim), c("_seen").alias("seen"))
 
 
 def compare_cells(a: DataFrame, b: DataFrame, keys: list[str], label: str, verdict: str) -> DataFrame:

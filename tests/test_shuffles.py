@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import text as T
+from plumbline.operators import joins as J
 from plumbline.plans.tables import DERIVED, Tables, spell
 
 LINE = ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
@@ -34,3 +36,36 @@ def test_numbered_candidates_are_those_of_the_select(spark, lines):
 def test_groups_of_candidates_are_not_shuffled_again(spark, lines):
     g = Tables(spark, lines).cand.groupBy("image_id", "iid").agg(F.collect_list("x0").alias("xs"))
     assert plan(g).count("Exchange hashpartitioning") == 1
+
+
+def test_words_are_found_by_one_search(spark):
+    d = spark.createDataFrame([("A red-hot CUP, the  cup\tis not 2 big\n",), ("",), (None,), ("the is",), ("İn Café",)], "t string")
+    assert [r[0] for r in d.select(T.content_words(F.col("t"))).collect()] == [["red", "hot", "cup", "2", "big"], [], [], [], ["i", "n", "caf"]]
+    assert [r[0] for r in d.select(T.norm_words(F.col("t"))).collect()] == [[w for w in r[0].split(" ") if w] if r[0] == "" else list(dict.fromkeys(r[0].split(" "))) for r in d.select(T.norm(F.col("t"))).collect()]
+    found = plan(d.select(T.content_words(F.col("t"))))
+    assert "regexp_extract_all" in found and "regexp_replace" not in found
+
+
+def slow_seen(claims, bank):
+    stop = {*T.NORM_DROP[3:-3].split("|"), *T.NEGATIONS}
+    w = lambda t: set("".join(c if c.isascii() and c.isalnum() else " " for c in (t or "").lower()).split()) - stop
+    out = set()
+    for k, v, t in claims:
+        fits = [(-len(w(t) & w(u)), u) for k2, v2, u in bank if (k2, v2) == (k, v) and k is not None and v is not None and t is not None and u is not None and u != t and w(t) & w(u) and w(u) - w(t)]
+        if fits:
+            out.add((k, v, t, min(fits)[1]))
+    return out
+
+
+@pytest.mark.parametrize("at_once", [1, 1 << 22])
+def test_seen_from_bank_in_small_steps(spark, at_once):
+    words = ["red cap", "a red cap", "blue coat", "red coat", "not red", "dark blue coat", "", None, "the", "cap", "Zebra cap", "é cap"]
+    claims = [(k, v, words[(i * 5 + k) % 12]) for i in range(40) for k in (1, 2) for v in ("x", "y")] + [(None, "x", "red cap"), (3, None, "red cap")]
+    bank = [(k, v, words[(i * 7 + k + len(v)) % 12]) for i in range(40) for k in (2, 1) for v in ("y", "x")] + [(None, "x", "red coat"), (3, None, "red coat")]
+    a, b = (spark.createDataFrame(r, f"k bigint, v string, {n} string") for r, n in ((claims, "claim"), (bank, "clause")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3 if at_once == 1 else 10000)
+    try:
+        found = J.seen_from_bank(a, b, ["k", "v"], "claim", "clause", at_once=at_once).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len(set(found)) and {tuple(r) for r in found} == slow_seen(claims, bank) != set()
