@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators import joins as J
+from plumbline.operators import masks as M
 from plumbline.plans.tables import DERIVED, Tables, spell
 
 LINE = ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
@@ -69,3 +74,87 @@ def test_seen_from_bank_in_small_steps(spark, at_once):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(found) == len(set(found)) and {tuple(r) for r in found} == slow_seen(claims, bank) != set()
+
+
+RECTS = "image_id int, mask int, x0 bigint, x1 bigint, y0 bigint, y1 bigint"
+
+
+def random_masks(seed, images, masks, w, h):
+    """Masks of two touching rectangles, their sources and their bitmaps."""
+    r, rows, meta, drawn = random.Random(seed), [], [], {}
+    for i in range(images):
+        for m in range(masks):
+            x, y = r.randrange(w - 60), r.randrange(h - 30)
+            mine = [(x, x + 20, y, y + 12), (x + 20, x + r.randint(25, 60), y + 3, y + r.randint(8, 30))]
+            rows += [(i, m, *v) for v in mine]
+            meta.append((i, m, "referent" if m == 0 else r.choice(["labelled_other_class", "class_agnostic", "noun_phrase_instance", "same_class_other_instance", None])))
+            drawn[i, m] = np.zeros((h, w), bool)
+            for x0, x1, y0, y1 in mine:
+                drawn[i, m][y0:y1, x0:x1] = True
+    return rows, meta, drawn
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 22])
+def test_damage_in_small_steps(monkeypatch, chunk):
+    monkeypatch.setattr(M, "CHUNK", chunk)
+    rows, meta, drawn = random_masks(3, 2, 9, 220, 90)
+    keys = list(drawn)
+    at = np.array([keys.index(r[:2]) for r in rows])
+    image, ids, rects = np.array([k[0] for k in keys]), np.array([k[1] for k in keys]), np.array([r[2:] for r in rows])
+    n = np.array([-1 if k[1] == 0 else drawn[k].sum() for k in keys])
+    # the hole of a mask is its rectangles, grown to the right and down; its own are those of every second one
+    hole = rects + np.array([0, 9, 0, 5])
+    own = np.isin(at, np.flatnonzero(ids % 2))
+    touches, worst = M._worst(len(keys), np.append(at, at[own]), np.concatenate([hole, rects[own]]), np.repeat([False, True], [len(at), own.sum()]), image, ids, at, rects, image, ids, n)
+    for p, k in enumerate(keys):
+        shares, touched = [0.0], False
+        for t, o in enumerate(keys):
+            both = lambda a: sum(max(0, min(x[1], y[1]) - max(x[0], y[0])) * max(0, min(x[3], y[3]) - max(x[2], y[2])) for x in a for y in rects[at == t])
+            if o[0] == k[0] and both(hole[at == p]):
+                touched |= n[t] < 0
+                if n[t] >= 0 and o != k:
+                    shares.append((both(hole[at == p]) - (both(rects[at == p]) if ids[p] % 2 else 0)) / n[t])
+        assert touches[p] == touched and worst[p] == max(shares)
+
+
+@pytest.mark.parametrize("hole_type", ["mask", "rect"])
+def test_controls_agree_with_the_violations_of_their_holes(spark, hole_type):
+    w, h = 220, 90
+    rows, meta, drawn = random_masks(5, 6, 9, w, h)
+    spans, names = spark.createDataFrame([*rows, (None, 1, 0, 9, 0, 9), (1, None, 0, 9, 0, 9)], RECTS), spark.createDataFrame([*meta, *meta[:3], (None, 1, "referent"), (99, 1, "referent")], "image_id int, mask int, source string")
+    facts = M.mask_facts(spans, M.KEYS, w, h).select(*M.KEYS, "area_frac").join(names, M.KEYS)
+    bad = {(r.image_id, r["mask"]): r.reason for r in M.violations(M.holes(spans, M.KEYS, hole_type, w, h, 3), spans, spans, facts, M.KEYS, w, h, referent_px=4).collect()}
+    got = M.control_candidates(spans, names, w, h, hole_type, 3, 4).collect()
+    # every control meets every row of a referent, and the first image's referent and two others are named twice
+    times = {k: sum((i, m) == k for i, m, _ in [*meta, *meta[:3]]) for k in drawn}
+    assert sorted((r.image_id, r["mask"]) for r in got) == sorted((i, m) for i, m, s in [*meta, *meta[:3]] if s in M.CONTROL_TIERS for _ in range(times[i, 0]))
+    seen = set()
+    for r in got:
+        ratio = drawn[r.image_id, r["mask"]].sum() / drawn[r.image_id, 0].sum()
+        assert r.ratio == ratio
+        want = {"touches the referent": "referent_contact", "bites another instance": "exclusion_overlap"}.get(bad.get((r.image_id, r["mask"])))
+        assert r.reject == ("area" if not 0.5 <= ratio <= 2 else "centrality" if abs(r.delta) > 0.2 else want)
+        seen.add(r.reject)
+    assert {"referent_contact", "exclusion_overlap"} <= seen
+
+
+def test_masks_that_lie_by_image_are_not_shuffled_to_meet_their_flags(spark):
+    rows, meta, _ = random_masks(5, 2, 4, 220, 90)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        spans = spark.createDataFrame(rows, RECTS)
+        spans = spans.withColumn("_n", F.row_number().over(Window.partitionBy("image_id").orderBy("mask", "x0"))).where("_n > 0")
+        names = spark.createDataFrame(meta, "image_id int, mask int, source string").withColumn("_n", F.row_number().over(Window.partitionBy("image_id").orderBy("mask"))).where("_n > 0")
+        for d in (M.control_candidates(spans, names, 220, 90), M.background_shifts(spans, names, 220, 90, "s")):
+            assert plan(d).count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_probes_of_violations_are_dealt_out_once(spark):
+    rows, meta, _ = random_masks(5, 2, 4, 220, 90)
+    spans, names = spark.createDataFrame(rows, RECTS), spark.createDataFrame([(*m, 0.1) for m in meta], "image_id int, mask int, source string, area_frac double")
+    v = M.violations(M.holes(spans, M.KEYS, "rect", 220, 90), spans, spans, names, M.KEYS, 220, 90)
+    probes = M._gathered_in_bands(spans, M.KEYS, True)
+    assert "Exchange" not in plan(probes) and {tuple(r) for r in probes.select("image_id", "mask", "_band").collect()} == {(i, m, b) for i, m, x0, x1, _, _ in rows for b in range(x0 // 64, (x1 - 1) // 64 + 1)}
+    assert v.count() > 0
