@@ -158,3 +158,27 @@ def test_probes_of_violations_are_dealt_out_once(spark):
     probes = M._gathered_in_bands(spans, M.KEYS, True)
     assert "Exchange" not in plan(probes) and {tuple(r) for r in probes.select("image_id", "mask", "_band").collect()} == {(i, m, b) for i, m, x0, x1, _, _ in rows for b in range(x0 // 64, (x1 - 1) // 64 + 1)}
     assert v.count() > 0
+
+
+def test_pairs_and_points_meet_where_their_image_lies(spark):
+    rows, meta, drawn = random_masks(9, 3, 8, 220, 90)
+    spans = spark.createDataFrame([*rows, (None, 1, 0, 9, 0, 9), (0, None, 0, 200, 0, 80)], RECTS)
+    want = {(i, a, b): (drawn[i, a] & drawn[i, b]).sum() / (drawn[i, a] | drawn[i, b]).sum() for i in range(3) for a in range(8) for b in range(a + 1, 8) if (drawn[i, a] & drawn[i, b]).any()}
+    found = M.mask_iou(spans)
+    assert {(r.image_id, r.a, r.b): r.iou for r in found.collect()} == want and plan(found).count("Exchange") == 1 and "Join" not in plan(found)
+
+    r = random.Random(2)
+    boxes = [(i, m, min(v[2] for v in rows if v[:2] == (i, m)) - 3, max(v[3] for v in rows if v[:2] == (i, m)) + 3.5, 2.0, 88.0) for i in range(3) for m in range(8)]
+    points = [(i, r.randrange(30), r.choice([-5.0, r.random() * 240, float(r.randrange(220))]), r.random() * 100) for i in (0, 1, 2, 7, None) for _ in range(40)] + [(1, None, 50.0, 40.0), (1, 99, None, 40.0)]
+    b = spark.createDataFrame([(i, m, (float(x0), 2.0, x1, y1)) for i, m, x0, x1, _, y1 in boxes], "image_id int, mask int, box struct<x0:double,y0:double,x1:double,y1:double>")
+    p = spark.createDataFrame(points, "image_id int, pid int, x double, y double")
+    got = M.point_hits(p, spans.where("mask IS NOT NULL"), b, ["image_id", "pid"], F.col("x"), F.col("y")).collect()
+    hits = {}
+    for i, k, x, y in points:
+        if None not in (i, k, x, y):
+            x, y = round(x), round(y)
+            hits.setdefault((i, k), ([], []))[0].extend(m for m in range(8) if (i, m) in drawn and 0 <= x < 220 and 0 <= y < 90 and drawn[i, m][y, x])
+            hits[i, k][1].extend(m for j, m, x0, x1, y0, y1 in boxes if j == i and x0 <= x <= x1 and y0 <= y <= y1)
+    first = {k: min(m) if m else min(n, default=None) for k, (m, n) in hits.items()}
+    same = lambda rows: sorted(rows, key=repr)
+    assert same(tuple(r) for r in got) == same((i, k, first.get((i, k))) for i, k, _, _ in points)
