@@ -59,13 +59,22 @@ def label_rows(cells: DataFrame, items: DataFrame, key: str = "item") -> DataFra
     """Long cells (item, iid, clause, verdict, flipped_verdict, area) with the rules of the item
     applied: on a negative the flipped clause takes its own verdict and is false of the
     described object; on a positive the answer row is true throughout; unknown is unclear."""
-    c = F.col
-    d = cells.join(items.select(key, "answer_iid", "first_iid", "flipped_idx"), key)
-    known = F.when(c("verdict").isin("yes", "no", "unclear"), c("verdict")).otherwise("unclear")
-    flipped = F.when(c("flipped_verdict").isin("yes", "no", "unclear"), c("flipped_verdict")).otherwise("unclear")
+    c, words = F.col, ("yes", "no", "unclear")
+    # all of an item's cells are one row of plain lists when they are shuffled; verdicts and missing values are one number
+    said = lambda name: F.coalesce(F.array_position(F.array(*[F.lit(w) for w in words]), c(name)).cast("smallint"), F.lit(0))
+    rest = [x for x in cells.columns if x not in (key, "verdict", "flipped_verdict")]
+    kinds, code = dict(cells.dtypes), said("verdict") + 4 * said("flipped_verdict")
+    for k, x in enumerate(rest):
+        code = code + F.when(c(x).isNull(), 16 << k).otherwise(0)
+    lists = [F.collect_list(F.coalesce(c(x), F.lit(0).cast(kinds[x]))).alias(x) for x in rest]
+    packed = cells.dropna(subset=[key]).groupBy(key).agg(F.collect_list(code.cast("smallint" if len(rest) < 11 else "bigint")).alias("_c"), *lists)
+    d = packed.join(items.select(key, "answer_iid", "first_iid", "flipped_idx"), key)
+    d = d.select(key, "answer_iid", "first_iid", "flipped_idx", F.inline(F.arrays_zip("_c", *rest)))
+    d = d.withColumns({x: F.when(c("_c").bitwiseAND(16 << k) == 0, c(x)) for k, x in enumerate(rest)} | {"_v": c("_c").bitwiseAND(3), "_f": F.shiftright("_c", 2).bitwiseAND(3)}).drop("_c")
+    word = lambda name: F.when(c(name) == 1, "yes").when(c(name) == 2, "no").otherwise("unclear")
     is_flip = F.coalesce(c("clause") == c("flipped_idx"), F.lit(False))
-    v = (F.when(c("answer_iid").isNotNull() & (c("iid") == c("answer_iid")), "yes").when(is_flip & (c("iid") == c("first_iid")), "no").when(is_flip, flipped).otherwise(known))
-    return d.withColumn("verdict", v).drop("flipped_verdict")
+    v = (F.when(c("answer_iid").isNotNull() & (c("iid") == c("answer_iid")), "yes").when(is_flip & (c("iid") == c("first_iid")), "no").when(is_flip, word("_f")).otherwise(word("_v")))
+    return d.withColumn("verdict", v).drop("_v", "_f")
 
 
 def label_matrix(cells: DataFrame, items: DataFrame, max_rows: int = T.MAX_CANDIDATES, key: str = "item") -> DataFrame:
