@@ -396,9 +396,46 @@ def seen_from_bank(claims: DataFrame, bank: DataFrame, keys: list[str], claim: s
     return rows.mapInArrow(_seen(len(keys), at_once), f"{kinds}, _claim string, _seen string").select(*keys, c("_claim").alias(claim), c("_seen").alias("seen"))
 
 
+def _compared():
+    """Counts of the pairs of cells that two lists of a row have in common: all, those of one verdict, those labelled
+    "no" and those of them that are "no" in both."""
+    def codes(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        both = pa.concat_arrays([a, b]).dictionary_encode()
+        code = pc.fill_null(both.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return code[: len(a)], code[len(a) :], pc.fill_null(pc.equal(both.dictionary, "no"), False).to_numpy(zero_copy_only=False) if pa.types.is_string(both.dictionary.type) else None
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        b = np.sort(b)
+        return np.searchsorted(b, a, "right") - np.searchsorted(b, a, "left")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(k) for k in range(2)]
+            a, b = (np.repeat(np.arange(batch.num_rows), c.value_lengths().to_numpy(zero_copy_only=False)) for c in lists)
+            (*ka, label, va), (*kb, vb) = (c.flatten().flatten() for c in lists)
+            ok_a, ok_b = np.ones(len(a), bool), np.ones(len(b), bool)
+            for x, y in zip(ka, kb):
+                p, q, _ = codes(x, y)
+                ok_a, ok_b = ok_a & (p >= 0), ok_b & (q >= 0)
+                # numbers are made dense again before the next key, so that they stay small
+                size = max(p.max(initial=0), q.max(initial=0)) + 1
+                _, dense = np.unique(np.concatenate([a * size + np.maximum(p, 0), b * size + np.maximum(q, 0)]), return_inverse=True)
+                a, b = dense[: len(a)], dense[len(a) :]
+            p, q, no = codes(va, vb)
+            is_no = pc.fill_null(pc.equal(label, "no"), False).to_numpy(zero_copy_only=False)
+            a, p, is_no, b, q = a[ok_a], p[ok_a], is_no[ok_a], b[ok_b], q[ok_b]
+            met, known, size = pairs(a, b), p >= 0, len(no) + 1
+            same = pairs((a * size + p)[known], (b * size + q)[q >= 0])
+            yield pa.record_batch([pa.array([int(v)]) for v in (met.sum(), same.sum(), met[is_no].sum(), same[is_no[known] & no[p[known]]].sum())], names=["cells", "same", "label_no", "both_no"])
+
+    return work
+
+
 def compare_cells(a: DataFrame, b: DataFrame, keys: list[str], label: str, verdict: str) -> DataFrame:
-    """Two rationale files cell by cell: shared cells, identical verdicts, both "no" on "no"."""
-    j = a.join(b.select(*keys, F.col(verdict).alias("_v2")), keys)
-    same, no = F.col(verdict) == F.col("_v2"), F.col(label) == "no"
-    return j.agg(F.count("*").alias("cells"), F.count(F.when(same, 1)).alias("same"), F.count(F.when(no, 1)).alias("label_no"),
-                 F.count(F.when(no & (F.col(verdict) == "no") & (F.col("_v2") == "no"), 1)).alias("both_no"))
+    """Two rationale files cell by cell: shared cells, identical verdicts, both "no" on "no". The cells of one value of
+    the first key meet as two lists, so files that lie by it are not shuffled."""
+    first, *rest = keys
+    listed = lambda df, name, *columns: df.dropna(subset=[first]).groupBy(first).agg(F.collect_list(F.struct(*rest, *columns)).alias(name))
+    j = listed(a, "_a", F.col(label).alias("_l"), F.col(verdict).alias("_v")).join(listed(b, "_b", F.col(verdict).alias("_v")), first)
+    counts = j.select("_a", "_b").mapInArrow(_compared(), "cells bigint, same bigint, label_no bigint, both_no bigint")
+    return counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("cells", "same", "label_no", "both_no")])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.operators import joins as J
 from plumbline.operators import masks as M
+from plumbline.operators import sets as SE
 from plumbline.plans.tables import DERIVED, Tables, spell
 
 LINE = ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
@@ -165,7 +166,8 @@ def test_pairs_and_points_meet_where_their_image_lies(spark):
     spans = spark.createDataFrame([*rows, (None, 1, 0, 9, 0, 9), (0, None, 0, 200, 0, 80)], RECTS)
     want = {(i, a, b): (drawn[i, a] & drawn[i, b]).sum() / (drawn[i, a] | drawn[i, b]).sum() for i in range(3) for a in range(8) for b in range(a + 1, 8) if (drawn[i, a] & drawn[i, b]).any()}
     found = M.mask_iou(spans)
-    assert {(r.image_id, r.a, r.b): r.iou for r in found.collect()} == want and plan(found).count("Exchange") == 1 and "Join" not in plan(found)
+    assert plan(found).count("Exchange") == 1 and "Join" not in plan(found)
+    assert {(r.image_id, r.a, r.b): r.iou for r in found.collect()} == want
 
     r = random.Random(2)
     boxes = [(i, m, min(v[2] for v in rows if v[:2] == (i, m)) - 3, max(v[3] for v in rows if v[:2] == (i, m)) + 3.5, 2.0, 88.0) for i in range(3) for m in range(8)]
@@ -182,3 +184,36 @@ def test_pairs_and_points_meet_where_their_image_lies(spark):
     first = {k: min(m) if m else min(n, default=None) for k, (m, n) in hits.items()}
     same = lambda rows: sorted(rows, key=repr)
     assert same(tuple(r) for r in got) == same((i, k, first.get((i, k))) for i, k, _, _ in points)
+
+
+def test_cells_of_two_files_are_compared_in_lists(spark):
+    r = random.Random(1)
+    rows = lambda: [(r.choice([1, 2, None]), r.choice([1, 2, 3, None]), r.choice(["a", "b", None]), r.choice(["no", "yes", None]), r.choice(["no", "yes", "unclear", None])) for _ in range(90)]
+    x, y = rows(), rows()
+    a, b = (spark.createDataFrame(d, "image int, iid int, clause string, label string, blind string") for d in (x, y))
+    met = [(p, q) for p in x for q in y if p[:3] == q[:3] and None not in p[:3]]
+    same = [(p, q) for p, q in met if p[4] is not None and p[4] == q[4]]
+    want = (len(met), len(same), sum(p[3] == "no" for p, _ in met), sum(p[3] == "no" and p[4] == "no" for p, _ in same))
+    d = J.compare_cells(a, b, ["image", "iid", "clause"], "label", "blind")
+    assert plan(d).count("hashpartitioning(image") == 2 and "iid" not in "".join(x for x in plan(d).splitlines() if "hashpartitioning" in x)
+    assert tuple(d.first()) == want
+    assert tuple(J.compare_cells(a.where("image = 9"), b, ["image", "iid", "clause"], "label", "blind").first()) == (0, 0, 0, 0)
+
+
+def test_cells_of_an_item_are_one_row_when_they_are_shuffled(spark):
+    r = random.Random(4)
+    cells = [(r.choice([1, 2, 3, None]), r.choice([1, 2, None]), r.choice([1, 2, 3, None]), r.choice(["yes", "no", "unclear", "??", None]), r.choice(["yes", "no", "odd", None]), r.choice([5, 7, None])) for _ in range(80)]
+    items = [(1, 1, 1, None), (2, None, 1, 2), (3, None, None, None), (4, None, 1, 1)]
+    c = spark.createDataFrame(cells, "item long, iid int, clause int, verdict string, flipped_verdict string, area long")
+    i = spark.createDataFrame(items, "item long, answer_iid int, first_iid int, flipped_idx int")
+    known = lambda v: v if v in ("yes", "no", "unclear") else "unclear"
+    want = []
+    for item, iid, clause, verdict, flipped, area in cells:
+        for k, answer, first, idx in items:
+            if k == item:
+                flip = clause is not None and clause == idx
+                v = "yes" if answer is not None and iid == answer else "no" if flip and iid is not None and iid == first else known(flipped) if flip else known(verdict)
+                want.append((item, iid, clause, area, answer, first, idx, v))
+    d = SE.label_rows(c, i).select("item", "iid", "clause", "area", "answer_iid", "first_iid", "flipped_idx", "verdict")
+    assert "collect_list" in plan(d) and sorted(map(repr, map(tuple, d.collect()))) == sorted(map(repr, want))
+    assert d.dtypes[1:4] == [("iid", "int"), ("clause", "int"), ("area", "bigint")]
