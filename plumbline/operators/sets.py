@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import md5
+from itertools import combinations
+from math import comb
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +16,8 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.operators.ranks import exact_quantiles
 
+#: Sets of clauses of a scene that are looked at before any is drawn.
+SETS = 256
 USD_PROMPT_NANO, USD_OUTPUT_NANO = 1250, 10000  # fixed values: price of one token in 1e-9 USD
 
 
@@ -197,8 +203,14 @@ def _recomposed(k: int, tries: int, seed):
                 # no set of this size has more, so a scene is done when it is reached and no try can fail for want of clauses
                 most = sum(sorted((c["yes"] for c in clauses), reverse=True)[:size])
                 certain = not any(len(c["alike"]) > 1 for c in clauses)
-                heads = [md5(f"{seed}:{name}:{i}:".encode()) for i in range(1, tries + 1)] if len(bit) == others else []
-                for head in heads:
+                tried = range(1, tries + 1) if len(bit) == others else ()
+                if certain and tried and comb(len(clauses), size) <= SETS:
+                    # of so few sets the best that excludes all others is known beforehand, and often there is none
+                    fit = [sum(clauses[j]["yes"] for j in s) for s in combinations(range(len(clauses)), size) if reduce(or_, (excludes[j] for j in s), 0) == need]
+                    most, tried = max(fit, default=0), tried if fit else ()
+                for i in tried:
+                    head = md5(f"{seed}:{name}:{i}:".encode())
+
                     def place(j, head=head):
                         h = head.copy()
                         h.update(clauses[j]["clause"].encode())

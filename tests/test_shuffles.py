@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -217,3 +219,16 @@ def test_cells_of_an_item_are_one_row_when_they_are_shuffled(spark):
     d = SE.label_rows(c, i).select("item", "iid", "clause", "area", "answer_iid", "first_iid", "flipped_idx", "verdict")
     assert "collect_list" in plan(d) and sorted(map(repr, map(tuple, d.collect()))) == sorted(map(repr, want))
     assert d.dtypes[1:4] == [("iid", "int"), ("clause", "int"), ("area", "bigint")]
+
+
+def test_sets_of_clauses_that_cannot_do_are_not_drawn(monkeypatch):
+    drawn = []
+    monkeypatch.setattr(SE, "md5", lambda t: drawn.append(t) or hashlib.md5(t))
+    clause = lambda name, no, yes, at: {"clause": name, "no": no, "yes": yes, "alike": [at]}
+    scenes = [("x", "x", [clause("a", [2], 1, 0), clause("b", [3], 1, 1), clause("c", [4], 0, 2), clause("d", [2], 2, 3)], 3), ("y", "y", [clause("a", [2], 1, 0), clause("b", [2, 3], 0, 1), clause("c", [], 5, 2)], 2)]
+    kind = pa.list_(pa.struct([("clause", pa.string()), ("no", pa.list_(pa.int32())), ("yes", pa.int32()), ("alike", pa.list_(pa.int32()))]))
+    batch = pa.record_batch([pa.array([s[i] for s in scenes], t) for i, t in enumerate((pa.string(), pa.string(), kind, pa.int32()))], names=["scene", "_name", "_cs", "others"])
+    out = [r for b in SE._recomposed(2, 80, "rc")(iter([batch])) for r in b.to_pylist()]
+    # two of x's clauses never exclude all three others; of y's sets the best is "b" and "c"
+    assert [(r["scene"], r["score"], sorted(r["clauses"])) for r in out] == [("y", 5, ["b", "c"])]
+    assert 0 < len(drawn) < 80 and not any(t.startswith(b"rc:x:") for t in drawn)
