@@ -232,3 +232,14 @@ def test_sets_of_clauses_that_cannot_do_are_not_drawn(monkeypatch):
     # two of x's clauses never exclude all three others; of y's sets the best is "b" and "c"
     assert [(r["scene"], r["score"], sorted(r["clauses"])) for r in out] == [("y", 5, ["b", "c"])]
     assert 0 < len(drawn) < 80 and not any(t.startswith(b"rc:x:") for t in drawn)
+
+
+@pytest.mark.parametrize("hole_type", ["mask", "rect"])
+def test_masks_without_known_rectangles(spark, hole_type):
+    """They are judged, but nothing is known of them, and they damage nothing."""
+    rows = [(1, 0, 40, 60, 40, 60), (1, 1, 100, 120, 40, None), (1, 2, 100, 120, 40, 60), (2, 0, 4, None, 4, 6), (2, 1, 10, 20, 10, 20), (3, 0, 1, 9, 1, 9), (3, 3, 5, 9, None, 9)]
+    meta = [(i, m, "referent" if m == 0 else "noun_phrase_instance") for i, m, *_ in rows]
+    spans, names = spark.createDataFrame(rows, RECTS), spark.createDataFrame(meta, "image_id int, mask int, source string")
+    got = {(r.image_id, r["mask"]): (r.ratio, r.reject) for r in M.control_candidates(spans, names, 160, 160, hole_type).collect()}
+    assert got == {(1, 1): (None, None), (1, 2): (1.0, None), (2, 1): (None, None), (3, 3): (None, None)}
+    assert {r.image_id for r in M.background_shifts(spans, names, 160, 160, "s", hole_type=hole_type).collect()} == {1, 3}
